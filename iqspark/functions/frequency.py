@@ -76,9 +76,9 @@ def sample_rate(acc_len: Column, board: Board = Board()) -> Column:
 
 
 def accumulation_length(rate_hz: Column, board: Board = Board()) -> Column:
-    """Length nearest to a requested rate (half to even), up to a multiple of 4, within 1 to 65535."""
-    exact = board.fft_bw_hz / rate_hz
-    return F.greatest(F.least(4 * F.ceil(F.bround(exact) / 4), F.lit(65535)), F.lit(1)).cast("long")
+    """Length nearest to a requested rate (half to even), up to a multiple of 4, within 1 to 65535; null for a rate of 0."""
+    exact = F.try_divide(F.lit(board.fft_bw_hz), rate_hz)
+    return F.when(exact.isNotNull(), F.greatest(F.least(4 * F.ceil(F.bround(exact) / 4), F.lit(65535)), F.lit(1)).cast("long"))
 
 
 def sweep_frequency(centre: Column, span: Column, point: Column, points: int, direction: str = "up") -> Column:

@@ -103,7 +103,7 @@ def flag_intervals(frames: DataFrame, flag: int) -> DataFrame:
 
 def receive_rate(packets: DataFrame) -> DataFrame:
     """Count, seconds from first to last and rate of packets(stream_id, ts)."""
-    span = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
+    span = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
     return packets.groupBy("stream_id").agg(F.count("*").alias("n"), (span / 1e6).alias("elapsed_s")).withColumn("rate_hz", F.try_divide(F.col("n"), F.col("elapsed_s")))
 
 
