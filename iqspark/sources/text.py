@@ -113,8 +113,9 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
 def write_json_document(frames: DataFrame, path: str, tones: int, meta: dict) -> None:
     """One JSON document of a small recording (its frames are gathered; use Parquet for large ones)."""
     z = F.array_sort(F.collect_list(F.struct("seq", "packet_counter", "packet_error", "flags", "i", "q")))
-    keyed = lambda c: F.map_from_arrays(F.array(*[F.lit(f"{t:04d}") for t in range(tones)]), F.array(*[F.transform("z", lambda r, t=t: F.get(r[c], F.lit(t))) for t in range(tones)]))
-    flags = F.map_from_arrays(F.array(*[F.lit(f"flag{k}") for k in range(FLAGS)]), F.array(*[F.transform("z", lambda r, k=k: F.get(r["flags"], F.lit(k))) for k in range(FLAGS)]))
+    pick = lambda c, k: F.transform("z", lambda r: F.get(r[c], F.lit(k)))
+    keyed = lambda c: F.map_from_arrays(F.array(*[F.lit(f"{t:04d}") for t in range(tones)]), F.array(*[pick(c, t) for t in range(tones)]))
+    flags = F.map_from_arrays(F.array(*[F.lit(f"flag{k}") for k in range(FLAGS)]), F.array(*[pick("flags", k) for k in range(FLAGS)]))
     row = frames.agg(z.alias("z")).select(*[F.lit(v).alias(k) for k, v in meta.items()], F.lit(tones).alias("num_tones"), F.size("z").alias("num_samples"), keyed("i").alias("i_data"), keyed("q").alias("q_data"), F.col("z.packet_counter"), F.col("z.packet_error"), flags.alias("stream_flags"))
     row.coalesce(1).write.mode("overwrite").json(path)
 

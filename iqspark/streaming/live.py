@@ -16,7 +16,7 @@ from ..sources.records import decode, record_bytes
 
 def landed_chunks(spark: SparkSession, folder: str, per_trigger: int = 64) -> DataFrame:
     """Chunk files as they land: stream_id is the file's folder, chunk its name. Empty keep-alive chunks are dropped."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
     name = F.split("path", "/")
     return files.where(F.length("content") > 0).select(F.element_at(name, -2).alias("stream_id"), F.element_at(name, -1).alias("chunk"), F.col("modificationTime").alias("landed"), F.col("content").alias("payload"))
 
