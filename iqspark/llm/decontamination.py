@@ -98,7 +98,7 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, min_windows: int = 3
 
     Windows of WINDOW template words are hash-joined. A window counts if its slots agree: a value of the item always
     meets the same value in the document and the reverse, over the whole pair (the commonest partner of each value is
-    taken; windows against it don't count). A pair is a match with min_windows such windows (or all, if the item has
+    taken, of equal ones the value itself; windows against it don't count). A pair is a match with min_windows such windows (or all, if the item has
     fewer) that are min_share of the item's. reparameterised: some slot's value differs.
 
     Items of under WINDOW words match nothing, nor do null or empty texts; null ids are kept as such out of matches.
@@ -116,9 +116,10 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, min_windows: int = 3
     pairs = hits.select("doc_id", "item_id", "item_at", "item_windows", F.explode(F.expr("CASE WHEN size(slots) > 0 THEN arrays_zip(item_slots, slots) ELSE array(named_struct('item_slots', 0L, 'slots', 0L)) END")).alias("s"), "at")
     pairs = pairs.select("doc_id", "item_id", "item_at", "item_windows", "at", F.col("s.item_slots").alias("v"), F.col("s.slots").alias("u"))
     seen = pairs.where("v != 0").groupBy("doc_id", "item_id", "v", "u").agg(F.count("*").alias("c"))
-    best = F.struct("c", "u")
-    forth = seen.groupBy("doc_id", "item_id", "v").agg(F.max(best)["u"].alias("u"))
-    back = seen.groupBy("doc_id", "item_id", "u").agg(F.max(F.struct("c", "v"))["v"].alias("v"))
+    # Of equally common partners a value itself comes first, so a copy agrees with itself however its windows repeat.
+    same = (F.col("v") == F.col("u")).alias("same")
+    forth = seen.groupBy("doc_id", "item_id", "v").agg(F.max(F.struct("c", same, "u"))["u"].alias("u"))
+    back = seen.groupBy("doc_id", "item_id", "u").agg(F.max(F.struct("c", same, "v"))["v"].alias("v"))
     agreed = forth.join(back, ["doc_id", "item_id", "v", "u"]).withColumn("agreed", F.lit(True))
     judged = pairs.join(agreed, ["doc_id", "item_id", "v", "u"], "left").withColumn("good", (F.col("v") == 0) | F.coalesce("agreed", F.lit(False)))
     by_window = judged.groupBy("doc_id", "item_id", "item_at", "item_windows", "at").agg(F.bool_and("good").alias("good"), F.bool_or(F.col("v") != F.col("u")).alias("changed")).where("good")
