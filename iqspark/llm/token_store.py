@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from .textkit import mix, slices
 _U = np.uint64
 #: Chunks end where a rolling hash of the last WINDOW ids ends in MEAN_BITS zero bits, or after MOST ids.
 WINDOW, MEAN_BITS, MOST = 8, 8, 8192
-_CACHE_ENTRIES = 300_000
+_CACHE_ENTRIES = 700_000  # runs that a task remembers; words without case and marks are remembered half as many
 # Letters whose lower case and byte form need no normaliser, then marks that stand in one run.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,|;:!?*#$%&]*)")
 _tokenizers: dict[str, Encoder] = {}
@@ -43,29 +44,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.separable, self.known, self.letters = separable, {}, _byte_letters()
-        self.table = {c: "".join(self.letters[b] for b in chr(c).encode()) for c in range(128, 256)}
+        self.code = "H" if self.wide is np.uint16 else "I"
+        letters = _byte_letters()
+        self.separable, self.known, self.stems = separable, {}, {}
+        self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+    def _stem(self, word: str) -> bytes:
+        """One run of letters or marks, in lower case, by the tokenizer's model."""
+        got = self.stems.get(word)
+        if got is None:
+            if len(self.stems) > _CACHE_ENTRIES // 2:
+                self.stems.clear()
+            known = word if word.isascii() else word.translate(self.table)
+            got = self.stems[word] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(known)]).tobytes()
+        return got
 
     def _run(self, run: bytes) -> bytes:
         text = run.decode()
         m = _PLAIN.fullmatch(text)
         if m:
-            ids = [t.id for t in self.tokenizer.model.tokenize(m[1].lower().translate(self.table))]
-            ids += [t.id for t in self.tokenizer.model.tokenize(m[2])] if m[2] else []
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.wide).tobytes()
+            return self._stem(m[1].lower()) + (self._stem(m[2]) if m[2] else b"")
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str | None) -> np.ndarray:
+    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """The ids of each text and end_id, little-endian; every distinct run of the texts is looked up once."""
+        end = array(self.code, [end_id]).tobytes()
         if not self.separable:
-            return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, self.wide)
+            return [array(self.code, self.tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() + end for t in texts]
         known = self.known
         if len(known) > _CACHE_ENTRIES:
             known.clear()
-        runs = (text or "").encode().split()
-        for run in {*runs}.difference(known) if len(runs) < 4 * _CACHE_ENTRIES else ():
+        runs = [(t or "").encode().split() for t in texts]
+        for run in set().union(*runs).difference(known):
             known[run] = self._run(run)
-        return np.frombuffer(b"".join([known[r] if r in known else self._run(r) for r in runs] if len(runs) >= 4 * _CACHE_ENTRIES else map(known.__getitem__, runs)), self.wide)
+        return [b"".join(map(known.__getitem__, r)) + end for r in runs]
 
 
 def encoder(path: str) -> Encoder:
@@ -74,18 +86,19 @@ def encoder(path: str) -> Encoder:
     return _tokenizers[path]
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream: places that depend on the last WINDOW ids only, so copies cut alike."""
+def cut_points(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of id streams that stand one after another in ids: places that depend on the last WINDOW ids
+    of their own stream only, so copies cut alike."""
     h = mix(ids.astype(_U) + _U(1))
+    closes = np.cumsum(lengths)
+    place = np.arange(len(ids)) - np.repeat(closes - lengths, lengths)
     roll = h.copy()
     for i in range(1, WINDOW):
-        roll[i:] += h[:-i] << _U(i)
-    ends = np.flatnonzero((mix(roll) & _U((1 << MEAN_BITS) - 1)) == 0) + 1
-    ends = np.unique(np.append(ends, len(ids)))
-    ends = ends[ends > 0]
+        roll[i:] += (h[:-i] << _U(i)) * (place[i:] >= i)
+    ends = np.union1d(np.flatnonzero((mix(roll) & _U((1 << MEAN_BITS) - 1)) == 0) + 1, closes[lengths > 0])
     gaps = np.diff(np.concatenate([[0], ends]))
     if len(gaps) and gaps.max() > MOST:
-        ends = np.unique(np.concatenate([np.arange(a + MOST, b, MOST) for a, b in zip(ends - gaps, ends, strict=True)] + [ends]))
+        ends = np.unique(np.concatenate([np.arange(a + MOST, b, MOST) for a, b in zip(ends - gaps, ends, strict=True) if b - a > MOST] + [ends]))
     return ends
 
 
@@ -110,24 +123,28 @@ def _encode(path: str, end_id: int):
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        serial = 0
         for batch in batches:
             seen: set[bytes] = set()
             for piece in slices(batch, "text"):
                 rows: list[tuple] = []
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
-                    ids = np.append(enc.ids(text), enc.wide(end_id))
-                    addresses, at = [], 0
-                    ends = cut_points(ids)
-                    for to in ends:
-                        body = ids[at:to].tobytes()
-                        addresses.append(_address(body))
-                        if addresses[-1] not in seen:
-                            seen.add(addresses[-1])
-                            rows.append((1, addresses[-1], None, None, int(to - at), None, body))
-                        at = to
-                    serial += 1
-                    rows.append((0, merkle(addresses), doc_id, 1, len(ids), np.diff(np.concatenate([[0], ends])).astype(np.uint16).tobytes(), b"".join(addresses)))
+                streams = enc.encode(piece.column("text").to_pylist(), end_id)
+                lengths = np.array([len(x) // enc.wide(0).itemsize for x in streams])
+                whole = b"".join(streams)
+                ends = cut_points(np.frombuffer(whole, enc.wide), lengths)
+                starts = np.concatenate([[0], ends[:-1]])
+                sizes = (ends - starts).astype(np.uint16)
+                first = np.searchsorted(ends, np.concatenate([[0], np.cumsum(lengths)]), "right")
+                width = enc.wide(0).itemsize
+                addresses = []
+                for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True):
+                    body = whole[a:b]
+                    addresses.append(_address(body))
+                    if addresses[-1] not in seen:
+                        seen.add(addresses[-1])
+                        rows.append((1, addresses[-1], None, None, (b - a) // width, None, body))
+                for k, doc_id in enumerate(piece.column("doc_id").to_pylist()):
+                    own = addresses[first[k] : first[k + 1]]
+                    rows.append((0, merkle(own), doc_id, 1, int(lengths[k]), sizes[first[k] : first[k + 1]].tobytes(), b"".join(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
     return encoded
