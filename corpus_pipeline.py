@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iqspark.llm import decontamination, language_id, mixing, ngram_join, token_store
-from iqspark.llm.common import new_path, table
+from iqspark.llm.common import bounded, materialize, new_path, table
 from iqspark.llm.queries import tokenizer_path
 
 #: Least calibrated probability of a document's language.
@@ -20,14 +20,20 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies."""
-    groups = ngram_join.similar_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(groups, docs.doc_id == groups.k, "left_semi").dropDuplicates(["doc_id"])
+    """The document with the least doc_id of each group of near copies; rows that repeat a doc_id become one, and rows
+    without one go. Texts are not shuffled while the ids that go, or that repeat, are few."""
+    found = materialize(ngram_join.similar_components(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")), "copies")
+    gone = bounded(found.where("doc_id != c").select(F.col("doc_id").alias("k")), "gone")
+    repeated = bounded(found.where("doc_id = c AND n > 1").select(F.col("doc_id").alias("k")), "repeated")
+    left = docs.where("doc_id IS NOT NULL").join(gone, docs.doc_id == gone.k, "left_anti")
+    once = left.join(repeated, left.doc_id == repeated.k, "left_anti")
+    return once.union(left.join(repeated, left.doc_id == repeated.k, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item's template."""
     found = decontamination.template_matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("k")).distinct()
+    found = bounded(found, "benchmarked")
     return docs.join(found, docs.doc_id == found.k, "left_anti")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded(df: DataFrame, name: str, most: int = 500_000) -> DataFrame:
+    """df written to the shared folder, and marked for broadcast if it has at most so many rows; else joins shuffle."""
+    written = materialize(df, name)
+    return F.broadcast(written) if written.count() <= most else written
