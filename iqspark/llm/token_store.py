@@ -20,7 +20,7 @@ from .textkit import mix, slices
 _U = np.uint64
 #: Chunks end where a rolling hash of the last WINDOW ids ends in MEAN_BITS zero bits, or after MOST ids.
 WINDOW, MEAN_BITS, MOST = 8, 8, 8192
-_CACHE_ENTRIES = 700_000  # runs that a task remembers; words without case and marks are remembered half as many
+_CACHE_ENTRIES = 350_000  # runs that a task remembers; words without case and marks are remembered half as many
 # Letters whose lower case and byte form need no normaliser, then marks that stand in one run.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,|;:!?*#$%&]*)")
 _tokenizers: dict[str, Encoder] = {}
