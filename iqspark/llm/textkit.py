@@ -82,8 +82,8 @@ def words(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:
     return Words(data, start, end, doc, first, len(texts))
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of bounded size; a longer text is a piece of its own."""
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 500_000, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of bounded size; a longer text is a piece of its own. Arrow's free memory goes back after the last."""
     size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     total = np.concatenate([[0], np.cumsum(size)])
@@ -91,6 +91,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000, most
         to = min(max(int(np.searchsorted(total, total[at] + most_bytes, "right")) - 1, at + 1), at + most_rows, len(size))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def windows(h: np.ndarray, w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

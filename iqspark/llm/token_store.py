@@ -49,6 +49,11 @@ class Encoder:
         self.separable, self.known, self.stems = separable, {}, {}
         self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
 
+    def forget(self) -> None:
+        """Empty the caches, so that a worker that waits for its next task holds little."""
+        self.known.clear()
+        self.stems.clear()
+
     def _stem(self, word: str) -> bytes:
         """One run of letters or marks, in lower case, by the tokenizer's model."""
         got = self.stems.get(word)
@@ -125,7 +130,7 @@ def _encode(path: str, end_id: int):
         enc = encoder(path)
         for batch in batches:
             seen: set[bytes] = set()
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 1_000_000):
                 rows: list[tuple] = []
                 streams = enc.encode(piece.column("text").to_pylist(), end_id)
                 lengths = np.array([len(x) // enc.wide(0).itemsize for x in streams])
@@ -146,6 +151,7 @@ def _encode(path: str, end_id: int):
                     own = addresses[first[k] : first[k + 1]]
                     rows.append((0, merkle(own), doc_id, 1, int(lengths[k]), sizes[first[k] : first[k + 1]].tobytes(), b"".join(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+        enc.forget()
 
     return encoded
 
