@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +29,9 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(words(pa.array([" ".join(UNITS)])).hashes())
 
 
-def templates(texts: pa.Array):
-    """Words of texts, the template's hash of each, and the hash of what a placeholder stands for (0: no placeholder).
-
-    Marks at both ends of a word are left out and A-Z folded. Words that have digits are numbers, those of UNITS after a
-    number are units, and words that begin with A-Z are names unless they begin a text, line or sentence.
-    """
+def _trimmed(texts: pa.Array):
+    """Words of texts, and the same without marks at both ends, as far as a word has other bytes."""
     w = words(texts)
-    # Trim marks, one byte a round, as far as a word has other bytes.
     start, end = w.start.copy(), w.end.copy()
     for _ in range(8):
         more = (end - start > 1) & _EDGE[w.data[np.minimum(start, max(len(w.data) - 1, 0))]] if len(start) else np.zeros(0, bool)
@@ -44,48 +40,89 @@ def templates(texts: pa.Array):
         end = end - less
         if not (more.any() or less.any()):
             break
-    trimmed = type(w)(w.data, start, end, w.doc, w.first, w.n_docs)
-    h = trimmed.hashes()
+    return w, type(w)(w.data, start, end, w.doc, w.first, w.n_docs)
+
+
+def _folded(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """texts, and texts in Unicode lower case: word k of the one is word k of the other. Broken bytes are replaced in both."""
+    texts = texts.cast(pa.large_string())
+    try:
+        lower = pa.compute.utf8_lower(texts)
+    except pa.ArrowInvalid:
+        raw = texts.cast(pa.large_binary()).to_pylist()
+        texts = pa.array([None if x is None else x.decode(errors="replace") for x in raw], pa.large_string())
+        lower = pa.compute.utf8_lower(texts)
+    # Letters whose capitals have another lower case.
+    for letter, plain in (("ß", "ss"), ("ς", "σ")):
+        lower = pa.compute.replace_substring(lower, letter, plain)
+    return texts, lower
+
+
+def templates(texts: pa.Array):
+    """Words of texts, the template's hash of each, the hash of what a placeholder stands for (0: no placeholder), and
+    the hashes of words where names are words too.
+
+    Marks at both ends of a word are left out and capitals folded (Unicode). Words that have digits are numbers, those of
+    UNITS after a number are units, and words that begin with a capital are names unless they begin a text, line or
+    sentence.
+    """
+    texts, lower = _folded(texts)
+    w, cut = _trimmed(texts)
+    start, end = cut.start, cut.end
+    plain = _trimmed(lower)[1]
+    h = plain.hashes()
     if not len(h):
-        return w, h, h
+        return w, h, h, h
     digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
     number = digits[end] > digits[start]
+    # A word begins with a capital if its first character has another lower case.
     head = w.data[start]
+    letter = 1 + (head >= 0xC0).astype(np.int64) + (head >= 0xE0) + (head >= 0xF0)
+    capital = np.zeros(len(h), bool)
+    for i in range(4):
+        capital |= (i < letter) & (w.data[np.minimum(start + i, len(w.data) - 1)] != plain.data[np.minimum(plain.start + i, len(plain.data) - 1)])
+    second = w.data[np.minimum(start + 1, len(w.data) - 1)]
+    capital &= ~((head == 0xC3) & (second == 0x9F)) & ~((head == 0xCF) & (second == 0x82))  # ß and ς are small
     begins = np.ones(len(h), bool)
     same = w.doc[1:] == w.doc[:-1]
     stop = np.isin(w.data[w.end[:-1] - 1], [ord(c) for c in ".?!:"])
     lines = np.concatenate([[0], np.cumsum(w.data == 10)])
     begins[1:] = ~same | stop | (lines[w.start[1:]] > lines[w.end[:-1]])
-    name = (head >= 0x41) & (head <= 0x5A) & ~begins & ~number
+    name = capital & ~begins & ~number
     units = _unit_hashes()
     unit = units[np.minimum(np.searchsorted(units, h), len(units) - 1)] == h
     unit[1:] &= number[:-1] & same
     unit[0] = False
-    template, slot = h.copy(), np.zeros(len(h), _U)
-    for kind, where in ((_NUM, number), (_NAME, name), (_UNIT, unit & ~number & ~name)):
+    template, slot, nameless = h.copy(), np.zeros(len(h), _U), h.copy()
+    for kind, where in ((_NUM, number), (_UNIT, unit & ~number), (_NAME, name)):
         template[where] = kind
         slot[where] = h[where] | _U(1)
-    return w, template, slot
+    nameless[number], nameless[unit & ~number] = _NUM, _UNIT
+    return w, template, slot, nameless
 
 
 def _window_rows(keep: np.ndarray | None):
-    """Rows (id, h, at, n, slots) of each window of template words; only those with a hash in keep, if given. slots: the
-    hashes of what the window's placeholders stand for, in turn."""
+    """Rows (id, h, at, n, slots) of each window of template words, and once more with names as words if it has any;
+    only those with a hash in keep, if given. slots: the hashes of what the window's placeholders stand for, in turn."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                w, template, slot = templates(piece.column("text"))
-                at, h = windows(template, w, WINDOW)
+                w, template, slot, nameless = templates(piece.column("text"))
                 count = np.diff(w.first)
-                if keep is not None:
-                    found = keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h if len(keep) else np.zeros(len(h), bool)
-                    at, h = at[found], h[found]
-                doc = w.doc[at]
-                ids = piece.column("id").take(pa.array(doc))
-                each = slot[at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), _U)
-                listed = pa.array([x[x > 0].view(np.int64) for x in each], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(at - w.first[doc], pa.int64()), pa.array(count[doc], pa.int64()), listed], ["id", "h", "at", "n", "slots"])
+                at, h = windows(template, w, WINDOW)
+                other = windows(nameless, w, WINDOW)[1]
+                named = np.flatnonzero(other != h)
+                plain = np.where((nameless == _NUM) | (nameless == _UNIT), slot, _U(0))
+                for at, h, values in ((at, h, slot), (at[named], other[named], plain)):
+                    if keep is not None:
+                        found = keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h if len(keep) else np.zeros(len(h), bool)
+                        at, h = at[found], h[found]
+                    doc = w.doc[at]
+                    ids = piece.column("id").take(pa.array(doc))
+                    each = values[at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), _U)
+                    listed = pa.array([x[x > 0].view(np.int64) for x in each], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(at - w.first[doc], pa.int64()), pa.array(count[doc], pa.int64()), listed], ["id", "h", "at", "n", "slots"])
 
     return rows
 
@@ -96,7 +133,8 @@ _ROWS = "id long, h long, at long, n long, slots array<long>"
 def template_matches(docs: DataFrame, benchmark: DataFrame, min_windows: int = 3, min_share: float = 0.3) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, reparameterised): items whose template a document has.
 
-    Windows of WINDOW template words are hash-joined. A window counts if its slots agree: a value of the item always
+    Windows of WINDOW template words are hash-joined, and those that have names a second time with the names as words, so
+    that copies in capitals, where no name stands out, are found (new names in such a copy are not). A window counts if its slots agree: a value of the item always
     meets the same value in the document and the reverse, over the whole pair (the commonest partner of each value is
     taken, of equal ones the value itself; windows against it don't count). A pair is a match with min_windows such windows (or all, if the item has
     fewer) that are min_share of the item's. reparameterised: some slot's value differs.

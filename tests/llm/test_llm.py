@@ -176,6 +176,18 @@ def test_templates_catch_new_parameters_and_leave_others(spark):
     assert decontamination.contaminated(docs(spark, []), items).count() == 0
 
 
+def test_copies_in_capitals_are_caught(spark):
+    q = "A train leaves the old station at 40 km per hour and Alice waits for 3 hours before she walks home again"
+    e = "En la estación él pregunta por Émile y Ángela antes de que llegue el último tren de las 9 y la niña se va"
+    g = "Wir grüßen heute die große Schule an der Straße und gehen danach alle zusammen zu Fuß nach Hause zurück"
+    items = spark.createDataFrame([(1, q), (2, e), (3, g)], "item_id long, text string")
+    rows = [(10, q.upper()), (11, "INTRO " + q.upper().replace("40", "75") + " MORE"), (12, q.title()), (20, e.upper()), (21, e.replace("Émile", "Óscar").replace("Ángela", "Íñigo")), (30, g.upper()), (40, "NOTHING OF THIS KIND STANDS IN HERE AT ALL, REALLY NOTHING")]
+    got = {r.doc_id: (list(r.item_ids), r.reparameterised) for r in decontamination.contaminated(docs(spark, rows), items).collect()}
+    assert got == {10: ([1], False), 11: ([1], True), 12: ([1], False), 20: ([2], False), 21: ([2], True), 30: ([3], False), 40: ([], False)}
+    raw = pa.array([b"a \xff\xfe B", b"x"], pa.binary())
+    assert [len(x) for x in decontamination.templates(pa.Array.from_buffers(pa.string(), 2, raw.buffers()))[1:]] == [4, 4, 4]
+
+
 def test_decontamination_without_broadcast_is_the_same(spark, monkeypatch):
     q = " ".join(f"w{k}" for k in range(30))
     items, d = spark.createDataFrame([(1, q)], "item_id long, text string"), docs(spark, [(1, q), (2, "x " + q[:60]), (3, "no")])
