@@ -16,6 +16,7 @@ from .textkit import mix, slices, windows, words
 _U = np.uint64
 #: Words of a window, windows that reach the driver for the membership filter at most.
 WINDOW, MOST_BROADCAST = 8, 2_000_000
+_WHOLE = -(1 << 62)  # the place of whole pairs
 #: Units that become placeholders: fixed values.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hrs hours minutes seconds days weeks years usd eur dollars euros percent % kb mb gb tb hz khz mhz ghz mph kmh".split()
 _EDGE = np.zeros(256, bool)
@@ -134,36 +135,50 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, min_windows: int = 3
     """(doc_id, item_id, windows, item_windows, reparameterised): items whose template a document has.
 
     Windows of WINDOW template words are hash-joined, and those that have names a second time with the names as words, so
-    that copies in capitals, where no name stands out, are found (new names in such a copy are not). A window counts if its slots agree: a value of the item always
-    meets the same value in the document and the reverse, over the whole pair (the commonest partner of each value is
-    taken, of equal ones the value itself; windows against it don't count). A pair is a match with min_windows such windows (or all, if the item has
-    fewer) that are min_share of the item's. reparameterised: some slot's value differs.
+    that copies in capitals, where no name stands out, are found (new names in such a copy are not). A window counts if
+    its slots agree: a value of the item always meets the same value in the document and the reverse, over one occurrence
+    (the commonest partner of each value is taken, of equal ones the value itself; windows against it don't count). An
+    occurrence is a match with min_windows such windows (or all, if the item has fewer) that are min_share of the item's.
+
+    Occurrences are told apart by where they would begin, place in the document less place in the item, in ranges of half
+    an item that overlap by half, so that words put in or left out don't part an occurrence and two copies never share
+    one; the whole pair counts as one more. windows is that of the best; reparameterised: some slot's value differs in
+    one of the matches.
 
     Items of under WINDOW words match nothing, nor do null or empty texts; null ids are kept as such out of matches.
     Copies of items (equal templates) match each. The windows of the benchmark reach tasks as a sorted list of hashes
     while they are at most MOST_BROADCAST; beyond that the same join runs on all windows by shuffle.
     """
     text = F.col("text").cast("string").alias("text")
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), text).mapInArrow(_window_rows(None), _ROWS)
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), text).distinct().mapInArrow(_window_rows(None), _ROWS)
     items = items.select(F.col("id").alias("item_id"), "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), (F.col("n") - WINDOW + 1).alias("item_windows"))
     few = items.select("h").distinct().limit(MOST_BROADCAST + 1).collect()
     keep = np.sort(np.array([r["h"] for r in few], np.int64).view(_U)) if len(few) <= MOST_BROADCAST else None
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), text).mapInArrow(_window_rows(keep), _ROWS).withColumnRenamed("id", "doc_id")
-    # A document that repeats an item has each window once for each distinct filling of its slots.
-    hits = materialize(rows.groupBy("doc_id", "h", "slots").agg(F.min("at").alias("at")).join(items, "h"), "hits")
-    pairs = hits.select("doc_id", "item_id", "item_at", "item_windows", F.explode(F.expr("CASE WHEN size(slots) > 0 THEN arrays_zip(item_slots, slots) ELSE array(named_struct('item_slots', 0L, 'slots', 0L)) END")).alias("s"), "at")
-    pairs = pairs.select("doc_id", "item_id", "item_at", "item_windows", "at", F.col("s.item_slots").alias("v"), F.col("s.slots").alias("u"))
-    seen = pairs.where("v != 0").groupBy("doc_id", "item_id", "v", "u").agg(F.count("*").alias("c"))
+    # Windows that an item repeats with the same values are one row that counts as often, so copies never multiply.
+    items = items.groupBy("item_id", "h", "item_slots", "item_windows").agg(F.min("item_at").alias("item_at"), F.count("*").alias("times"))
+    hits = materialize(rows.select("doc_id", "h", "slots", "at").join(items, "h"), "hits")
+    # Place p has the begins in the p-th quarter of an item and in the next one.
+    step = F.expr("(item_windows + 7) div 4 + 1")
+    quarter = F.floor((F.col("at") - F.col("item_at")) / step).cast("long")
+    place = F.explode(F.array(quarter, quarter - 1, F.lit(_WHOLE))).alias("place")
+    hits = hits.select("doc_id", "item_id", "item_at", "item_windows", "times", "at", "h", "item_slots", "slots", place)
+    occurrence = ["doc_id", "item_id", "place"]
+    pairs = hits.select(*occurrence, "item_at", "item_windows", "times", F.explode(F.expr("CASE WHEN size(slots) > 0 THEN arrays_zip(item_slots, slots) ELSE array(named_struct('item_slots', 0L, 'slots', 0L)) END")).alias("s"), "at", "h")
+    pairs = pairs.select(*occurrence, "item_at", "item_windows", "times", "at", "h", F.col("s.item_slots").alias("v"), F.col("s.slots").alias("u"))
+    seen = pairs.where("v != 0").groupBy(*occurrence, "v", "u").agg(F.count("*").alias("c"))
     # Of equally common partners a value itself comes first, so a copy agrees with itself however its windows repeat.
     same = (F.col("v") == F.col("u")).alias("same")
-    forth = seen.groupBy("doc_id", "item_id", "v").agg(F.max(F.struct("c", same, "u"))["u"].alias("u"))
-    back = seen.groupBy("doc_id", "item_id", "u").agg(F.max(F.struct("c", same, "v"))["v"].alias("v"))
-    agreed = forth.join(back, ["doc_id", "item_id", "v", "u"]).withColumn("agreed", F.lit(True))
-    judged = pairs.join(agreed, ["doc_id", "item_id", "v", "u"], "left").withColumn("good", (F.col("v") == 0) | F.coalesce("agreed", F.lit(False)))
-    by_window = judged.groupBy("doc_id", "item_id", "item_at", "item_windows", "at").agg(F.bool_and("good").alias("good"), F.bool_or(F.col("v") != F.col("u")).alias("changed")).where("good")
-    counted = by_window.groupBy("doc_id", "item_id", "item_windows").agg(F.count_distinct("item_at").alias("windows"), F.bool_or("changed").alias("reparameterised"))
+    forth = seen.groupBy(*occurrence, "v").agg(F.max(F.struct("c", same, "u"))["u"].alias("u"))
+    back = seen.groupBy(*occurrence, "u").agg(F.max(F.struct("c", same, "v"))["v"].alias("v"))
+    agreed = forth.join(back, [*occurrence, "v", "u"]).withColumn("agreed", F.lit(True))
+    judged = pairs.join(agreed, [*occurrence, "v", "u"], "left").withColumn("good", (F.col("v") == 0) | F.coalesce("agreed", F.lit(False)))
+    by_window = judged.groupBy(*occurrence, "item_at", "item_windows", "at", "h").agg(F.max("times").alias("times"), F.bool_and("good").alias("good"), F.bool_or(F.col("v") != F.col("u")).alias("changed")).where("good")
+    by_item = by_window.groupBy(*occurrence, "item_at", "item_windows").agg(F.max("times").alias("times"), F.bool_or("changed").alias("changed"))
+    counted = by_item.groupBy(*occurrence, "item_windows").agg(F.least(F.sum("times"), "item_windows").alias("windows"), F.bool_or("changed").alias("reparameterised"))
     enough = (F.col("windows") >= F.least(F.lit(min_windows), "item_windows")) & (F.col("windows") >= min_share * F.col("item_windows"))
-    return counted.where(enough).select("doc_id", "item_id", "windows", "item_windows", "reparameterised")
+    found = counted.where(enough).groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.first("item_windows").alias("item_windows"), F.bool_or("reparameterised").alias("reparameterised"))
+    return found.select("doc_id", "item_id", "windows", "item_windows", "reparameterised")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -188,6 +188,17 @@ def test_copies_in_capitals_are_caught(spark):
     assert [len(x) for x in decontamination.templates(pa.Array.from_buffers(pa.string(), 2, raw.buffers()))[1:]] == [4, 4, 4]
 
 
+def test_sheets_of_new_parameters_are_caught(spark):
+    q = "shop {} sells {} red pens and {} blue ones at {} each while stall {} gives {} of them to {} people over {} days with {} left and {} lost"
+    fill = lambda k: q.format(*(100 * k + j for j in range(10)))
+    shifted = lambda k: fill(k).replace("red", "very red")
+    items = spark.createDataFrame([(1, fill(0)), (1, fill(0))], "item_id long, text string")
+    rows = [(n, " ".join(fill(k) for k in range(1, n + 1))) for n in (1, 2, 3, 8, 40)] + [(100, "\n".join(f"Task {k}) {shifted(k)}" for k in range(1, 9))), (101, " ".join(fill(k)[:30] for k in range(1, 9)))]
+    got = {r.doc_id: r for r in decontamination.template_matches(docs(spark, rows), items).collect()}
+    assert set(got) == {1, 2, 3, 8, 40, 100} and all(r.reparameterised for r in got.values())
+    assert all(got[n].windows == got[n].item_windows for n in (1, 2, 3, 8, 40))
+
+
 def test_decontamination_without_broadcast_is_the_same(spark, monkeypatch):
     q = " ".join(f"w{k}" for k in range(30))
     items, d = spark.createDataFrame([(1, q)], "item_id long, text string"), docs(spark, [(1, q), (2, "x " + q[:60]), (3, "no")])
