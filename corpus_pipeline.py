@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iqspark.llm import decontamination, language_id, mixing, ngram_join, token_store
-from iqspark.llm.common import bounded, materialize, new_path, table
+from iqspark.llm.common import bounded, materialize, new_path, table, text_key
 from iqspark.llm.queries import tokenizer_path
 
 #: Least calibrated probability of a document's language.
@@ -20,21 +20,30 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies; rows that repeat a doc_id become one, and rows
-    without one go. Texts are not shuffled while the ids that go, or that repeat, are few."""
-    found = materialize(ngram_join.similar_components(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")), "copies")
-    gone = bounded(found.where("doc_id != c").select(F.col("doc_id").alias("k")), "gone")
-    repeated = bounded(found.where("doc_id = c AND n > 1").select(F.col("doc_id").alias("k")), "repeated")
-    left = docs.where("doc_id IS NOT NULL").join(gone, docs.doc_id == gone.k, "left_anti")
-    once = left.join(repeated, left.doc_id == repeated.k, "left_anti")
-    return once.union(left.join(repeated, left.doc_id == repeated.k, "left_semi").dropDuplicates(["doc_id"]))
+    """The row that comes first of each group of near copies, by doc_id (rows without one last); texts without words all
+    stay. Rows are told apart by doc_id and text: those with equal ids and texts become one. Texts are not shuffled while
+    the rows that go, or that repeat, are few."""
+    own = [F.col("doc_id").alias("d"), F.col("text_key").alias("t")]
+    found = ngram_join.similar_rows(docs).groupBy(*own).agg(F.max("n").alias("n"), F.max("first").alias("first"), F.count("*").alias("c"))
+    stays = F.expr("n = 0 OR (d <=> first.doc_id AND t = first.text_key)")
+    found = materialize(found.select("d", "t", stays.alias("stays"), F.expr("c > 1 AND (n > 0 OR d IS NOT NULL)").alias("repeats")).where("NOT stays OR repeats"), "copies")
+    gone, repeated = bounded(found.where("NOT stays").select("d", "t"), "gone"), bounded(found.where("stays").select("d", "t"), "repeated")
+    left = docs.join(gone, same_row(docs, gone), "left_anti")
+    once = left.join(repeated, same_row(left, repeated), "left_anti")
+    again = left.join(repeated, same_row(left, repeated), "left_semi").groupBy(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("t"))
+    return once.union(again.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+
+
+def same_row(docs: DataFrame, keys: DataFrame) -> Column:
+    """A row of keys(d, t) names a row of docs(doc_id, text)."""
+    return docs.doc_id.cast("long").eqNullSafe(keys.d) & (text_key(docs.text) == keys.t)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item's template."""
-    found = decontamination.template_matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("k")).distinct()
+    found = decontamination.template_matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct()
     found = bounded(found, "benchmarked")
-    return docs.join(found, docs.doc_id == found.k, "left_anti")
+    return docs.join(found, same_row(docs, found), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

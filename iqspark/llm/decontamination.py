@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_key
 from .textkit import mix, slices, windows, words
 
 _U = np.uint64
@@ -103,7 +103,7 @@ def templates(texts: pa.Array):
 
 
 def _window_rows(keep: np.ndarray | None):
-    """Rows (id, h, at, n, slots) of each window of template words, and once more with names as words if it has any;
+    """Rows (id, text_key, h, at, n, slots) of each window of template words, and once more with names as words if it has any;
     only those with a hash in keep, if given. slots: the hashes of what the window's placeholders stand for, in turn."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,19 +120,19 @@ def _window_rows(keep: np.ndarray | None):
                         found = keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h if len(keep) else np.zeros(len(h), bool)
                         at, h = at[found], h[found]
                     doc = w.doc[at]
-                    ids = piece.column("id").take(pa.array(doc))
+                    ids, keys = (piece.column(c).take(pa.array(doc)) for c in ("id", "text_key"))
                     each = values[at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), _U)
                     listed = pa.array([x[x > 0].view(np.int64) for x in each], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(at - w.first[doc], pa.int64()), pa.array(count[doc], pa.int64()), listed], ["id", "h", "at", "n", "slots"])
+                    yield pa.RecordBatch.from_arrays([ids, keys, pa.array(h.view(np.int64)), pa.array(at - w.first[doc], pa.int64()), pa.array(count[doc], pa.int64()), listed], ["id", "text_key", "h", "at", "n", "slots"])
 
     return rows
 
 
-_ROWS = "id long, h long, at long, n long, slots array<long>"
+_ROWS = "id long, text_key long, h long, at long, n long, slots array<long>"
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, min_windows: int = 3, min_share: float = 0.3) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, reparameterised): items whose template a document has.
+    """(doc_id, item_id, windows, item_windows, reparameterised, text_key): items whose template a document has.
 
     Windows of WINDOW template words are hash-joined, and those that have names a second time with the names as words, so
     that copies in capitals, where no name stands out, are found (new names in such a copy are not). A window counts if
@@ -145,25 +145,26 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, min_windows: int = 3
     one; the whole pair counts as one more. windows is that of the best; reparameterised: some slot's value differs in
     one of the matches.
 
-    Items of under WINDOW words match nothing, nor do null or empty texts; null ids are kept as such out of matches.
+    Items of under WINDOW words match nothing, nor do null or empty texts. A document is a doc_id (or none) with a text,
+    named by text_key, so rows that share an id are judged each.
     Copies of items (equal templates) match each. The windows of the benchmark reach tasks as a sorted list of hashes
     while they are at most MOST_BROADCAST; beyond that the same join runs on all windows by shuffle.
     """
     text = F.col("text").cast("string").alias("text")
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), text).distinct().mapInArrow(_window_rows(None), _ROWS)
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), text, text_key(F.col("text")).alias("text_key")).distinct().mapInArrow(_window_rows(None), _ROWS)
     items = items.select(F.col("id").alias("item_id"), "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), (F.col("n") - WINDOW + 1).alias("item_windows"))
     few = items.select("h").distinct().limit(MOST_BROADCAST + 1).collect()
     keep = np.sort(np.array([r["h"] for r in few], np.int64).view(_U)) if len(few) <= MOST_BROADCAST else None
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), text).mapInArrow(_window_rows(keep), _ROWS).withColumnRenamed("id", "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text, text_key(F.col("text")).alias("text_key")).mapInArrow(_window_rows(keep), _ROWS).withColumnRenamed("id", "doc_id")
     # Windows that an item repeats with the same values are one row that counts as often, so copies never multiply.
     items = items.groupBy("item_id", "h", "item_slots", "item_windows").agg(F.min("item_at").alias("item_at"), F.count("*").alias("times"))
-    hits = materialize(rows.select("doc_id", "h", "slots", "at").join(items, "h"), "hits")
+    hits = materialize(rows.distinct().select("doc_id", "text_key", "h", "slots", "at").join(items, "h"), "hits")
     # Place p has the begins in the p-th quarter of an item and in the next one.
     step = F.expr("(item_windows + 7) div 4 + 1")
     quarter = F.floor((F.col("at") - F.col("item_at")) / step).cast("long")
     place = F.explode(F.array(quarter, quarter - 1, F.lit(_WHOLE))).alias("place")
-    hits = hits.select("doc_id", "item_id", "item_at", "item_windows", "times", "at", "h", "item_slots", "slots", place)
-    occurrence = ["doc_id", "item_id", "place"]
+    hits = hits.select("doc_id", "text_key", "item_id", "item_at", "item_windows", "times", "at", "h", "item_slots", "slots", place)
+    occurrence = ["doc_id", "text_key", "item_id", "place"]
     pairs = hits.select(*occurrence, "item_at", "item_windows", "times", F.explode(F.expr("CASE WHEN size(slots) > 0 THEN arrays_zip(item_slots, slots) ELSE array(named_struct('item_slots', 0L, 'slots', 0L)) END")).alias("s"), "at", "h")
     pairs = pairs.select(*occurrence, "item_at", "item_windows", "times", "at", "h", F.col("s.item_slots").alias("v"), F.col("s.slots").alias("u"))
     seen = pairs.where("v != 0").groupBy(*occurrence, "v", "u").agg(F.count("*").alias("c"))
@@ -171,19 +172,22 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, min_windows: int = 3
     same = (F.col("v") == F.col("u")).alias("same")
     forth = seen.groupBy(*occurrence, "v").agg(F.max(F.struct("c", same, "u"))["u"].alias("u"))
     back = seen.groupBy(*occurrence, "u").agg(F.max(F.struct("c", same, "v"))["v"].alias("v"))
-    agreed = forth.join(back, [*occurrence, "v", "u"]).withColumn("agreed", F.lit(True))
-    judged = pairs.join(agreed, [*occurrence, "v", "u"], "left").withColumn("good", (F.col("v") == 0) | F.coalesce("agreed", F.lit(False)))
+    keys = [*occurrence, "v", "u"]
+    agreed = forth.join(back.toDF(*[f"{c}_" for c in back.columns]), [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys]).select(*[F.col(c).alias(f"{c}_") for c in keys], F.lit(True).alias("agreed"))
+    judged = pairs.join(agreed, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys], "left").withColumn("good", (F.col("v") == 0) | F.coalesce("agreed", F.lit(False)))
     by_window = judged.groupBy(*occurrence, "item_at", "item_windows", "at", "h").agg(F.max("times").alias("times"), F.bool_and("good").alias("good"), F.bool_or(F.col("v") != F.col("u")).alias("changed")).where("good")
     by_item = by_window.groupBy(*occurrence, "item_at", "item_windows").agg(F.max("times").alias("times"), F.bool_or("changed").alias("changed"))
     counted = by_item.groupBy(*occurrence, "item_windows").agg(F.least(F.sum("times"), "item_windows").alias("windows"), F.bool_or("changed").alias("reparameterised"))
     enough = (F.col("windows") >= F.least(F.lit(min_windows), "item_windows")) & (F.col("windows") >= min_share * F.col("item_windows"))
-    found = counted.where(enough).groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.first("item_windows").alias("item_windows"), F.bool_or("reparameterised").alias("reparameterised"))
-    return found.select("doc_id", "item_id", "windows", "item_windows", "reparameterised")
+    found = counted.where(enough).groupBy("doc_id", "text_key", "item_id").agg(F.max("windows").alias("windows"), F.first("item_windows").alias("item_windows"), F.bool_or("reparameterised").alias("reparameterised"))
+    return found.select("doc_id", "item_id", "windows", "item_windows", "reparameterised", "text_key")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, contaminated, n_items, item_ids, reparameterised) of every row of docs; item_ids is sorted."""
-    found = template_matches(docs, benchmark).groupBy(F.col("doc_id").alias("d")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.bool_or("reparameterised").alias("reparameterised"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id") == F.col("d"), "left")
+    """(doc_id, contaminated, n_items, item_ids, reparameterised) of every row of docs; item_ids is sorted. Rows
+    without a doc_id count as not contaminated here; template_matches, and the pipeline with it, judges them too."""
+    own = [F.col("doc_id").alias("d"), F.col("text_key").alias("t")]
+    found = template_matches(docs.where("doc_id IS NOT NULL"), benchmark).groupBy(*own).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.bool_or("reparameterised").alias("reparameterised"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k")).join(found, (F.col("doc_id") == F.col("d")) & (F.col("k") == F.col("t")), "left")
     none = F.array().cast("array<long>")
     return out.select("doc_id", F.col("d").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_key
 from .components import connected_components
 from .textkit import mix, slices, windows, words
 
@@ -48,11 +48,11 @@ def _class_keys(doc: np.ndarray, tokens: np.ndarray, size: np.ndarray) -> np.nda
 
 
 _PACKED = "fragment long, cls binary, n binary, part binary, low binary, high binary"
-_LISTED = "cls long, n int, token long, df int, doc_id long"
+_LISTED = "cls long, n int, token long, df int, doc_id long, text_key long"
 
 
 def _pack(bits: int, k: int):
-    """Each piece of documents becomes one row for each fragment (range of the n-gram order) and one of ids (-1, ...)."""
+    """Each piece of documents becomes one row for each fragment (range of the n-gram order) and one of ids and keys of texts (-1, ...)."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = _U(TOKEN_BITS - bits)
@@ -65,7 +65,7 @@ def _pack(bits: int, k: int):
                 rows: list[tuple] = []
                 serial += 1
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
-                rows.append((-1 - (hash((serial, int(cls[0]))) % (4 << bits)), cls.tobytes(), size.astype(np.int32).tobytes(), known.astype(np.int8).tobytes(), ids.fill_null(0).to_numpy().tobytes(), b""))
+                rows.append((-1 - (hash((serial, int(cls[0]))) % (4 << bits)), cls.tobytes(), size.astype(np.int32).tobytes(), known.astype(np.int8).tobytes(), ids.fill_null(0).to_numpy().tobytes(), piece.column("text_key").to_numpy().tobytes()))
                 keep = np.zeros(len(size), bool)
                 keep[np.unique(cls, return_index=True)[1]] = True  # a copy in the same piece adds nothing
                 keep &= size > 0
@@ -97,7 +97,7 @@ def _count_fragment(bits: int):
         if fragment < 0:
             ids = pa.array(_joined(table, "low", np.int64), mask=part == 0)
             none = pa.nulls(len(cls))
-            return pa.table([cls, n, none.cast(pa.int64()), none.cast(pa.int32()), ids], ["cls", "n", "token", "df", "doc_id"])
+            return pa.table([cls, n, none.cast(pa.int64()), none.cast(pa.int32()), ids, _joined(table, "high", np.int64)], ["cls", "n", "token", "df", "doc_id", "text_key"])
         tokens = (_joined(table, "high", np.uint16).astype(_U) << _U(32)) | _joined(table, "low", np.uint32)
         first = np.zeros(len(cls), bool)
         first[np.unique(cls, return_index=True)[1]] = True
@@ -111,7 +111,8 @@ def _count_fragment(bits: int):
         shared = df > 1
         owner, tokens, df = owner[shared], tokens[shared], df[shared]
         tokens = (tokens | (_U(fragment) << _U(TOKEN_BITS - bits))).astype(np.int64)
-        return pa.table([cls[owner], n[owner], tokens, df.astype(np.int32), pa.nulls(len(owner)).cast(pa.int64())], ["cls", "n", "token", "df", "doc_id"])
+        none = pa.nulls(len(owner)).cast(pa.int64())
+        return pa.table([cls[owner], n[owner], tokens, df.astype(np.int32), none, none], ["cls", "n", "token", "df", "doc_id", "text_key"])
 
     return counted
 
@@ -178,15 +179,15 @@ def _links(threshold: int):
 def ngram_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(documents, n-grams) of docs(doc_id, text), written to the shared folder.
 
-    documents: doc_id, cls (key of the set of distinct k-word n-grams), n (its size; 0 without words). n-grams: cls, n,
+    documents: doc_id, text_key, cls (key of the set of distinct k-word n-grams), n (its size; 0 without words). n-grams: cls, n,
     token, df of those n-grams that two classes at least have.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
     parts = max(1, source.rdd.getNumPartitions())
     bits = max(5, (4 * parts).bit_length() - 1)  # fragments grow with the input, so that each stays small
     packed = source.mapInArrow(_pack(bits, k), _PACKED)
     listed = materialize(packed.groupBy("fragment").applyInArrow(_count_fragment(bits), _LISTED), "ngrams")
-    return listed.where("token IS NULL").select("doc_id", "cls", "n"), listed.where("token IS NOT NULL").drop("doc_id")
+    return listed.where("token IS NULL").select("doc_id", "text_key", "cls", "n"), listed.where("token IS NOT NULL").drop("doc_id", "text_key")
 
 
 def similar_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -205,6 +206,14 @@ def similar_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     Nulls: a null or wordless text has n_shingles 0 and is its own component; a null doc_id is ignored for the minimum,
     and repeated doc_ids give repeated rows. Other columns are ignored. Nothing is capped.
     """
+    out = similar_rows(docs, k, threshold)
+    component = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component)
+
+
+def similar_rows(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """(doc_id, text_key, n, first) of every row of docs: first(no_id, doc_id, text_key) is the row that comes first in
+    its component of similar_components, by doc_id, nulls last, then text_key; null if n is 0."""
     documents, grams = ngram_classes(docs, k)
     pairs = F.sort_array(F.collect_list(F.struct("df", "token")))
     classes = grams.groupBy("cls", "n").agg(F.count("*").alias("m"), pairs.alias("grams")).where(F.col("m") * 100 >= threshold * F.col("n"))
@@ -226,9 +235,8 @@ def similar_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     large = other.select("cls", "n", "tokens", "g", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
     stars = small.union(large).groupBy("g", "i", "j").applyInArrow(_links(threshold), "a long, b long")
     linked = connected_components(stars, "a", "b").withColumnRenamed("node", "cls")
-    by_class = documents.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    by_class = documents.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least"))
     found = by_class.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    roots = found.groupBy("component").agg(F.min("least").alias("root"))
-    to_root = found.join(roots, "component").select("cls", "root")
-    out = documents.join(to_root, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+    roots = found.groupBy("component").agg(F.min("least").alias("first"))
+    to_root = found.join(roots, "component").select("cls", "first")
+    return documents.join(to_root, "cls", "left").select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("first")).alias("first"))

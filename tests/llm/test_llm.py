@@ -347,6 +347,22 @@ def test_sql_gives_the_same(spark, name):
     assert sorted(map(str, (tuple(r[k] for k in order) for r in rel.fetchall()))) == sorted(map(str, map(tuple, df.collect())))
 
 
+def test_pipeline_drops_rows_by_their_text(spark, folder):
+    import corpus_pipeline
+
+    q = "A train leaves the old station at 40 km per hour and Alice waits for 3 hours before she walks home again"
+    spark.createDataFrame([(1, q)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(30)) for c in "pqrs")
+    rows = [(1, one), (2, two), (2, three), (2, three), (3, two), (5, one), (5, four), (None, one), (None, four + " t"), (None, "alone in the world with its own words"), (None, "alone in the world with its own words"), (6, None), (6, None), (None, ""), (None, "")]
+    left = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), folder)
+    want = [(1, one), (2, two), (2, three), (5, four), (None, "alone in the world with its own words"), (6, None), (None, ""), (None, "")]
+    assert left.columns == [c.split()[0] for c in DOCS.split(", ")] and sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, want))
+    left = corpus_pipeline.drop_benchmark(spark, docs(spark, [(1, q), (1, one), (None, q.replace("40", "75")), (None, two), (3, None)]), folder)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [(1, one), (None, two), (3, None)]))
+    shared = decontamination.contaminated(docs(spark, [(1, q), (1, one)]), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert sorted(r.contaminated for r in shared.collect()) == [False, True]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
