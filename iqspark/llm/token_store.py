@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import materialize, new_path
 from .textkit import mix, slices
 
 _U = np.uint64
@@ -194,6 +194,32 @@ def _shard_root(t: pa.Table) -> pa.Table:
     return pa.table({"shard": t.column("shard")[:1], "root": pa.array([merkle(t.column("root").to_pylist())], pa.binary())})
 
 
+def _check_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes without their lists; right: the addresses give the root, and their lengths are as many and sum up to n_tokens."""
+    for b in batches:
+        right = []
+        for addresses, lens, root, n in zip(*(b.column(c).to_pylist() for c in ("addresses", "lens", "root", "n_tokens")), strict=True):
+            whole = addresses is not None and lens is not None and len(addresses) % 16 == 0 and len(lens) * 8 == len(addresses)
+            right.append(whole and merkle([addresses[i : i + 16] for i in range(0, len(addresses), 16)]) == root and int(np.frombuffer(lens, np.uint16).sum(dtype=np.int64)) == n)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("shard", "doc_id", "root", "copy", "n_tokens")), pa.array(right, pa.bool_())], ["shard", "doc_id", "root", "copy", "n_tokens", "right"])
+
+
+def _shards(recipes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(shard, base, whole) of every shard of recipes: whole if its root, documents, tokens, first and last doc_id are
+    those of the manifest and it starts where the tokens of the shards before end. Raises if documents are missing."""
+    totals = recipes.groupBy("shard").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l"), F.count("*").alias("d"), F.sum("n_tokens").alias("t"))
+    roots = recipes.select("shard", "doc_id", "root", "copy").groupBy("shard").applyInArrow(_shard_root, "shard int, root binary").withColumnRenamed("root", "r")
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stated = manifest.withColumn("before", before)
+    whole = F.expr("root <=> r AND documents <=> d AND tokens <=> t AND first_doc <=> f AND last_doc <=> l AND start <=> before")
+    state = totals.join(roots, "shard").join(stated, "shard", "full").select("shard", F.col("start").alias("base"), whole.alias("whole"), (F.col("documents") - F.coalesce("d", F.lit(0))).alias("missing"))
+    state = materialize(state, "shards")
+    missing = state.where("missing > 0").agg(F.sum("missing"), F.count("*"), F.min("shard")).first()
+    if missing[1]:
+        raise ValueError(f"the store lacks {missing[0]} documents of its manifest, in {missing[1]} shards from shard {missing[2]} on")
+    return state.drop("missing")
+
+
 def _read_chunks(width: int):
     """Address, whether the stored ids still give it, their number and crc32 as 32-bit ids."""
 
@@ -244,15 +270,18 @@ def read_store(spark: SparkSession, out: str, width: int = 2) -> DataFrame:
 
     Chunk files are read whole: each chunk's ids are hashed against its address and summed up as a crc32. Recipes then
     join on addresses only, and crc32 values of chunks combine to those of documents: ids never move again. verified:
-    all chunks are there, sound and as long as the recipe says.
+    all chunks are there, sound and as long as the recipe says; the recipe's addresses in their order give its root; and
+    the roots, ids and counts of its shard are those of the manifest. Raises if documents of the manifest are missing.
     """
     schema = "key binary, doc_id long, n_tokens long, lens binary, body binary, copies long, kind int"
     chunks = spark.read.schema(schema).parquet(f"{out}/parts").where("kind = 1").select("key", "body").mapInArrow(_read_chunks(width), "key binary, sound boolean, n long, crc long")
     recipes, manifest = spark.read.parquet(f"{out}/recipes"), spark.read.parquet(f"{out}/manifest")
     order = Window.partitionBy("shard").orderBy("doc_id", "root", "copy")
     running = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = recipes.select("shard", "doc_id", "root", "copy", "n_tokens").withColumn("within", F.coalesce(running, F.lit(0)))
-    starts = starts.join(manifest.select("shard", F.col("start").alias("base")), "shard").select("doc_id", "root", "copy", "n_tokens", (F.col("base") + F.col("within")).alias("start"))
+    checked = recipes.select("shard", "doc_id", "root", "copy", "n_tokens", "lens", "addresses").mapInArrow(_check_recipes, "shard int, doc_id long, root binary, copy long, n_tokens long, right boolean")
+    starts = checked.withColumn("within", F.coalesce(running, F.lit(0)))
+    kept = (F.col("right") & F.coalesce("whole", F.lit(False))).alias("kept")
+    starts = starts.join(_shards(recipes, manifest), "shard", "left").select("doc_id", "root", "copy", "n_tokens", (F.col("base") + F.col("within")).alias("start"), kept)
     one = recipes.where("copy = 1")
     uses = one.select("doc_id", "root", "n_tokens", F.posexplode(F.expr("transform(sequence(0, length(addresses) div 16 - 1), i -> substring(addresses, i * 16 + 1, 16))")).alias("at", "key"), "lens")
     uses = uses.withColumn("len", F.expr("conv(hex(substring(lens, at * 2 + 2, 1)), 16, 10) * 256 + conv(hex(substring(lens, at * 2 + 1, 1)), 16, 10)").cast("long")).drop("lens")
@@ -262,7 +291,7 @@ def read_store(spark: SparkSession, out: str, width: int = 2) -> DataFrame:
     found = uses.join(chunks, "key", "left").withColumn("moved", shifted(F.coalesce("crc", F.lit(0)), "after"))
     good = F.bool_and(F.coalesce(F.col("sound") & (F.col("n") == F.col("len")), F.lit(False)))
     docs = found.groupBy("doc_id", "root").agg(F.bit_xor("moved").alias("ids_crc32"), good.alias("verified"))
-    joined = starts.join(docs, starts.doc_id.eqNullSafe(docs.doc_id) & (starts.root == docs.root)).select(starts.doc_id, "start", "n_tokens", "ids_crc32", "verified")
+    joined = starts.join(docs, starts.doc_id.eqNullSafe(docs.doc_id) & (starts.root == docs.root), "left").select(starts.doc_id, "start", "n_tokens", "ids_crc32", (F.col("kept") & F.coalesce("verified", F.lit(False))).alias("verified"))
     return joined
 
 

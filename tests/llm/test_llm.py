@@ -153,6 +153,38 @@ def test_damaged_chunks_are_found(spark, folder):
     assert not token_store.read_store(spark, f"{folder}/bad").first().verified
 
 
+def test_recipes_and_manifests_are_checked(spark, folder):
+    out = f"{folder}/store"
+    rows = [(k, " ".join(f"w{k * j}" for j in range(1500))) for k in range(1, 9)] + [(3, "once more")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several shards
+    token_store.write_store(docs(spark, rows), queries.tokenizer_path(), out)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    recipes, manifest = spark.read.parquet(f"{out}/recipes"), spark.read.parquet(f"{out}/manifest")
+    assert recipes.where("doc_id = 2").first().lens[2:] and manifest.count() > 1
+
+    def read(name, recipes=recipes, manifest=manifest):
+        spark.read.parquet(f"{out}/parts").write.partitionBy("kind").parquet(f"{folder}/{name}/parts")
+        recipes.write.parquet(f"{folder}/{name}/recipes")
+        manifest.write.parquet(f"{folder}/{name}/manifest")
+        return sorted((r.doc_id, r.verified) for r in token_store.read_store(spark, f"{folder}/{name}").collect())
+
+    assert all(v for _, v in read("same"))
+    mine = F.col("doc_id") == 2
+    turned = lambda c, n: F.expr(f"array_join(transform(reverse(sequence(0, length({c}) div {n} - 1)), i -> hex(substring({c}, i * {n} + 1, {n}))), '')")
+    swapped = recipes.withColumn("addresses", F.when(mine, F.unhex(turned("addresses", 16))).otherwise(F.col("addresses"))).withColumn("lens", F.when(mine, F.unhex(turned("lens", 2))).otherwise(F.col("lens")))
+    assert [v for i, v in read("swapped", swapped) if i == 2] == [False]
+    cut = recipes.withColumn("addresses", F.when(mine, F.expr("substring(addresses, 1, 16)")).otherwise(F.col("addresses"))).withColumn("lens", F.when(mine, F.expr("substring(lens, 1, 2)")).otherwise(F.col("lens")))
+    assert [v for i, v in read("cut", cut) if i == 2] == [False]
+    last = recipes.agg(F.max("shard")).first()[0]
+    got = read("count", manifest=manifest.withColumn("tokens", F.col("tokens") + (F.col("shard") == last).cast("long")))
+    assert not all(v for _, v in got) and any(v for _, v in got) and len(got) == len(rows)
+    assert not any(v for _, v in read("unlisted", manifest=manifest.where("shard < 0")))
+    with pytest.raises(ValueError, match="lacks 1 documents"):
+        read("lost", recipes.where("doc_id != 2"))
+    with pytest.raises(ValueError, match="lacks"):
+        read("shard", recipes.where(F.col("shard") != last))
+
+
 def test_crc_of_parts():
     rng = np.random.default_rng(0)
     for _ in range(20):
