@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +49,52 @@ def canonical_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(F.lit("~"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unescaped(text: Column) -> Column:
+    """text with its character references (named ones with a semicolon, decimal and hexadecimal ones) replaced, once each."""
+    names = F.str_to_map(F.lit("\x02".join(f"{k[:-1]}\x01{v}" for k, v in html5.items() if k.endswith(";"))), F.lit("\x02"), F.lit("\x01"))
+    # References and what stands between them, in turn, so that what a reference gives is never read again.
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#[xX][0-9A-Fa-f]{1,6};?|&#[0-9]{1,7};?|&[A-Za-z][A-Za-z0-9]*;|&|[^&]+"), F.lit(0))
+
+    def plain(p: Column) -> Column:
+        number = F.when(p.rlike("^&#[xX]"), F.conv(F.regexp_extract(p, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10)).otherwise(F.regexp_extract(p, "^&#([0-9]+)", 1)).cast("int")
+        known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        letter = F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(p)
+        name = F.coalesce(F.try_element_at(names, F.regexp_extract(p, "^&([A-Za-z0-9]+);$", 1)), p)
+        return F.when(p.rlike("^&#[0-9xX]"), letter).when(p.rlike("^&[A-Za-z0-9]+;$"), name).otherwise(p)
+
+    return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(parts, plain), "")).otherwise(text)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute url of a target in the page url: by scheme, // (host), / (path), ? (query), # (the page itself), or
+    else from the directory of the page's path; . and .. are folded. null for targets of other kinds, as mailto:."""
+    site, path = F.concat(F.lit("x://"), host_of(url)), path_of(url)
+    folder = F.concat(site, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", "")))
+    whole = (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(site, path, target)).when(target.startswith("#"), F.regexp_replace(url, "(?s)#.*$", ""))
+        .when(~target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(folder, target))
+    )
+    return _once(whole, lambda w: F.when(w.rlike(r"^[^:]*://[^/?#]*[^?#]*/\.\.?(?:[/?#]|$)"), _folded(w)).otherwise(w))
+
+
+def _folded(url: Column) -> Column:
+    """An absolute url without . and .. in its path."""
+    parts = lambda k: F.regexp_extract(url, r"(?s)^([^:]*://[^/?#]*)/?([^?#]*)(.*)$", k)
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.split(parts(2), "/", -1), F.array().cast("array<string>"), step)
+    ends = F.when(parts(2).rlike(r"(?:^|/)\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(parts(1), F.lit("/"), F.array_join(kept, "/"), ends, parts(3))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(a, b) of pages(url, html): each url to its canonical key, and the key of a canonical link or of a redirect by
-    meta refresh in the page to the page's. Relative targets begin at the url's host."""
+    meta refresh in the page to the page's. Targets are unescaped and resolved."""
     html = F.when(F.col("html").rlike(r"(?i)canonical|http-equiv"), F.col("html"))
     link = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0))
     meta = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
@@ -57,9 +102,9 @@ def page_edges(pages: DataFrame) -> DataFrame:
     to = F.transform(meta, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     targets = F.coalesce(F.concat(href, to), F.array().cast("array<string>"))
     known = pages.where(F.instr("url", "://") > 0).select("url", F.filter(targets, lambda t: t != "").alias("to"))
-    absolute = F.when(F.instr("t", "://") > 0, F.col("t")).when(F.col("t").startswith("/"), F.concat(F.lit("x://"), host_of(F.col("url")), F.col("t")))
+    absolute = _once(unescaped(F.col("t")), lambda t: resolved(t, F.col("url")))
     own = known.select(F.col("url").alias("a"), canonical_key(F.col("url")).alias("b"))
-    linked = known.where(F.size("to") > 0).select("url", F.explode("to").alias("t")).select(canonical_key(F.col("url")).alias("a"), canonical_key(absolute).alias("b"))
+    linked = known.where(F.size("to") > 0).select("url", F.explode("to").alias("t")).select(canonical_key(F.col("url")).alias("a"), _once(absolute, canonical_key).alias("b"))
     return own.union(linked.where("b IS NOT NULL"))
 
 

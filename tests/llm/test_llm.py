@@ -334,6 +334,21 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(df, redirects=more).where("page_id = 7").collect()} == {"block"}
 
 
+def test_targets_of_pages_are_resolved(spark):
+    page = "http://Shop.net/a/b/page.html?q=1"
+    want = {
+        "page2": "/a/b/page2", "../x": "/a/x", "./y/./z": "/a/b/y/z", "../../../up": "/up", "/c/../d?u=http://z.org/": "/d?u=http://z.org/", "?r=2": "/a/b/page?r=2", "#top": "/a/b/page?q=1", "sub/..": "/a/b",
+        "/s?b=2&amp;a=1": "/s?a=1&b=2", "/t&#47;u&#x2F;v": "/t/u/v", "/&eacute;&#233;&amp;lt;": "/éé&lt;",
+    }
+    rows = [(t, f"~shop.net{k}") for t, k in want.items()] + [("//cdn.org/k/../m", "~cdn.org/m"), ("https://www.one.org/p", "~one.org/p"), ("mailto:a@b.c", None)]
+    df = spark.createDataFrame([(page, t, k) for t, k in rows], "url string, t string, k string")
+    got = df.withColumn("u", url_filter.unescaped(F.col("t"))).select("t", url_filter._once(url_filter.resolved(F.col("u"), F.col("url")), url_filter.canonical_key).alias("k")).collect()
+    assert {r.t: r.k for r in got} == dict(rows)
+    kinds = [("http://b.com/de/x", "1"), ("http://b.com/de/q", "../de/2"), ("http://alias.net/p", "//b.com/de/3"), ("http://alias.net/dir/r", "s?x=1&amp;y=2")]
+    pages = [(k, u, f'<link rel="canonical" href="{t}">') for k, (u, t) in enumerate(kinds)] + [(9, "http://alias.net/dir/s?y=2&x=1", '<meta http-equiv="refresh" content="0; url=//b.com/de/9">')]
+    assert [r.verdict for r in url_filter.judge(spark.createDataFrame(pages + [(10, "https://b.com/de/3", ""), (11, "https://b.com/de/9", "")], PAGES)).orderBy("page_id").collect()] == ["block"] * 7
+
+
 def test_main_text():
     page = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="ad">Buy</div><article><header><h1>Head &amp; line</h1></header><p><b>First\n  text<br>here<p>Second <a href=q>link</a> text &lt;b&gt;</p><ul><li>one<li>two</ul><div id="comments"><p>Reader says</p></div></article><aside>Side</aside><footer>&copy; foot</footer>'
     assert html_text.main_text(page) == "Head & line\nFirst text here\nSecond link text <b>\none\ntwo"
