@@ -29,6 +29,8 @@ _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _FOLDED = _BYTE.copy()
 _FOLDED[0x41:0x5B] = _BYTE[0x61:0x7B]  # A-Z count as a-z
 
+_CHECKED = (mix(_FOLDED) >> _U(32)).astype(np.uint32)
+
 
 def _power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
@@ -57,6 +59,13 @@ class Words:
         np.cumsum((_FOLDED if fold else _BYTE)[self.data] * _power("up", n), out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * _power("down", n + 1)[self.start] + (self.end - self.start).astype(_U))
 
+    def checks(self) -> np.ndarray:
+        """32 bits more of each word, by other values of bytes; A-Z count as a-z."""
+        n = len(self.data)
+        sums = np.zeros(n + 1, np.uint32)
+        np.cumsum(_CHECKED[self.data] * _power("up", n).astype(np.uint32), out=sums[1:])
+        return (sums[self.end] - sums[self.start]) * _power("down", n + 1)[self.start].astype(np.uint32)
+
 
 def words(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:
     """Maximal runs of bytes that are no white space (0x20, 0x09-0x0D), never across rows; a null is an empty text."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +14,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path
-from .textkit import mix, slices
+from .textkit import Words, mix, slices, words
 
 _U = np.uint64
 #: Chunks end where a rolling hash of the last WINDOW ids ends in MEAN_BITS zero bits, or after MOST ids.
 WINDOW, MEAN_BITS, MOST = 8, 8, 8192
-_CACHE_ENTRIES = 350_000  # runs that a task remembers; words without case and marks are remembered half as many
-# Letters whose lower case and byte form need no normaliser, then marks that stand in one run.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,|;:!?*#$%&]*)")
+#: Runs that a worker remembers (2 ** CACHE_BITS places of about 30 bytes), and the most ids and bytes of one that it does.
+CACHE_BITS, CACHE_IDS, CACHE_BYTES = 20, 8, 64
+#: Texts on which a tokenizer must give the ids of their runs one after another, and the same ids in lower case.
+_PROBES = ["It's A b,c d.E  f\n\ng\th", "Ünïcode É é \u0301x ΣΑΣ ς", "don't we'll 42nd 北京 a\x1cb \u00a0c", " Lead and trail. \r\n", "(a) [B] {c}! --- 3.14, 1,000 x_y #tag @Me?", "éa, Éb. ßc; straße: ñ!"]
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord(c) for c in ".,|;:!?*#$%&"]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+# Letters whose lower case and byte form need no normaliser, or marks alone.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,|;:!?*#$%&]+")
 _tokenizers: dict[str, Encoder] = {}
 
 
@@ -34,55 +40,106 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Whole texts to ids with a tokenizer file; every distinct run between ASCII white space is encoded once a task.
+    """Whole texts to ids with a tokenizer file.
 
-    The file's pre-tokenizer must split at white space and drop it, so that a text's ids are those of its runs in turn.
+    If a text's ids are those of its runs between ASCII white space in turn, whatever the case of A-Z (checked on loading
+    with _PROBES), each distinct run of a piece is encoded once (marks at its end by themselves), and a cache of fixed
+    size keeps runs from piece to piece: a run's place is given by its hash, a later run takes the place of an earlier
+    one, and 96 bits of hash tell runs apart. Other tokenizers encode each text as a whole.
     """
 
-    def __init__(self, path: str, separable: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.code = "H" if self.wide is np.uint16 else "I"
         letters = _byte_letters()
-        self.separable, self.known, self.stems = separable, {}, {}
         self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
-
-    def forget(self) -> None:
-        """Empty the caches, so that a worker that waits for its next task holds little."""
-        self.known.clear()
-        self.stems.clear()
-
-    def _stem(self, word: str) -> bytes:
-        """One run of letters or marks, in lower case, by the tokenizer's model."""
-        got = self.stems.get(word)
-        if got is None:
-            if len(self.stems) > _CACHE_ENTRIES // 2:
-                self.stems.clear()
-            known = word if word.isascii() else word.translate(self.table)
-            got = self.stems[word] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(known)]).tobytes()
-        return got
-
-    def _run(self, run: bytes) -> bytes:
-        text = run.decode()
-        m = _PLAIN.fullmatch(text)
-        if m:
-            return self._stem(m[1].lower()) + (self._stem(m[2]) if m[2] else b"")
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """The ids of each text and end_id, little-endian; every distinct run of the texts is looked up once."""
-        end = array(self.code, [end_id]).tobytes()
+        self.direct = all(self._direct(x) == self._whole(x) for p in _PROBES for x in p.split() if _PLAIN.fullmatch(x))
+        runs = [_split(p) for p in _PROBES]
+        self.separable = all(self._whole(p) == self._whole(_lower(p)) == [i for x in r for i in self._whole(x)] for p, r in zip(_PROBES, runs, strict=True))
+        size = 1 << CACHE_BITS if self.separable else 0
+        self.key, self.check, self.sizes, self.ids = np.zeros(size, _U), np.zeros(size, np.uint32), np.zeros(size, np.uint8), np.zeros((size, CACHE_IDS), self.wide)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _direct(self, word: str) -> list[int]:
+        """One run of letters or of marks, by the tokenizer's model."""
+        word = word.lower()
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.table))]
+
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs, one after another, and how many each has."""
+        got = [self._direct(x) if self.direct and _PLAIN.fullmatch(x) else self._whole(x) for x in runs]
+        return np.fromiter((i for x in got for i in x), self.wide), np.array([len(x) for x in got], np.int64)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with end_id after it, and how many each text has; a null text is empty."""
         if not self.separable:
-            return [array(self.code, self.tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() + end for t in texts]
-        known = self.known
-        if len(known) > _CACHE_ENTRIES:
-            known.clear()
-        runs = [(t or "").encode().split() for t in texts]
-        for run in set().union(*runs).difference(known):
-            known[run] = self._run(run)
-        return [b"".join(map(known.__getitem__, r)) + end for r in runs]
+            each = [[*self._whole(t or ""), end_id] for t in texts.to_pylist()]
+            return np.array([i for x in each for i in x], self.wide), np.array([len(x) for x in each], np.int64)
+        w = _without_ends(words(texts))
+        h, check, size = w.hashes(), w.checks(), w.end - w.start
+        place = (h >> _U(64 - CACHE_BITS)).astype(np.int64)
+        n = self.sizes[place].astype(np.int64)
+        hit = (self.key[place] == h) & (self.check[place] == check) & (n > 0)
+        # Long runs, which no cache keeps, and those that may hold special tokens, which have a case, go each by itself.
+        own = size > CACHE_BYTES
+        special = np.flatnonzero((w.data[:-1] == 0x3C) & (w.data[1:] == 0x7C))
+        if len(special):
+            own[np.searchsorted(w.start, special, "right") - 1] = True
+            hit &= ~own
+        new = np.flatnonzero(~hit)
+        alone = own[new]
+        shared, single = new[~alone], new[alone]
+        _, first, inverse = np.unique(h[shared] ^ check[shared].astype(_U) * _U(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
+        at = np.concatenate([shared[first], single])
+        ids, counts = self._runs([bytes(w.data[a:b]).decode(errors="replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+        begins = np.cumsum(counts) - counts
+        source = place * CACHE_IDS
+        which = np.concatenate([inverse, len(first) + np.arange(len(single))])
+        order = np.concatenate([shared, single])
+        n[order], source[order] = counts[which], begins[which]
+        per_text = np.bincount(w.doc, n, minlength=w.n_docs).astype(np.int64) + 1
+        target = np.cumsum(n) - n + w.doc  # one end_id for each text before
+        out = np.full(int(per_text.sum()), end_id, self.wide)
+        for mine, flat in ((hit, self.ids.reshape(-1)), (~hit, ids)):
+            k, to = n[mine], target[mine]
+            step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            out[np.repeat(to, k) + step] = flat[np.repeat(source[mine], k) + step]
+        few = np.flatnonzero((counts[: len(first)] <= CACHE_IDS) & (counts[: len(first)] > 0))
+        few = few[np.unique(place[at[few]], return_index=True)[1]]
+        if len(few):
+            kept, columns = place[at[few]], np.arange(CACHE_IDS)
+            self.key[kept], self.check[kept], self.sizes[kept] = h[at[few]], check[at[few]], counts[few]
+            self.ids[kept] = ids[np.minimum(begins[few][:, None] + columns, len(ids) - 1)]
+        return out, per_text
+
+
+def _lower(text: str) -> str:
+    return text.translate({c: c + 32 for c in range(65, 91)})
+
+
+def _split(text: str) -> list[str]:
+    w = _without_ends(words(pa.array([text])))
+    return [bytes(w.data[a:b]).decode() for a, b in zip(w.start, w.end, strict=True)]
+
+
+def _without_ends(w: Words) -> Words:
+    """Words, with the marks at the end of one that has a letter or number before them as a word of their own."""
+    if not len(w.start):
+        return w
+    n = len(w.data)
+    last = np.maximum.accumulate(np.where(_MARKS[w.data], 0, np.arange(1, n + 1)))[w.end - 1]  # end of what is before the marks
+    before = w.data[np.maximum(last - 1, 0)]
+    second = (w.data[np.maximum(last - 2, 0)] == 0xC3) & (before != 0x97) & (before != 0xB7)
+    cut = (last > w.start) & (last < w.end) & (_ALNUM[before] | second)
+    opens, closes = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    opens[w.start] = closes[w.end] = True
+    opens[last[cut]] = closes[last[cut]] = True
+    doc = np.repeat(w.doc, 1 + cut)
+    return Words(w.data, np.flatnonzero(opens), np.flatnonzero(closes), doc, np.searchsorted(doc, np.arange(w.n_docs + 1)), w.n_docs)
 
 
 def encoder(path: str) -> Encoder:
@@ -119,7 +176,7 @@ def _address(ids: bytes) -> bytes:
     return hashlib.blake2b(ids, digest_size=16).digest()
 
 
-_ROWS = "kind int, key binary, doc_id long, copies long, n_tokens long, lens binary, body binary"
+_ROWS = "kind int, key binary, doc_id long, copies long, n_tokens long, lens array<int>, body binary"
 
 
 def _encode(path: str, end_id: int):
@@ -130,33 +187,30 @@ def _encode(path: str, end_id: int):
         enc = encoder(path)
         for batch in batches:
             seen: set[bytes] = set()
-            for piece in slices(batch, "text", 1_000_000):
+            for piece in slices(batch, "text"):
                 rows: list[tuple] = []
-                streams = enc.encode(piece.column("text").to_pylist(), end_id)
-                lengths = np.array([len(x) // enc.wide(0).itemsize for x in streams])
-                whole = b"".join(streams)
-                ends = cut_points(np.frombuffer(whole, enc.wide), lengths)
+                ids, lengths = enc.encode(piece.column("text"), end_id)
+                whole, width = ids.tobytes(), ids.itemsize
+                ends = cut_points(ids, lengths)
                 starts = np.concatenate([[0], ends[:-1]])
-                sizes = (ends - starts).astype(np.uint16)
-                first = np.searchsorted(ends, np.concatenate([[0], np.cumsum(lengths)]), "right")
-                width = enc.wide(0).itemsize
+                sizes = (ends - starts).tolist()
+                first = np.searchsorted(ends, np.concatenate([[0], np.cumsum(lengths)]), "right").tolist()
                 addresses = []
-                for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True):
-                    body = whole[a:b]
+                for a, n in zip((starts * width).tolist(), sizes, strict=True):
+                    body = whole[a : a + n * width]
                     addresses.append(_address(body))
                     if addresses[-1] not in seen:
                         seen.add(addresses[-1])
-                        rows.append((1, addresses[-1], None, None, (b - a) // width, None, body))
+                        rows.append((1, addresses[-1], None, None, n, None, body))
                 for k, doc_id in enumerate(piece.column("doc_id").to_pylist()):
                     own = addresses[first[k] : first[k + 1]]
-                    rows.append((0, merkle(own), doc_id, 1, int(lengths[k]), sizes[first[k] : first[k + 1]].tobytes(), b"".join(own)))
+                    rows.append((0, merkle(own), doc_id, 1, int(lengths[k]), sizes[first[k] : first[k + 1]], b"".join(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
-        enc.forget()
 
     return encoded
 
 
-_TYPES = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+_TYPES = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
 _NAMES = ["kind", "key", "doc_id", "copies", "n_tokens", "lens", "body"]
 
 
@@ -165,7 +219,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 1)
 
     chunks/    address (blake2b of the ids), n, ids (little-endian, 2 or 4 bytes an id): each chunk once
     recipes/   ascending doc_id: doc_id, start, n_tokens, lens and addresses of its chunks, root (Merkle)
-    manifest/  for each range of doc_ids in order: first and last doc_id, documents, tokens, Merkle root of its roots
+    manifest/  for each range of doc_ids in order: first and last doc_id, documents, tokens, Merkle root (over the roots
+               of every LEAVES recipes in turn)
 
     A null text is empty and has the end id only; null doc_ids come first; rows that repeat a doc_id are stored each, in
     the order of their roots. Ids move in one shuffle, by address, where chunks that several tasks found become one.
@@ -176,22 +231,36 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 1)
     name = F.when(F.col("kind") == 1, F.col("key")).otherwise(F.concat(F.col("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary")))
     rows = rows.groupBy("kind", name.alias("name")).agg(*[F.first(c).alias(c) for c in ("key", "doc_id", "n_tokens", "lens", "body")], F.sum("copies").alias("copies"))
     rows.drop("name").write.option("compression", "zstd").partitionBy("kind").parquet(f"{out}/parts")
-    schema = "key binary, doc_id long, n_tokens long, lens binary, body binary, copies long, kind int"
+    schema = "key binary, doc_id long, n_tokens long, lens array<int>, body binary, copies long, kind int"
     parts = spark.read.schema(schema).parquet(f"{out}/parts")
     recipes = parts.where("kind = 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
-    ranged = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "key", "copy").withColumn("shard", F.spark_partition_id())
+    # Ranges are cut within equal doc_ids (nulls, too) as well, by root.
+    ranged = recipes.repartitionByRange("doc_id", "key", "copy").sortWithinPartitions("doc_id", "key", "copy").withColumn("shard", F.spark_partition_id())
     ranged.select("shard", "doc_id", "n_tokens", "lens", F.col("body").alias("addresses"), F.col("key").alias("root"), "copy").write.option("compression", "zstd").parquet(f"{out}/recipes")
     stored = spark.read.parquet(f"{out}/recipes")
     totals = stored.groupBy("shard").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
-    roots = stored.select("shard", "doc_id", "root", "copy").groupBy("shard").applyInArrow(_shard_root, "shard int, root binary")
+    roots = _shard_roots(stored)
     # One row for each shard, as many as the cluster has shuffle partitions at most: a window over them is small.
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals.join(roots, "shard").withColumn("start", before).write.parquet(f"{out}/manifest")
 
 
-def _shard_root(t: pa.Table) -> pa.Table:
-    t = t.sort_by([("doc_id", "ascending"), ("root", "ascending"), ("copy", "ascending")])
-    return pa.table({"shard": t.column("shard")[:1], "root": pa.array([merkle(t.column("root").to_pylist())], pa.binary())})
+#: Recipes of a shard whose roots make one leaf of its Merkle root.
+LEAVES = 4096
+
+
+def _shard_roots(recipes: DataFrame) -> DataFrame:
+    """(shard, root) of recipes(shard, doc_id, root, copy): Merkle over LEAVES roots at a time, then over those, so that
+    no task holds a shard's roots at once."""
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("doc_id", "root", "copy")) - 1
+    leaves = recipes.select("shard", "root", place.alias("at")).withColumn("block", F.floor(F.col("at") / LEAVES).cast("int"))
+
+    def rooted(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        return pa.table({"shard": t.column("shard")[:1], "at": t.column("block")[:1], "root": pa.array([merkle(t.column("root").to_pylist())], pa.binary())})
+
+    blocks = leaves.groupBy("shard", "block").applyInArrow(rooted, "shard int, at int, root binary")
+    return blocks.withColumn("block", F.lit(0)).groupBy("shard").applyInArrow(rooted, "shard int, at int, root binary").drop("at")
 
 
 def _check_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +268,8 @@ def _check_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         right = []
         for addresses, lens, root, n in zip(*(b.column(c).to_pylist() for c in ("addresses", "lens", "root", "n_tokens")), strict=True):
-            whole = addresses is not None and lens is not None and len(addresses) % 16 == 0 and len(lens) * 8 == len(addresses)
-            right.append(whole and merkle([addresses[i : i + 16] for i in range(0, len(addresses), 16)]) == root and int(np.frombuffer(lens, np.uint16).sum(dtype=np.int64)) == n)
+            whole = addresses is not None and lens is not None and len(addresses) % 16 == 0 and len(lens) * 16 == len(addresses)
+            right.append(whole and merkle([addresses[i : i + 16] for i in range(0, len(addresses), 16)]) == root and sum(lens) == n)
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("shard", "doc_id", "root", "copy", "n_tokens")), pa.array(right, pa.bool_())], ["shard", "doc_id", "root", "copy", "n_tokens", "right"])
 
 
@@ -208,7 +277,7 @@ def _shards(recipes: DataFrame, manifest: DataFrame) -> DataFrame:
     """(shard, base, whole) of every shard of recipes: whole if its root, documents, tokens, first and last doc_id are
     those of the manifest and it starts where the tokens of the shards before end. Raises if documents are missing."""
     totals = recipes.groupBy("shard").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l"), F.count("*").alias("d"), F.sum("n_tokens").alias("t"))
-    roots = recipes.select("shard", "doc_id", "root", "copy").groupBy("shard").applyInArrow(_shard_root, "shard int, root binary").withColumnRenamed("root", "r")
+    roots = _shard_roots(recipes).withColumnRenamed("root", "r")
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stated = manifest.withColumn("before", before)
     whole = F.expr("root <=> r AND documents <=> d AND tokens <=> t AND first_doc <=> f AND last_doc <=> l AND start <=> before")
@@ -273,7 +342,7 @@ def read_store(spark: SparkSession, out: str, width: int = 2) -> DataFrame:
     all chunks are there, sound and as long as the recipe says; the recipe's addresses in their order give its root; and
     the roots, ids and counts of its shard are those of the manifest. Raises if documents of the manifest are missing.
     """
-    schema = "key binary, doc_id long, n_tokens long, lens binary, body binary, copies long, kind int"
+    schema = "key binary, doc_id long, n_tokens long, lens array<int>, body binary, copies long, kind int"
     chunks = spark.read.schema(schema).parquet(f"{out}/parts").where("kind = 1").select("key", "body").mapInArrow(_read_chunks(width), "key binary, sound boolean, n long, crc long")
     recipes, manifest = spark.read.parquet(f"{out}/recipes"), spark.read.parquet(f"{out}/manifest")
     order = Window.partitionBy("shard").orderBy("doc_id", "root", "copy")
@@ -283,8 +352,8 @@ def read_store(spark: SparkSession, out: str, width: int = 2) -> DataFrame:
     kept = (F.col("right") & F.coalesce("whole", F.lit(False))).alias("kept")
     starts = starts.join(_shards(recipes, manifest), "shard", "left").select("doc_id", "root", "copy", "n_tokens", (F.col("base") + F.col("within")).alias("start"), kept)
     one = recipes.where("copy = 1")
-    uses = one.select("doc_id", "root", "n_tokens", F.posexplode(F.expr("transform(sequence(0, length(addresses) div 16 - 1), i -> substring(addresses, i * 16 + 1, 16))")).alias("at", "key"), "lens")
-    uses = uses.withColumn("len", F.expr("conv(hex(substring(lens, at * 2 + 2, 1)), 16, 10) * 256 + conv(hex(substring(lens, at * 2 + 1, 1)), 16, 10)").cast("long")).drop("lens")
+    uses = one.select("doc_id", "root", F.posexplode(F.expr("transform(lens, (n, i) -> struct(substring(addresses, i * 16 + 1, 16) AS key, n AS len))")).alias("at", "u"))
+    uses = uses.select("doc_id", "root", "at", "u.key", F.col("u.len").cast("long").alias("len"))
     after = F.sum("len").over(Window.partitionBy("doc_id", "root").orderBy("at").rowsBetween(1, Window.unboundedFollowing))
     uses = uses.withColumn("after", F.coalesce(after, F.lit(0)))
     shifted = F.pandas_udf(lambda crc, n: pd.Series(crc_shifted(crc.to_numpy(), n.to_numpy() * 4).astype(np.int64)), "long")
