@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,217 +14,210 @@ from pyspark.sql import DataFrame
 
 from .textkit import slices
 
-# Fixed values of HTML: raw-text and void elements, block elements, elements that a start tag closes.
+# Fixed values of HTML: raw-text, void and block elements, elements that a start tag closes, and those of a head.
 RAW = {"script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = set("address article aside blockquote body canvas center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "body", "html", "legend"}
-SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements and words of class, id or role that never are the article.
-DROPPED = set("head nav footer aside form script style noscript template iframe svg canvas object embed button select input textarea menu dialog".split())
-MARKED = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navigation navbar breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices comment comments disqus respond share sharing social related newsletter subscribe popup modal widget pagination pager search login signup toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+BLOCK = set("address article aside blockquote body canvas center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "body", "html", "head", "legend"}
+P_SCOPE = ("td", "th", "li", "div", "article", "section", "blockquote", "body")
+SAME = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+IN_HEAD = {"meta", "link", "title", "style", "script", "base", "noscript", "template", "head"}
+#: Elements that are no candidates for the article by themselves: they hold text, not blocks.
+LINES = set("p h1 h2 h3 h4 h5 h6 pre li dt dd address summary figcaption legend hr".split())
+#: What an article is without: elements, and whole words of class, id and role. Those of the second sort are menus or
+#: forms around a page's article at times, so they go only where they hold no article or main.
+NEVER = set("head nav footer aside script style noscript template iframe svg canvas object embed button select input textarea menu dialog".split())
+UNLESS = {"form", "header"}
+NEVER_WORDS = {"comment", "comments", "navigation", "contentinfo", "complementary"}
+UNLESS_WORDS = set("ad ads advert adverts advertisement advertisements sponsored sidebar menu nav navbar breadcrumb breadcrumbs notice notices footer search".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
-_WORD = re.compile(r"[^a-z0-9]+")
-
-
-class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "links", "parent", "sums", "tag", "tags", "text")
-
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children = tag, parent, []
-        self.chars = self.tags = self.link_chars = self.links = 0
-        self.density = self.sums = 0.0
-
-
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if not attrs:
-        return False
-    for name, value in _ATTR.findall(attrs):
-        name = name.lower()
-        if name in ("class", "id", "role"):
-            marks = {*_WORD.split(value.strip("\"'").lower())}
-            if marks & MARKED and not (tag in ("article", "main", "body", "html")):
-                return True
-        elif name == "aria-hidden" and value.strip("\"'").lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", '""', attrs), re.I))
-
-
-def parse(page: str) -> Node:
-    """The tree of elements without boilerplate elements and what they hold; text children are plain strings."""
-    root = Node("#root", None)
-    at, node, pos = 0, root, 0
-    skip: list[str] | None = None  # open elements within a boilerplate element
-
-    def add(text: str) -> None:
-        if text and skip is None:
-            node.children.append(text)
-
-    while m := _TOKEN.search(page, pos):
-        add(page[at : m.start()])
-        at = pos = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            if skip is not None:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-                    if not skip:
-                        skip = None
-                elif tag in ("article", "main", "body", "html"):
-                    x = node
-                    while x is not root and x.tag != tag:
-                        x = x.parent
-                    if x is not root:  # it closes what the boilerplate element stands in
-                        skip, node = None, x.parent
-                continue
-            x = node
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                node = x.parent
-            continue
-        if not m[2]:
-            continue
-        tag, attrs = m[2].lower(), m[3]
-        closed = attrs.endswith("/") and tag not in BLOCK
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
-            at = pos = end.end() if end else len(page)
-            continue
-        if skip is not None:
-            if tag not in VOID and not closed:
-                if tag in skip and tag in ("p", "li", "td", "tr", "option", "dd", "dt"):
-                    while skip.pop() != tag:
-                        pass
-                skip.append(tag)
-            continue
-        if tag in CLOSES_P:
-            x = node
-            while x is not root and x.tag not in ("p", "td", "th", "li", "div", "article", "section", "blockquote", "body"):
-                x = x.parent
-            if x.tag == "p":
-                node = x.parent
-        elif tag in SAME:
-            same, stop = SAME[tag]
-            x, found = node, None
-            while x is not root and x.tag not in stop:
-                found = x if x.tag in same else found
-                x = x.parent
-            if found is not None:
-                node = found.parent
-        if tag in VOID:
-            if tag in ("br", "hr") and not _boilerplate(tag, attrs, True):
-                node.children.append(Node(tag, node))
-            continue
-        in_article, x = False, node
-        while x is not root and not in_article:
-            in_article, x = x.tag in ("article", "main"), x.parent
-        if _boilerplate(tag, attrs, in_article):
-            if not closed:
-                skip = [tag]
-            continue
-        child = Node(tag, node)
-        node.children.append(child)
-        if not closed:
-            node = child
-    add(page[at:])
-    return root
-
-
-def _weigh(root: Node) -> list[Node]:
-    """Fill in the figures of every node, children before parents, and return the nodes in that order."""
-    order, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        order.append(x)
-        stack.extend(c for c in x.children if isinstance(c, Node))
-    order.reverse()
-    for x in order:
-        for c in x.children:
-            if isinstance(c, str):
-                x.chars += len(" ".join(c.split()))
-            else:
-                x.chars, x.tags, x.links, x.link_chars = x.chars + c.chars, x.tags + c.tags + 1, x.links + c.links, x.link_chars + c.link_chars
-        if x.tag == "a":
-            x.links, x.link_chars = x.links + 1, x.chars
-    whole = root
-    share = math.e + (whole.link_chars / whole.chars if whole.chars else 0)
-    for x in order:
-        if not x.chars:
-            continue
-        # Composite text density (Sun, Song and Liao, 2011): characters a tag, discounted by link text and link tags.
-        plain, tags, links = max(x.chars - x.link_chars, 1), max(x.tags, 1), max(x.links, 1)
-        base = math.log(x.chars * x.link_chars / plain + share * 1.0 + math.e)
-        ratio = x.chars / max(x.link_chars, 1) * tags / links
-        x.density = x.chars / tags * (math.log(max(ratio, 1.0) + 1) / math.log(base + 1) if x.link_chars else 1.0) * (plain / x.chars if x.link_chars else 1.0)
-        if x.tag in BLOCK or x is root:  # inline elements are part of the block they stand in
-            x.sums = sum(c.density for c in x.children if isinstance(c, Node) and c.tag in BLOCK)
-    return order
-
-
-def _blocks(node: Node, out: list[list[str]]) -> None:
-    stack: list = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            if x == "\0block":
-                out.append([])
-            else:
-                out[-1].append(x)
-        elif x.tag == "br":
-            out[-1].append(" ")
-        elif x.tag in BLOCK:
-            stack.append("\0block")
-            stack.extend(reversed(x.children))
-            out.append([])
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+
+
+class Page:
+    """The DOM of a page in document order: node k's parent stands before it, its descendants are k + 1 to end[k] - 1.
+
+    flow has the page's texts (strings), starts (k) and ends (~k) of nodes in turn. drop: 1 for what an article never
+    has, 2 for what goes unless it holds an article or main.
+    """
+
+    def __init__(self, page: str):
+        self.tag, self.parent, self.drop = ["#root"], [0], [0]
+        self.chars, self.link_chars = [0], [0]
+        self.flow: list[int | str] = []
+        self.open: list[int] = [0]
+        self.at: dict[str, list[int]] = defaultdict(list)  # depths at which elements of a tag are open
+        self._parse(page)
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
+    def _close(self, depth: int) -> None:
+        """Ends the open nodes from a depth on."""
+        while len(self.open) > depth:
+            k = self.open.pop()
+            self.at[self.tag[k]].pop()
+            self.flow.append(~k)
+
+    def _text(self, text: str) -> None:
+        if not text:
+            return
+        self.flow.append(text)
+        n = len(" ".join(text.split()))
+        self.chars[self.open[-1]] += n
+        if self.at["a"]:
+            self.link_chars[self.open[-1]] += n
+
+    def _start(self, tag: str, attrs: str, stays_open: bool) -> None:
+        k = len(self.tag)
+        self.tag.append(tag)
+        self.parent.append(self.open[-1])
+        self.drop.append(_dropped(tag, attrs, bool(self.at["article"] or self.at["main"])))
+        self.chars.append(0)
+        self.link_chars.append(0)
+        self.flow.append(k)
+        if stays_open:
+            self.at[tag].append(len(self.open))
+            self.open.append(k)
         else:
-            stack.extend(reversed(x.children))
+            self.flow.append(~k)
+
+    def _parse(self, page: str) -> None:
+        begin = pos = 0
+        while m := _TOKEN.search(page, pos):
+            self._text(page[begin : m.start()])
+            begin = pos = m.end()
+            if m[1]:
+                if self.at[m[1].lower()]:
+                    self._close(self.at[m[1].lower()][-1])
+                continue
+            if not m[2]:
+                continue
+            tag, attrs = m[2].lower(), m[3]
+            if self.at["head"] and tag not in IN_HEAD:
+                self._close(self.at["head"][-1])
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
+                begin = pos = end.end() if end else len(page)
+                continue
+            if tag in ("html", "body") and self.at[tag]:
+                continue
+            if tag in CLOSES_P and self.at["p"] and self.at["p"][-1] > self._last(P_SCOPE):
+                self._close(self.at["p"][-1])
+            elif tag in SAME:
+                same, stop = SAME[tag]
+                least = self._last(stop)
+                inner = [d[bisect_right(d, least)] for d in map(self.at.__getitem__, same) if d and d[-1] > least]
+                if inner:
+                    self._close(min(inner))
+            self._start(tag, attrs, tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK))
+        self._text(page[begin:])
+        self._close(1)
+
+
+def _dropped(tag: str, attrs: str, in_article: bool) -> int:
+    if tag in NEVER:
+        return 1
+    kind = 2 if tag in UNLESS and not (tag == "header" and in_article) else 0
+    if attrs:
+        for name, value in _ATTR.findall(attrs):
+            name = name.lower()
+            if name in ("class", "id", "role"):
+                said = {*value.strip("\"'").lower().split()}
+                if said & NEVER_WORDS:
+                    return 1
+                if said & UNLESS_WORDS and tag not in ("article", "main", "body", "html"):
+                    kind = 2
+            elif name == "aria-hidden" and value.strip("\"'").lower() == "true":
+                return 1
+        if _HIDDEN.search(_QUOTED.sub('""', attrs)):
+            return 1
+    return kind
+
+
+def composite_density(chars: int, link_chars: int, tags: int, links: int, body_share: float) -> float:
+    """Composite text density of a node (Sun, Song and Liao, 2011): C / T times the logarithm of C T / (LC LT) to the base
+    ln(C LC / (C - LC) + body_share C + e). C and LC: characters, and those in links; T and LT: tags and link tags within;
+    body_share: LC / C of the body. A figure of 0 counts as 1 in products and quotients; 0 for a node without text."""
+    if not chars:
+        return 0.0
+    plain, tags, links, linked = max(chars - link_chars, 1), max(tags, 1), max(links, 1), max(link_chars, 1)
+    base = math.log(math.log(chars * linked / plain + body_share * chars + math.e))
+    return chars / tags * math.log(max(chars * tags / (linked * links), 1.0)) / base
+
+
+class Densities:
+    """Density, density sum and end of each node of a page, and which nodes go for what they are."""
+
+    def __init__(self, page: Page):
+        n = len(page.tag)
+        chars, linked, tags, links, size, articles = page.chars[:], page.link_chars[:], [0] * n, [0] * n, [1] * n, [0] * n
+        for k in range(n - 1, 0, -1):
+            p = page.parent[k]
+            if page.tag[k] == "a":
+                links[k] += 1
+            articles[k] += page.tag[k] in ("article", "main") and not page.drop[k]
+            for x, more in ((chars, chars[k]), (linked, linked[k]), (tags, tags[k] + 1), (links, links[k]), (size, size[k]), (articles, articles[k])):
+                x[p] += more
+        self.end = [k + size[k] for k in range(n)]
+        body = page.tag.index("body") if "body" in page.tag else 0
+        share = linked[body] / chars[body] if chars[body] else 0.0
+        self.density = [composite_density(chars[k], linked[k], tags[k], links[k], share) for k in range(n)]
+        # shell: a menu or form around an article, of which only the way to the article is left.
+        self.dropped, self.shell, self.sums = [False] * n, [False] * n, [0.0] * n
+        for k in range(1, n):
+            p = page.parent[k]
+            self.dropped[k] = self.dropped[p] or page.drop[k] == 1 or (page.drop[k] == 2 or self.shell[p]) and not articles[k]
+            self.shell[k] = (page.drop[k] == 2 or self.shell[p]) and not (page.tag[k] in ("article", "main") and not page.drop[k])
+            if not self.dropped[k]:
+                self.sums[page.parent[k]] += self.density[k]
+
+
+def chosen(page: Page) -> list[bool]:
+    """For each node, whether texts directly in it belong to the article."""
+    n, d = len(page.tag), Densities(page)
+    fit = [k for k in range(n) if d.sums[k] > 0 and not d.dropped[k] and not d.shell[k] and page.tag[k] not in LINES and (k == 0 or page.tag[k] in BLOCK)]
+    best = max(fit, key=lambda k: (d.sums[k], -k), default=0)
+    # An article that holds the subtree is taken whole.
+    x = best
+    while x and page.tag[x] != "article":
+        x = page.parent[x]
+    best = x or best
+    # Threshold: the least density on the path from the subtree to the body; what is beside the path must reach it.
+    threshold, path, x = d.density[best], {best}, best
+    while x and page.tag[x] != "body":
+        x = page.parent[x]
+        path.add(x)
+        threshold = min(threshold, d.density[x]) if x else threshold
+    kept, whole = [False] * n, [False] * n
+    for k in range(n):
+        p = page.parent[k]
+        whole[k] = not d.dropped[k] and (k == best or k > 0 and whole[p] or k > 0 and p in path and k not in path and d.density[k] >= threshold > 0)
+        kept[k] = (whole[k] or k in path and not d.dropped[k]) and not d.shell[k]
+    return kept
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by line feeds, as described in extract."""
     if not page:
         return ""
-    root = parse(page.replace("\0", " "))
-    order = _weigh(root)
-    best = max(order[::-1], key=lambda x: x.sums, default=root)
-    if not root.chars:
-        return ""
-    best = best if best.sums else root
-    # Threshold: the least density on the path from the chosen subtree to the body.
-    threshold, x = best.density, best
-    while x.parent is not None:
-        x = x.parent
-        threshold = min(threshold, x.density) if x.tag != "#root" else threshold
-        if x.tag == "body":
-            break
-    top = x
-    # Subtrees beside the path whose own density reaches the threshold belong to the text as well.
-    path, x = {id(best)}, best
-    while x is not top and x.parent is not None:
-        x = x.parent
-        path.add(id(x))
+    dom = Page(page)
+    kept = chosen(dom)
     out: list[list[str]] = [[]]
-
-    def walk(node: Node) -> None:
-        if node is best:
-            _blocks(node, out)
-            return
-        for c in node.children:
-            if isinstance(c, str):
-                out[-1].append(c)
-            elif id(c) in path:
-                out.append([])
-                walk(c)
-                out.append([])
-            elif c.tag in ("br", "hr") or c.density >= threshold:
-                _blocks(c, out)
-
-    walk(top)
+    at = 0
+    for x in dom.flow:
+        if isinstance(x, str):
+            if kept[at]:
+                out[-1].append(x)
+            continue
+        k = x if x >= 0 else ~x
+        at = k if x >= 0 else dom.parent[k]
+        if dom.tag[k] == "br":
+            out[-1].append(" ")
+        elif dom.tag[k] in BLOCK:
+            out.append([])
     texts = (" ".join(html.unescape("".join(b)).split()) for b in out)
     return "\n".join(t for t in texts if t)
 
@@ -230,11 +225,15 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages(page_id, url, html), from the whole html.
 
-    Elements that are boilerplate by tag, class, id or role go first. Then each node has its composite text density
-    (characters a tag, discounted by links), a density sum over its children, and the subtree with the largest sum is
-    the article; subtrees beside its path to the body join it if they reach the least density on that path. Blocks are
-    joined in page order by one line feed; white space within a block is one space; character references are decoded.
-    A null, empty or textless page has an empty text; unclosed elements end where HTML ends them; rows are independent.
+    Each node of the DOM has its composite text density (composite_density) and the sum of its children's. The block
+    with the largest sum (of equal ones the first; the whole article element if it stands in one) is the main text;
+    subtrees beside its path to the body join it if they reach the least density on that path, and text directly on the
+    path does. What an article never has (NEVER, UNLESS and their words: menus, forms, notices, comments) is neither a
+    candidate nor part of a sum nor of the text; a word counts as a whole class only, never as a part of one. Blocks
+    are joined in page order by one line feed; white space within a block is one space; character references are
+    decoded. Time is linear in the page's length, however deep its elements. A null, empty or textless page has an empty
+    text; unclosed elements end where HTML ends them; rows are independent, repeated ones stay; extra columns are
+    ignored.
     """
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -398,6 +398,86 @@ def test_main_text():
     assert html.unescape("&amp;") == "&"
 
 
+@pytest.mark.parametrize("mark", ["class='post header-story'", "class='entry social-issues'", "id=login-guide", "class='banner-news article'", "class='menu-of-the-day'"])
+def test_parts_of_classes_say_nothing(mark):
+    page = f"<body><nav>menu</nav><div {mark}><h2>Title</h2><p>First paragraph of the text.</p><p>Second paragraph of it.</p></div><div class='footer'>f</div></body>"
+    assert html_text.main_text(page) == "Title\nFirst paragraph of the text.\nSecond paragraph of it."
+
+
+def test_density_decides_where_no_list_does():
+    links = "".join(f"<li><a href=/{k}>go to page {k}</a></li>" for k in range(20))
+    prose = "".join(f"<p>Paragraph {k} has a good many plain words that belong to the story and no link at all.</p>" for k in range(6))
+    page = f"<body><div><ul>{links}</ul></div><div><h2>A title of the story that is told here</h2>{prose}</div><div><a href=/a>one</a> <a href=/b>two</a></div></body>"
+    text = html_text.main_text(page)
+    assert text.startswith("A title") and text.count("Paragraph") == 6 and "go to" not in text and "one" not in text
+    split = f"<body><div><ul>{links}</ul></div><div><div>{prose}</div><div>{prose.replace('Paragraph', 'Further')}</div></div></body>"
+    assert html_text.main_text(split).count("Further") == 6 == html_text.main_text(split).count("Paragraph")
+
+
+def test_menus_and_forms_around_an_article_stay_out():
+    body = "<p>Words of the article that are read.</p>"
+    assert html_text.main_text(f"<form><p>Search</p><article>{body}</article></form>") == "Words of the article that are read."
+    assert html_text.main_text(f"<article>{body}</article><section class=comments><article>{body}</article></section>") == "Words of the article that are read."
+    assert html_text.main_text(f"<div class='notice'>We use cookies</div><div hidden>h</div>{body}<div aria-hidden=true>x</div>") == "Words of the article that are read."
+
+
+def test_pages_of_any_depth_take_linear_time():
+    import time
+
+    for page in ("<div>" * 100000 + "deep" + "</div>" * 100000, "<div>" * 100000 + "deep", "<b>" * 50000 + "deep<p>" * 50000, "<li>" * 100000 + "deep", '<a x="' * 50000, "</b>" * 100000 + "deep"):
+        began = time.process_time()
+        assert set(html_text.main_text(page).split()) <= {"deep"}
+        assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_densities_are_brute_force(seed):
+    import math
+    import random
+
+    pick = random.Random(seed)
+
+    def grown(depth):
+        parts = []
+        for _ in range(pick.randint(1, 4)):
+            kind = pick.random()
+            if (kind < 0.4 or depth > 5) and not (parts and isinstance(parts[-1], str)):
+                parts.append("word " * pick.randint(1, 9))
+            elif depth < 7:
+                tag = pick.choice(["div", "section", "a", "span"])
+                parts.append((tag, grown(depth + 1)))
+        return parts
+
+    def written(parts):
+        return "".join(x if isinstance(x, str) else f"<{x[0]}>{written(x[1])}</{x[0]}>" for x in parts)
+
+    def figures(parts, linked):
+        c = sum(len(" ".join(x.split())) for x in parts if isinstance(x, str))
+        lc, t, lt = c * linked, 0, 0
+        for x in parts:
+            if not isinstance(x, str):
+                a, b, d, e = figures(x[1], linked or x[0] == "a")
+                c, lc, t, lt = c + a, lc + b, t + d + 1, lt + e + (x[0] == "a")
+        return c, lc, t, lt
+
+    tree = grown(0)
+    whole = figures(tree, False)
+    share = whole[1] / whole[0] if whole[0] else 0
+    want = []
+
+    def weighed(parts, linked, link):
+        c, lc, t, lt = figures(parts, linked)
+        t, lt = max(t, 1), max(lt + link, 1)
+        want.append(c / t * math.log(max(c * t / (max(lc, 1) * lt), 1)) / math.log(math.log(c * max(lc, 1) / max(c - lc, 1) + share * c + math.e)) if c else 0)
+        for x in parts:
+            if not isinstance(x, str):
+                weighed(x[1], linked or x[0] == "a", x[0] == "a")
+
+    weighed(tree, False, False)
+    got = html_text.Densities(html_text.Page("<body>" + written(tree) + "</body>")).density[1:]
+    assert np.allclose(got, want)
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (None, None, None)]
     got = sorted(map(str, html_text.extract(spark.createDataFrame(rows, PAGES)).collect()))
