@@ -3,78 +3,20 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .signatures import signatures
 from .textkit import slices
 
 #: The base phrases and their labels: fixed values.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Families: label, names as regular expressions over folded words, versions ("" for none). Each gives rules for its
-#: grant, title, identifier and short forms below; keywords are the words that a text must have for a rule to be tried.
-FAMILIES = [
-    ("apache", r"apache", "apache", ["1.0", "1.1", "2.0"]),
-    ("mit", r"(?:mit|expat)", "mit expat", [""]),
-    ("bsd", r"bsd", "bsd", ["0-clause", "1-clause", "2-clause", "3-clause", "4-clause"]),
-    ("gpl", r"(?:gnu )?(?:general public|gpl)", "gpl general", ["1", "2", "3"]),
-    ("lgpl", r"(?:gnu )?(?:lesser general public|library general public|lgpl)", "lgpl lesser library", ["2", "2.1", "3"]),
-    ("agpl", r"(?:gnu )?(?:affero general public|agpl)", "agpl affero", ["1", "3"]),
-    ("gfdl", r"(?:gnu )?(?:free documentation|gfdl|fdl)", "gfdl fdl documentation", ["1.1", "1.2", "1.3"]),
-    ("mpl", r"(?:mozilla public|mpl)", "mozilla mpl", ["1.0", "1.1", "2.0"]),
-    ("epl", r"(?:eclipse public|epl)", "eclipse epl", ["1.0", "2.0"]),
-    ("cddl", r"(?:common development and distribution|cddl)", "cddl distribution", ["1.0", "1.1"]),
-    ("cpl", r"(?:common public|cpl)", "common cpl", ["1.0"]),
-    ("eupl", r"(?:european union public|eupl)", "european eupl", ["1.0", "1.1", "1.2"]),
-    ("artistic", r"artistic", "artistic", ["1.0", "2.0"]),
-    ("afl", r"(?:academic free|afl)", "academic afl", ["2.1", "3.0"]),
-    ("osl", r"(?:open software|osl)", "osl open", ["2.1", "3.0"]),
-    ("bsl", r"(?:boost software|bsl)", "boost bsl", ["1.0"]),
-    ("busl", r"(?:business source|busl)", "business busl", ["1.1"]),
-    ("isc", r"isc", "isc", [""]),
-    ("zlib", r"(?:zlib|libpng|zlib libpng)", "zlib libpng", [""]),
-    ("unlicense", r"(?:unlicense|unlicence)", "unlicense unlicence", [""]),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", "wtfpl fuck", ["1", "2"]),
-    ("python", r"(?:python software foundation|psf)", "python psf", ["2"]),
-    ("php", r"php", "php", ["3.0", "3.01"]),
-    ("ruby", r"ruby", "ruby", [""]),
-    ("openssl", r"openssl", "openssl", [""]),
-    ("postgresql", r"postgresql", "postgresql", [""]),
-    ("ncsa", r"(?:university of illinois|ncsa)", "illinois ncsa", [""]),
-    ("ms-pl", r"(?:microsoft public|ms pl)", "microsoft ms", [""]),
-    ("ms-rl", r"(?:microsoft reciprocal|ms rl)", "microsoft ms", [""]),
-    ("ofl", r"(?:sil open font|open font|ofl)", "ofl font", ["1.0", "1.1"]),
-    ("odbl", r"(?:open database|odbl)", "odbl database", ["1.0"]),
-    ("odc-by", r"(?:open data commons attribution|odc by)", "odc commons", ["1.0"]),
-    ("pddl", r"(?:public domain dedication and|pddl)", "pddl dedication", ["1.0"]),
-    ("cc0", r"(?:cc0|cc zero|creative commons zero)", "cc0 zero", ["1.0"]),
-    ("sspl", r"(?:server side public|sspl)", "sspl server", ["1"]),
-    ("elastic", r"elastic", "elastic", ["2.0"]),
-    ("bigscience-rail", r"(?:bigscience|open) rail", "rail", ["1.0"]),
-]
-#: Creative Commons elements, by label, then versions.
-CC_ELEMENTS = ["by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"]
-CC_NAMES = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s?", "nc": "non ?commercial"}
-CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
-#: Single rules: label, pattern over folded words, keywords, priority.
-SINGLES = [
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "permission", 90),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution", 90),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission", 90),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 90),
-    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", "warranty", 90),
-    ("public-domain", r"(?:released|placed|dedicated|is|are) (?:in ?to|to|in) the public domain", "domain", 50),
-    ("public-domain", r"public domain", "domain", 20),
-    ("reserved", r"(?:all|some|no) rights reserved", "reserved", 40),
-    ("proprietary", r"(?:proprietary and confidential|confidential and proprietary|unauthori[sz]ed copying)", "proprietary unauthorized unauthorised", 50),
-    ("copyright", r"(?:copyright|©) (?:c )?(?:19|20)[0-9]{2}", "copyright ©", 30),
-    ("warranty-disclaimer", r"(?:as is )?without warrant(?:y|ies) (?:or conditions )?of any kind", "warranty warranties", 25),
-    ("permissive-unknown", r"(?:is |are )?(?:licensed|released|distributed) under (?:an? )?(?:open ?source|permissive|free) licen[cs]e", "under", 20),
-]
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -87,35 +29,8 @@ class Rule:
     order: int
 
 
-def _version(v: str) -> str:
-    """Folded words of a version: dots and dashes separate words."""
-    return r"(?:version |v ?)?" + re.escape(v).replace(r"\.", " ").replace(".", " ").replace(r"\-", " ")
-
-
 def rules() -> list[Rule]:
-    """All rules, built from the families, the Creative Commons elements and the single patterns."""
-    out: list[tuple[str, str, str, int]] = []
-    licence = r"licen[cs]e"
-    for label, name, keywords, versions in FAMILIES:
-        for v in versions:
-            full = f"{label}-{v}" if v else label
-            tail = f" {_version(v)}" if v else ""
-            out.append((full, rf"(?:licensed|released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?{name}(?: {licence})?{tail}", keywords, 80))
-            out.append((full, rf"{name} {licence}{tail}", keywords, 70))
-            out.append((full, rf"spdx {licence} identifier {re.escape(label).replace(chr(92) + '-', ' ')}{tail}(?: only| or later)?", "spdx", 95))
-            if v:
-                out.append((full, rf"{name}{tail}", keywords, 60))
-                out.append((f"{full}-or-later", rf"{name}(?: {licence})?{tail} or (?:at your option )?(?:any )?later(?: version)?", keywords, 85))
-        out.append((label, rf"{name} {licence}", keywords, 40))
-    for e in CC_ELEMENTS:
-        parts = e.split("-")
-        short, long = "cc " + " ".join(parts), "creative commons " + " ".join(CC_NAMES[p] for p in parts)
-        for v in CC_VERSIONS:
-            out.append((f"cc-{e}-{v}", rf"(?:{short}|{long})(?: (?:international|unported|generic))?(?: {licence})? {_version(v)}", "cc creative", 80))
-            out.append((f"cc-{e}-{v}", rf"creativecommons org licenses {' '.join(parts)} {v.replace('.', ' ')}", "creativecommons", 90))
-        out.append((f"cc-{e}", rf"(?:{short}|{long})", "cc creative", 45 + len(parts)))
-    out += SINGLES
-    return [Rule(label, re.compile(rf"(?<![^ ])(?:{p})(?![^ ])"), tuple(k.split()), priority, i) for i, (label, p, k, priority) in enumerate(out)]
+    return [Rule(label, re.compile(rf"(?<![^ ])(?:{p})(?![^ ])"), tuple(k.split()), priority, i) for i, (label, p, k, priority) in enumerate(signatures())]
 
 
 _FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -141,34 +56,47 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, list[str], list[tuple[str, int, int, float]]]:
         """(words, base places, first and last start, base labels, detections (label, start, end, score) in words)."""
-        folded = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
-        n_words = len(folded.split())
-        got = self.candidates(folded.decode("utf-8", "surrogatepass"))
+        words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+        line = b" ".join(words).decode("utf-8", "surrogatepass")
+        got = self.candidates(line)
         if not got:
-            return n_words, 0, None, None, [], []
-        line = " ".join(folded.decode("utf-8", "surrogatepass").split(" "))
-        line = " ".join(x for x in line.split(" ") if x)
-        padded = f" {line} "
+            return len(words), 0, None, None, [], []
+        begins: list[int] = []  # where each word begins
+
+        def word(at: int) -> int:
+            """The number of the word that begins at a place."""
+            if not begins:
+                begins.extend(accumulate((len(w) + 1 for w in line.split(" ")), initial=0))
+            return bisect_left(begins, at)
+
         places, labels = [], set()
+        padded = f" {line} "
         for phrase, label in BASE.items():
             at = padded.find(f" {phrase} ")
             while at >= 0:
-                places.append(padded.count(" ", 0, at + 1) - 1)
+                places.append(word(at))
                 labels.add(label)
                 at = padded.find(f" {phrase} ", at + 1)
         tried = {r.order: r for k in got for r in self.by_word.get(k, ())}
-        found = []
-        for r in tried.values():
-            for m in r.pattern.finditer(line):
-                found.append((-r.priority, m.start() - m.end(), r.order, m.start(), m.end(), r))
+        found = [(-r.priority, m.start() - m.end(), r.order, m.start(), m.end(), r) for r in tried.values() for m in r.pattern.finditer(line)]
         found.sort(key=lambda x: x[:5])
-        kept: list[tuple[int, int, Rule]] = []
-        for _, _, _, a, b, r in found:
-            # One that stands within an accepted detection is suppressed.
-            if not any(x <= a and b <= y for x, y, _ in kept):
-                kept.append((a, b, r))
-        spans = [(r.label, line.count(" ", 0, a), line.count(" ", 0, b) + 1, r.priority / 100) for a, b, r in sorted(kept, key=lambda x: (x[0], x[1], x[2].order))]
-        return n_words, len(places), min(places, default=None), max(places, default=None), sorted(labels), spans
+        spans = [(r.label, word(a), bisect_left(begins, b), r.priority / 100) for a, b, r in sorted(accepted(found), key=lambda x: (x[0], x[1], x[2].order))]
+        return len(words), len(places), min(places, default=None), max(places, default=None), sorted(labels), spans
+
+
+def accepted(found: list[tuple]) -> list[tuple[int, int, Rule]]:
+    """Detections (start, end, rule) in the order given, without those that lie within one accepted before. Of the
+    accepted ones only those that lie in no other can hold a later one: they are kept sorted, so a look is a bisection."""
+    kept, starts, ends = [], [], []
+    for *_, a, b, r in found:
+        k = bisect_right(starts, a)
+        if k and ends[k - 1] >= b:
+            continue
+        kept.append((a, b, r))
+        low = bisect_left(starts, a)
+        high = bisect_right(ends, b)
+        starts[low:high], ends[low:high] = [a], [b]
+    return kept
 
 
 _scanner: list[Scanner] = []
@@ -188,7 +116,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text): words, places of base phrases, labels, score and detections.
 
     A-Z are folded; words are runs of 0-9, a-z and characters from U+0080. Hundreds of rules (signatures as regular
-    expressions over the words, joined by one space) are tried only where one of their keywords occurs. Detections are
+    expressions over the words, joined by one space; see signatures) are tried only where one of their keywords occurs. Detections are
     taken by priority, then length, then rule order; one that lies within an accepted one is suppressed. labels: those
     of base phrases and accepted detections, distinct and sorted; score: the highest accepted rule's confidence (base
     phrases count 0.4), 0 without any. A null text is empty. Rows are independent and texts are taken whole.

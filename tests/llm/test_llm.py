@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from iqspark.llm import components, decontamination, html_text, language_id, licenses, mixing, ngram_join, perspectives, queries, repetition, textkit, token_store, url_filter
+from iqspark.llm import components, decontamination, html_text, language_id, licenses, mixing, ngram_join, perspectives, queries, repetition, signatures, textkit, token_store, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -342,15 +342,53 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def folded_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_license_base_columns_are_brute_force(spark):
+    rng = np.random.default_rng(8)
+    parts = ["cc", "by", "CC", "By", "general", "public", "license", "all", "rights", "reserved", "x", "é", "©", "2024", "cc-by", "by4", "ALL RIGHTS", "_", "\n", "cc\tby"]
+    texts = [" ".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(400)] + [None, "", "cc by", "cc by cc by", "é cc by"]
+    got = licenses.scan(docs(spark, list(enumerate(texts)))).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = folded_words(texts[r.doc_id])
+        places = sorted((k, label) for phrase, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split())
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None)
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert set(r.base_labels.split(",")) <= {*r.labels.split(","), ""} and 0 <= r.score <= 1
+
+
 def test_license_prefilter_and_suppression_are_brute_force():
     s = licenses.Scanner()
-    for text in ("licensed under the apache license version 2 0 all rights reserved", "gnu general public license version 3 or any later version and cc by nc 4 0", "mozilla public license 2 0 mit license"):
+    rng = np.random.default_rng(9)
+    grants = ["licensed under the apache license version 2 0", "all rights reserved", "gnu general public license version 3 or any later version", "cc by nc 4 0", "mozilla public license 2 0", "mit license", "general public license", "spdx license identifier gpl 2 0 only", "redistribution and use in source and binary forms with or without modification are permitted", "plain", "version 2 0", "copyright 2020", "public domain"]
+    for _ in range(60):
+        text = " ".join(rng.choice(grants, rng.integers(1, 12)))
         found = sorted(((-r.priority, a - b, r.order, a, b, r.label) for r in s.rules for m in r.pattern.finditer(text) for a, b in [m.span()]))
         kept = []
         for x in found:
             if not any(k[3] <= x[3] and x[4] <= k[4] for k in kept):
                 kept.append(x)
-        assert sorted(x[5] for x in kept) == sorted(x[0] for x in s.scan(text)[5])
+        want = sorted((x[5], text.count(" ", 0, x[3]), text.count(" ", 0, x[4]) + 1) for x in kept)
+        assert want == sorted(x[:3] for x in s.scan(text)[5])
+
+
+def test_every_signature_is_reached_by_a_keyword():
+    for r in licenses.rules():
+        assert r.keywords and all(re.fullmatch("[^ ]+", k) for k in r.keywords)
+    assert len(signatures.SIGNATURES.strip().splitlines()) > 200
+
+
+def test_long_licence_texts_take_linear_time():
+    import time
+
+    for text in ("licensed under the apache license version 2 0 x " * 40000, "cc by " * 200000, "gnu general public license version 3 " * 40000):
+        began = time.process_time()
+        n, base, first, last, _, spans = licenses.scanner().scan(text)
+        assert time.process_time() - began < 25 and n == len(text.split()) and spans
+    assert (base, first) == (40000, 1)
 
 
 PAGES = "page_id long, url string, html string"
