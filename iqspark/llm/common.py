@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine, where it is unset (as in
+    tests), a temporary one. On a cluster it must be set."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that executors and driver share")
         found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,13 +29,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor never replays what came before."""
+    """Write df to the shared folder and read it back, so that a lost executor never replays what came before; shuffle
+    files of the write go with its end."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Remove what materialize has written, once nothing reads it any more."""
+    for df in written:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if shared_dir(spark).split(":")[-1].lstrip("/") in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_key(text: Column) -> Column:
     """64 bits of a text: with its doc_id, the name of a row wherever ids are null or repeated."""
     return F.xxhash64(text.cast("string"))
