@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,15 +80,25 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.append(df, n)[at], pa.int64())], ["gram", "n"])
 
 
+#: Lengths to which held-back texts are cut for the temperature, besides the whole.
+CUTS = (3, 6, 12, 24, 48, 96)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, fold, grams, logs) of each text; of those held back (fold 0) also of a part of each length of CUTS."""
     for batch in batches:
         for piece in slices(batch, "text"):
             rows = []
             for lang, fold, text in zip(piece.column("lang").to_pylist(), piece.column("fold").to_pylist(), piece.column("text").to_pylist(), strict=True):
-                counts = gram_counts(text)
-                at = np.flatnonzero(counts)
-                rows.append((lang, fold, at.astype(np.int32).tobytes(), counts[at].astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["lang", "fold", "grams", "counts"])
+                parts = [text]
+                if fold == 0:
+                    parts += [text[at : at + n] for n in CUTS if n < len(text) for at in (zlib.crc32(text.encode(errors="replace")) % (len(text) - n + 1),)]
+                for part in filter(has_letter, parts):
+                    counts = gram_counts(part)
+                    at = np.flatnonzero(counts)
+                    rows.append((lang, fold, at.astype(np.uint16).tobytes(), (1 + np.log(counts[at])).astype(np.float32).tobytes()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["lang", "fold", "grams", "logs"])
 
 
 def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
@@ -118,41 +129,52 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int,
     return w[:DIM], w[DIM]
 
 
+#: Least and greatest temperature.
+TEMPERATURES = (0.01, 20.0)
+
+
 def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least log loss on held-back rows, by golden-section search over its logarithm."""
-    if not len(y):
+    """The temperature with the least log loss on held-back rows, by golden-section search over its logarithm. The right
+    language counts (n + 1) / (n + 2) of n rows, the others the rest, so that faultless rows don't make it vanish."""
+    n, classes = logits.shape
+    if not n or classes < 2:
         return 1.0
-    loss = lambda t: -np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(y)), y], 1e-12)).mean()
-    lo, hi, r = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
-    for _ in range(40):
+    right = (n + 1) / (n + 2)
+    target = np.full((n, classes), (1 - right) / (classes - 1))
+    target[np.arange(n), y] = right
+    loss = lambda t: -(target * np.log(np.maximum(softmax(logits / np.exp(t)), 1e-300))).sum(axis=1).mean()
+    lo, hi, r = *np.log(TEMPERATURES), (np.sqrt(5) - 1) / 2
+    for _ in range(50):
         a, b = hi - r * (hi - lo), lo + r * (hi - lo)
         lo, hi = (lo, b) if loss(a) <= loss(b) else (a, hi)
     return float(np.exp((lo + hi) / 2))
 
 
-def train(docs: DataFrame, rows_per_lang: int = 1000, most_langs: int = 200) -> Model:
-    """Fit on docs(doc_id, text, lang). idf counts every row; the classifier is fitted on a bounded sample: about
-    rows_per_lang rows of each of the most_langs commonest languages, chosen by a hash of doc_id and text, of which a
-    fifth is held back for the temperature. Rows with null text or lang, or without letters, teach nothing."""
+def train(docs: DataFrame, rows_per_lang: int = 1000, most_rows: int = 20_000) -> Model:
+    """Fit on docs(doc_id, text, lang). idf counts every row, and every language is learned; the classifier is fitted on a
+    bounded sample: about rows_per_lang rows of each language and most_rows in all, chosen by a hash of doc_id and text,
+    of which a fifth is held back for the temperature, whole and cut to the lengths of CUTS. Rows with null text or lang,
+    or without letters, teach nothing."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     df = {r["gram"]: r["n"] for r in known.select("text").mapInArrow(_frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     n = df.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIM)]))) + 1
-    per_lang = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    per_lang = known.groupBy("lang").count().collect()
     if not per_lang:
         return Model([], idf, np.zeros((DIM, 0)), np.zeros(0), 1.0)
-    share = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], min(1.0, rows_per_lang / r["count"]))])
+    most = min(rows_per_lang, max(1, most_rows // len(per_lang)))
+    share = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], min(1.0, most / r["count"]))])
     drawn = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) / 1e6
-    sample = known.where(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    sample = known.where(drawn < share[F.col("lang")])
     sample = sample.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int").alias("fold"), "text")
-    got = sample.mapInArrow(_features, "lang string, fold int, grams binary, counts binary").collect()
+    got = sample.mapInArrow(_features, "lang string, fold int, grams binary, logs binary").collect()
     langs = sorted({r["lang"] for r in per_lang})
+    number = {lang: k for k, lang in enumerate(langs)}
     fit, held = [], []
-    for r in sorted(got, key=lambda r: (r["lang"], bytes(r["grams"]), bytes(r["counts"]))):
-        at, x = np.frombuffer(r["grams"], np.int32), np.frombuffer(r["counts"], np.int32)
-        x = (1 + np.log(x)) * idf[at]
-        if len(at):
-            (held if r["fold"] == 0 else fit).append((at, x / np.sqrt(x @ x), langs.index(r["lang"])))
+    for r in sorted(got, key=lambda r: (r["lang"], bytes(r["grams"]), bytes(r["logs"]))):
+        at = np.frombuffer(r["grams"], np.uint16).astype(np.int64)
+        x = np.frombuffer(r["logs"], np.float32) * idf[at]
+        (held if r["fold"] == 0 else fit).append((at, x / np.sqrt(x @ x), number[r["lang"]]))
     weights, bias = follow_leader(fit, len(langs))
     logits = np.array([x @ weights[at] + bias for at, x, _ in held]).reshape(len(held), len(langs))
     return Model(langs, idf, weights, bias, calibrate(logits, np.array([y for *_, y in held], int)))
