@@ -33,14 +33,13 @@ def _unit_hashes() -> np.ndarray:
 def _trimmed(texts: pa.Array):
     """Words of texts, and the same without marks at both ends, as far as a word has other bytes."""
     w = words(texts)
-    start, end = w.start.copy(), w.end.copy()
-    for _ in range(8):
-        more = (end - start > 1) & _EDGE[w.data[np.minimum(start, max(len(w.data) - 1, 0))]] if len(start) else np.zeros(0, bool)
-        start = start + more
-        less = (end - start > 1) & _EDGE[w.data[end - 1]] if len(start) else more
-        end = end - less
-        if not (more.any() or less.any()):
-            break
+    other = np.flatnonzero(~_EDGE[w.data])
+    if not len(w.start) or not len(other):
+        return w, w
+    low, high = np.searchsorted(other, w.start), np.searchsorted(other, w.end)
+    has = high > low  # a word of marks only stays as it is
+    start = np.where(has, other[np.minimum(low, len(other) - 1)], w.start)
+    end = np.where(has, other[np.maximum(high - 1, 0)] + 1, w.end)
     return w, type(w)(w.data, start, end, w.doc, w.first, w.n_docs)
 
 
@@ -60,8 +59,8 @@ def _folded(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 
 def templates(texts: pa.Array):
-    """Words of texts, the template's hash of each, the hash of what a placeholder stands for (0: no placeholder), and
-    the hashes of words where names are words too.
+    """Words of texts, the template's hash of each, the hash of what a placeholder stands for (0: no placeholder), the
+    hashes of words where names are words too, and those of plain words.
 
     Marks at both ends of a word are left out and capitals folded (Unicode). Words that have digits are numbers, those of
     UNITS after a number are units, and words that begin with a capital are names unless they begin a text, line or
@@ -73,7 +72,7 @@ def templates(texts: pa.Array):
     plain = _trimmed(lower)[1]
     h = plain.hashes()
     if not len(h):
-        return w, h, h, h
+        return w, h, h, h, h
     digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
     number = digits[end] > digits[start]
     # A word begins with a capital if its first character has another lower case.
@@ -99,35 +98,52 @@ def templates(texts: pa.Array):
         template[where] = kind
         slot[where] = h[where] | _U(1)
     nameless[number], nameless[unit & ~number] = _NUM, _UNIT
-    return w, template, slot, nameless
+    return w, template, slot, nameless, h
 
 
-def _window_rows(keep: np.ndarray | None):
-    """Rows (id, text_key, h, at, n, slots) of each window of template words, and once more with names as words if it has any;
-    only those with a hash in keep, if given. slots: the hashes of what the window's placeholders stand for, in turn."""
+def _window_rows(keep: np.ndarray | None, lengths: list[int] | None = None):
+    """Rows (id, text_key, h, at, n, slots) of each window of template words, and once more with names as words if it has
+    any; only those with a hash in keep, if given. slots: the hashes of what the window's placeholders stand for, in turn.
+    A window of placeholders only has their values in its hash, as numbers and names stand together in many texts.
+    Texts of under WINDOW words have their plain words as one window; lengths, if given: windows of so many plain words
+    are looked for in every text, too."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                w, template, slot, nameless = templates(piece.column("text"))
+                w, template, slot, nameless, plain = templates(piece.column("text"))
                 count = np.diff(w.first)
                 at, h = windows(template, w, WINDOW)
                 other = windows(nameless, w, WINDOW)[1]
                 named = np.flatnonzero(other != h)
-                plain = np.where((nameless == _NUM) | (nameless == _UNIT), slot, _U(0))
-                for at, h, values in ((at, h, slot), (at[named], other[named], plain)):
+                values = np.where((nameless == _NUM) | (nameless == _UNIT), slot, _U(0))
+                found = [(WINDOW, at, _with_values(h, slot, w, at), slot), (WINDOW, at[named], _with_values(other, values, w, at)[named], values)]
+                for n in range(1, WINDOW) if lengths is None else lengths:
+                    begin, whole = windows(plain, w, n)
+                    if lengths is None:
+                        mine = count[w.doc[begin]] == n
+                        begin, whole = begin[mine], whole[mine]
+                    found.append((n, begin, mix(whole + _U(n)), np.zeros(len(plain), _U)))
+                for n, at, h, values in found:
                     if keep is not None:
-                        found = keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h if len(keep) else np.zeros(len(h), bool)
-                        at, h = at[found], h[found]
+                        known = keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h if len(keep) else np.zeros(len(h), bool)
+                        at, h = at[known], h[known]
                     doc = w.doc[at]
                     ids, keys = (piece.column(c).take(pa.array(doc)) for c in ("id", "text_key"))
-                    each = values[at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), _U)
+                    each = values[at[:, None] + np.arange(n)] if len(at) else np.zeros((0, n), _U)
                     listed = pa.array([x[x > 0].view(np.int64) for x in each], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, keys, pa.array(h.view(np.int64)), pa.array(at - w.first[doc], pa.int64()), pa.array(count[doc], pa.int64()), listed], ["id", "text_key", "h", "at", "n", "slots"])
 
     return rows
 
 
+def _with_values(h: np.ndarray, slot: np.ndarray, w, at: np.ndarray) -> np.ndarray:
+    """Hashes of windows, with those of their values where all words are placeholders."""
+    filled = np.concatenate([[0], np.cumsum(slot > 0)])
+    only = filled[at + WINDOW] - filled[at] == WINDOW if len(at) else np.zeros(0, bool)
+    return np.where(only, mix(h + windows(slot, w, WINDOW)[1]), h)
+
+
 _ROWS = "id long, text_key long, h long, at long, n long, slots array<long>"
 
 
@@ -145,17 +161,20 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, min_windows: int = 3
     one; the whole pair counts as one more. windows is that of the best; reparameterised: some slot's value differs in
     one of the matches.
 
-    Items of under WINDOW words match nothing, nor do null or empty texts. A document is a doc_id (or none) with a text,
+    An item of under WINDOW words is one window of plain words: it is found where it stands word for word. Null and empty
+    texts match nothing. A document is a doc_id (or none) with a text,
     named by text_key, so rows that share an id are judged each.
     Copies of items (equal templates) match each. The windows of the benchmark reach tasks as a sorted list of hashes
     while they are at most MOST_BROADCAST; beyond that the same join runs on all windows by shuffle.
     """
     text = F.col("text").cast("string").alias("text")
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), text, text_key(F.col("text")).alias("text_key")).distinct().mapInArrow(_window_rows(None), _ROWS)
-    items = items.select(F.col("id").alias("item_id"), "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), (F.col("n") - WINDOW + 1).alias("item_windows"))
-    few = items.select("h").distinct().limit(MOST_BROADCAST + 1).collect()
-    keep = np.sort(np.array([r["h"] for r in few], np.int64).view(_U)) if len(few) <= MOST_BROADCAST else None
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text, text_key(F.col("text")).alias("text_key")).mapInArrow(_window_rows(keep), _ROWS).withColumnRenamed("id", "doc_id")
+    windows_of = F.greatest(F.col("n") - WINDOW + 1, F.lit(1))
+    items = items.select(F.col("id").alias("item_id"), "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), windows_of.alias("item_windows"), "n")
+    lengths = [r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect()]
+    few = items.select("h").distinct().limit(MOST_BROADCAST + 1).toArrow().column("h").to_numpy()
+    keep = np.sort(few.view(_U)) if len(few) <= MOST_BROADCAST else None
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text, text_key(F.col("text")).alias("text_key")).mapInArrow(_window_rows(keep, lengths), _ROWS).withColumnRenamed("id", "doc_id")
     # Windows that an item repeats with the same values are one row that counts as often, so copies never multiply.
     items = items.groupBy("item_id", "h", "item_slots", "item_windows").agg(F.min("item_at").alias("item_at"), F.count("*").alias("times"))
     hits = materialize(rows.distinct().select("doc_id", "text_key", "h", "slots", "at").join(items, "h"), "hits")
