@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sources whose rates are broadcast at most; beyond that the join is left to the optimiser, which splits hot keys.
@@ -30,18 +30,13 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, smoot
 
 
 def with_cumulative(rates: DataFrame) -> DataFrame:
-    """Adds cdf: P(X <= k) of a Poisson variable of the rate for k = 0 to rate + 12 * sqrt(rate) + 20."""
-    steps = F.expr("CASE WHEN rate > 0 THEN sequence(1, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS INT)) END")
-    folded = F.aggregate(
-        steps,
-        F.struct(F.array(F.exp(-F.col("rate"))).alias("cdf"), F.lit(0.0).alias("logs")),
-        lambda a, k: F.struct(
-            F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + F.exp(-F.col("rate") + a["logs"] + F.ln(F.col("rate") / k)))).alias("cdf"),
-            (a["logs"] + F.ln(F.col("rate") / k)).alias("logs"),
-        ),
-        lambda a: a["cdf"],
-    )
-    return rates.withColumn("cdf", folded)
+    """Adds cdf: P(X <= k) of a Poisson variable of the rate for k = 0 to rate + 12 * sqrt(rate) + 20; null for rate 0."""
+    at = rates.where("rate > 0").select("rate").distinct().withColumn("k", F.explode(F.expr("sequence(0, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS INT))")))
+    order = Window.partitionBy("rate").orderBy("k")
+    logs = F.sum(F.when(F.col("k") > 0, F.ln(F.col("rate") / F.col("k"))).otherwise(0.0)).over(order)
+    each = at.withColumn("p", F.exp(-F.col("rate") + logs)).withColumn("c", F.sum("p").over(order))
+    cdf = each.groupBy(F.col("rate").alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
+    return rates.join(cdf, F.col("rate") == F.col("r"), "left").drop("r")
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, smoothing: float = 0.5, size: float = 1.0, seed: str = "mix") -> DataFrame:
@@ -64,4 +59,6 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, smooth
     out = out.withColumn("copy", F.explode(F.expr("sequence(1, __k)")))
     out = out.withColumn("position", hashed_uniform(seed + "/order", F.col("doc_id"), F.col("copy")))
     out = out.select(*[f"`{c}`" for c in docs.columns], "copy", "position")
-    return out.repartitionByRange("position").sortWithinPartitions("position")
+    # Positions are uniform, so equal ranges of them are equal shares: no look at the data is needed to cut them.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionById(parts, F.floor(F.col("position") * parts).cast("int")).sortWithinPartitions("position")
