@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import Words, mix, slices, windows, words
+from .textkit import Words, mix, power, slices, windows, words
 
 _U = np.uint64
 _SYMBOLS = "#*$%&|<>"
@@ -22,8 +22,8 @@ def longest_repeats(w: Words, h: np.ndarray) -> np.ndarray:
     The suffixes are those of the sequence of 3-word windows, a symbol at each word, so a common prefix of k symbols is
     one of k + 2 words; positions whose window is alone in its row have no repeat and keep ranks of their own. Prefix
     doubling sorts the others, of all rows at once: a rank after k rounds tells runs of 2**k symbols apart, and only
-    positions that share a rank go on. In suffix order the common prefixes of neighbours follow from the ranks by
-    descending powers of two; the longest repeat at a position is the larger of those with its two neighbours, which
+    positions that share a rank go on, and no rank but the last is kept. In suffix order the common prefixes of
+    neighbours are found by bisection over their length, with a rolling hash of the symbols; the longest repeat at a position is the larger of those with its two neighbours, which
     bound the LCP intervals that it is in.
     """
     n = len(h)
@@ -42,11 +42,11 @@ def longest_repeats(w: Words, h: np.ndarray) -> np.ndarray:
     order, group = order[many], group[many]
     if not len(order):
         return out
-    live = at[order]  # positions, group by group
+    live, symbols_of = at[order], symbols[order]  # positions, group by group
     rank = n + np.arange(n)
     first = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(group)), 0))
     rank[live] = first  # the place of its group's first position: there is room for those that part later
-    levels, step = [rank], 1
+    step = 1
     while True:
         count = np.bincount(rank[live], minlength=len(live))
         mine = live[count[rank[live]] > 1]
@@ -60,17 +60,22 @@ def longest_repeats(w: Words, h: np.ndarray) -> np.ndarray:
         change = begin | np.concatenate([[True], b[1:] != b[:-1]])
         index = np.arange(len(a))
         place = np.maximum.accumulate(np.where(change, index, 0)) - np.maximum.accumulate(np.where(begin, index, 0))
-        rank = rank.copy()
         rank[mine[order]] = a + place
-        levels.append(rank)
         step *= 2
     suffixes = live[np.argsort(rank[live], kind="stable")]
     a, b = suffixes[:-1], suffixes[1:]
-    common = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        x, y = a + common, b + common
-        same = (x < n) & (y < n) & (levels[k][np.minimum(x, n - 1)] == levels[k][np.minimum(y, n - 1)])
-        common += np.where(same, 1 << k, 0)
+    # Symbols of places whose window is alone, and the first after a row, differ from all others.
+    values = mix(_U(0x9E3779B97F4A7C15) * np.arange(1, n + 1, dtype=_U))
+    values[live] = mix(symbols_of + _U(7))
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(values * power("up", n), out=sums[1:])
+    common, down = np.zeros(len(a), np.int64), power("down", n + 1)
+    for k in range(max(0, int(step).bit_length() - 1), -1, -1):
+        x, y, length = a + common, b + common, 1 << k
+        fits = np.flatnonzero(np.maximum(x, y) + length <= n)
+        x, y = x[fits], y[fits]
+        same = (sums[x + length] - sums[x]) * down[x] == (sums[y + length] - sums[y]) * down[y]
+        common[fits] += np.where(same, length, 0)
     common = np.where(common > 0, common + 2, 0)
     out[a] = common
     out[b] = np.maximum(out[b], common)

@@ -32,7 +32,8 @@ _FOLDED[0x41:0x5B] = _BYTE[0x61:0x7B]  # A-Z count as a-z
 _CHECKED = (mix(_FOLDED) >> _U(32)).astype(np.uint32)
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
+    """The first n powers of the base of rolling hashes, or of its inverse (down)."""
     if len(_powers[kind]) < n:
         base = _U(_BASE if kind == "up" else pow(_BASE, -1, 2**64))
         grown = np.full(max(n, 1 << 16), base, _U)
@@ -56,15 +57,15 @@ class Words:
         """64 bits of each word; with fold, A-Z count as a-z."""
         n = len(self.data)
         sums = np.zeros(n + 1, _U)
-        np.cumsum((_FOLDED if fold else _BYTE)[self.data] * _power("up", n), out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * _power("down", n + 1)[self.start] + (self.end - self.start).astype(_U))
+        np.cumsum((_FOLDED if fold else _BYTE)[self.data] * power("up", n), out=sums[1:])
+        return mix((sums[self.end] - sums[self.start]) * power("down", n + 1)[self.start] + (self.end - self.start).astype(_U))
 
     def checks(self) -> np.ndarray:
         """32 bits more of each word, by other values of bytes; A-Z count as a-z."""
         n = len(self.data)
         sums = np.zeros(n + 1, np.uint32)
-        np.cumsum(_CHECKED[self.data] * _power("up", n).astype(np.uint32), out=sums[1:])
-        return (sums[self.end] - sums[self.start]) * _power("down", n + 1)[self.start].astype(np.uint32)
+        np.cumsum(_CHECKED[self.data] * power("up", n).astype(np.uint32), out=sums[1:])
+        return (sums[self.end] - sums[self.start]) * power("down", n + 1)[self.start].astype(np.uint32)
 
 
 def words(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:

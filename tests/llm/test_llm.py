@@ -111,6 +111,43 @@ def test_language_id(spark):
     assert language_id.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_scores_are_calibrated(spark):
+    """The temperature lies within its range, short and strange texts are less sure than long ones, and scores are as
+    right as they say."""
+    d = "/root/testdata/sf0.01/documents.parquet"
+    model = language_id.train(spark.read.parquet(d).where(~language_id.held_out()), most_rows=1500)
+    lo, hi = language_id.TEMPERATURES
+    assert 1.5 * lo < model.temperature < hi / 1.5
+    held = spark.read.parquet(d).where(language_id.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").collect()
+    short = [(model.predict(r.text[k : k + n]), r.lang) for r in held for n in (3, 6, 12, 30) for k in (0, len(r.text) // 2) if language_id.has_letter(r.text[k : k + n])]
+    said, right = np.array([p[1] for p, _ in short]), np.array([p[0] == lang for p, lang in short])
+    for low, high in ((0.0, 0.6), (0.6, 0.9), (0.9, 0.99)):
+        mine = (said > low) & (said <= high)
+        if mine.sum() > 40:
+            assert abs(said[mine].mean() - right[mine].mean()) < 0.15
+    whole = [model.predict(r.text) for r in held if len(r.text) > 200]
+    assert model.predict("Ω")[1] < 0.9 and np.mean([s for _, s in whole]) > 0.95
+
+
+def test_temperature_is_the_best_of_a_grid():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 3, 4000)
+    logits = rng.normal(size=(4000, 3)) + 2.0 * np.eye(3)[y]
+    t = language_id.calibrate(logits * 5, y)
+    loss = lambda t: -np.log(language_id.softmax(logits * 5 / t)[np.arange(4000), y]).mean()
+    best = min(np.linspace(0.5, 20, 400), key=loss)
+    assert abs(t - best) < 0.2
+    one = language_id.calibrate(np.array([[9.0, 0.0]] * 50), np.zeros(50, int))
+    assert language_id.TEMPERATURES[0] < one and 0.9 < language_id.softmax(np.array([9.0, 0.0]) / one)[0] < 1
+
+
+def test_one_step_of_the_leader_by_hand():
+    """From zero weights of two classes the gradient is x (p - y) = -x / 2: z = g, n = g * g, then the closed form."""
+    w, bias = language_id.follow_leader([(np.array([3]), np.array([0.8]), 0)], 2, epochs=1, alpha=0.5, beta=1.0, l1=0.02, l2=0.05)
+    solved = lambda g: (abs(g) - 0.02) / ((1 + abs(g)) / 0.5 + 0.05)
+    assert np.allclose(w[3], [solved(0.4), -solved(0.4)]) and np.allclose(bias, [solved(0.5), -solved(0.5)])
+
+
 def test_gram_counts_of_pieces_add_up():
     text = "abcdeé" * 60000
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -257,7 +294,15 @@ def test_copies_in_capitals_are_caught(spark):
     got = {r.doc_id: (list(r.item_ids), r.reparameterised) for r in decontamination.contaminated(docs(spark, rows), items).collect()}
     assert got == {10: ([1], False), 11: ([1], True), 12: ([1], False), 20: ([2], False), 21: ([2], True), 30: ([3], False), 40: ([], False)}
     raw = pa.array([b"a \xff\xfe B", b"x"], pa.binary())
-    assert [len(x) for x in decontamination.templates(pa.Array.from_buffers(pa.string(), 2, raw.buffers()))[1:]] == [4, 4, 4]
+    assert [len(x) for x in decontamination.templates(pa.Array.from_buffers(pa.string(), 2, raw.buffers()))[1:]] == [4, 4, 4, 4]
+
+
+def test_marks_short_items_and_tables_of_numbers(spark):
+    q = "what is the name of the river that flows through the old town"
+    items = spark.createDataFrame([(1, q), (2, "name the capital"), (3, "1 2 3 4 5 6 7 8 9 10"), (4, "yes")], "item_id long, text string")
+    rows = [(10, " ".join("((((((((((((" + x + "!!!!!!!!!!!!" for x in q.split())), (11, "please Name the Capital. now"), (12, "name a capital"), (13, "11 12 13 14 15 16 17 18 19 20 21"), (14, "0 1 2 3 4 5 6 7 8 9 10"), (15, "((((((( ))))"), (16, "Yes!"), (17, "eyes")]
+    got = {r.doc_id: list(r.item_ids) for r in decontamination.contaminated(docs(spark, rows), items).collect()}
+    assert got == {10: [1], 11: [2], 12: [], 13: [], 14: [3], 15: [], 16: [4], 17: []}
 
 
 def test_sheets_of_new_parameters_are_caught(spark):
