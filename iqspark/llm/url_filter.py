@@ -7,7 +7,8 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .common import bounded, materialize
+from .components import connected_components, to_least
 
 #: (verdict, host, path prefix): fixed values of the registered query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -39,8 +40,19 @@ def rule_and_verdict(host: Column, path: Column, rules=RULES) -> tuple[Column, C
     return pick([h + p for _, h, p in ordered]), pick([v for v, *_ in ordered])
 
 
+def url_node(url: Column) -> Column:
+    """A url as a node: scheme and host in lower case, / for an empty path, its query, no fragment. null without ://."""
+    query = F.regexp_extract(_rest(url), r"(?s)^[^?#]*(\?[^#]*)", 1)
+    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    return F.when(F.instr(url, "://") > 0, F.concat(_scheme(url), F.lit("://"), host_of(url), path, query))
+
+
+def _scheme(url: Column) -> Column:
+    return F.lower(F.substring_index(url, "://", 1))
+
+
 def canonical_key(url: Column) -> Column:
-    """The url that a site's usual redirects lead to: no scheme, fragment, tracking parameters, alias host, index page,
+    """What many sites' redirects lead to, as a guess that judge takes only with guess_aliases: no scheme, fragment, tracking parameters, alias host, index page,
     .html or slash at the end. null for null or without ://."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r":(?:80|443)$", ""), ALIAS_HOSTS, "")
     path = F.regexp_replace(F.regexp_replace(path_of(url), r"(?i)/(?:index)?\.?(?:html?|php)?$", ""), r"(?i)\.html?$", "")
@@ -73,10 +85,10 @@ def unescaped(text: Column) -> Column:
 def resolved(target: Column, url: Column) -> Column:
     """The absolute url of a target in the page url: by scheme, // (host), / (path), ? (query), # (the page itself), or
     else from the directory of the page's path; . and .. are folded. null for targets of other kinds, as mailto:."""
-    site, path = F.concat(F.lit("x://"), host_of(url)), path_of(url)
+    site, path = F.concat(_scheme(url), F.lit("://"), host_of(url)), path_of(url)
     folder = F.concat(site, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", "")))
     whole = (
-        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(target.startswith("/"), F.concat(site, target))
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(_scheme(url), F.lit(":"), target)).when(target.startswith("/"), F.concat(site, target))
         .when(target.startswith("?"), F.concat(site, path, target)).when(target.startswith("#"), F.regexp_replace(url, "(?s)#.*$", ""))
         .when(~target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(folder, target))
     )
@@ -93,42 +105,48 @@ def _folded(url: Column) -> Column:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) of pages(url, html): each url to its canonical key, and the key of a canonical link or of a redirect by
-    meta refresh in the page to the page's. Targets are unescaped and resolved."""
+    """(a, b) of pages(url, html): the node of a page's url and that of each canonical link and each redirect by meta
+    refresh in the page. Targets are unescaped and resolved; pages without such a link give no row."""
     html = F.when(F.col("html").rlike(r"(?i)canonical|http-equiv"), F.col("html"))
     link = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0))
     meta = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
     href = F.transform(link, lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     to = F.transform(meta, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     targets = F.coalesce(F.concat(href, to), F.array().cast("array<string>"))
-    known = pages.where(F.instr("url", "://") > 0).select("url", F.filter(targets, lambda t: t != "").alias("to"))
+    linked = pages.where(F.instr("url", "://") > 0).select("url", F.explode(F.filter(targets, lambda t: t != "")).alias("t"))
     absolute = _once(unescaped(F.col("t")), lambda t: resolved(t, F.col("url")))
-    own = known.select(F.col("url").alias("a"), canonical_key(F.col("url")).alias("b"))
-    linked = known.where(F.size("to") > 0).select("url", F.explode("to").alias("t")).select(canonical_key(F.col("url")).alias("a"), _once(absolute, canonical_key).alias("b"))
-    return own.union(linked.where("b IS NOT NULL"))
+    return linked.select(url_node(F.col("url")).alias("a"), _once(absolute, url_node).alias("b")).where("b IS NOT NULL")
 
 
-def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, guess_aliases: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, component) of every row of pages(page_id, url, html).
 
     A url's own rule decides, allow or block. A url without one is blocked if a url that is equivalent to it is blocked:
     equivalence is connected components over redirect and canonical-link edges (page_edges, and rows (a, b) of urls in
-    redirects, if given). Within a component an explicit allow of any alias comes before blocks. All others are allowed.
-    component: the least node of the component, null if the url has no ://. Null and malformed urls have empty host and
-    path and are allowed; repeated rows are judged each; extra columns are ignored. Edges are reduced to distinct urls
-    before the first join, so a host, url or page copied many times weighs no more than one.
+    redirects, if given; with guess_aliases, urls of one canonical_key are equivalent, too). Urls that are targets only
+    count as well. Within a component an explicit allow of any alias comes before blocks. All others are allowed.
+    component: the least node of the component; null if no edge meets the url. Null and malformed urls have empty host
+    and path and are allowed; repeated rows are judged each; extra columns are ignored. Host, path and rule are the
+    row's own. Only urls with an edge take part in components, and only their verdicts are joined to pages, by broadcast
+    where they are few (checked); pages without a url are never keys of a join.
     """
     url = F.col("url")
     pages = pages.selectExpr("CAST(page_id AS long) page_id", "CAST(url AS string) url", "CAST(html AS string) html")
     edges = page_edges(pages)
     if redirects is not None:
         a, b = F.col("a"), F.col("b")
-        edges = edges.union(redirects.select(canonical_key(a).alias("a"), canonical_key(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL"))
-    parts = connected_components(edges, "a", "b")
+        edges = edges.union(redirects.select(url_node(a).alias("a"), url_node(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL"))
+    if guess_aliases:
+        edges = materialize(edges, "links")
+        both = edges.select("a").union(edges.select("b")).union(pages.select(url_node(url)).where(F.instr("url", "://") > 0))
+        edges = edges.union(both.distinct().select("a", canonical_key(F.col("a")).alias("b")))
+    parts = materialize(connected_components(edges, "a", "b").withColumn("own", rule_and_verdict(host_of(F.col("node")), path_of(F.col("node")), rules)[1]), "aliases")
+    blocked = F.coalesce(F.bool_or(F.col("own") == "block") & ~F.coalesce(F.bool_or(F.col("own") == "allow"), F.lit(False)), F.lit(False))
+    whole = parts.groupBy(F.col("component").alias("u")).agg(blocked.alias("m"), F.count("*").alias("c"))
+    known = bounded(to_least(parts, "component", whole, parts.count()).select("node", "component", F.when(F.col("m"), F.lit("block")).alias("passed")), "passed")
     rule, verdict = rule_and_verdict(F.col("host"), F.col("path"), rules)
-    urls = pages.select("url").distinct().withColumns({"host": host_of(url), "path": path_of(url)}).withColumns({"rule": rule, "own": verdict})
-    placed = urls.join(parts, urls.url == parts.node, "left").select("url", "host", "path", "rule", "own", F.coalesce("component", F.when(F.instr("url", "://") > 0, canonical_key(url))).alias("component"))
-    spread = placed.where("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.bool_or(F.col("own") == "allow").alias("allowed"), F.bool_or(F.col("own") == "block").alias("blocked"))
-    spread = spread.where("blocked AND NOT coalesce(allowed, false)").select("c", F.lit("block").alias("passed"))
-    judged = placed.join(spread, F.col("component") == F.col("c"), "left").select("url", "host", "path", "rule", F.coalesce("own", "passed", F.lit("allow")).alias("verdict"), "component")
-    return pages.select("page_id", "url").join(judged.withColumnRenamed("url", "u"), url.eqNullSafe(F.col("u"))).select("page_id", "host", "path", "rule", "verdict", "component")
+    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), url_node(url).alias("at")).withColumns({"rule": rule, "own": verdict})
+    met = rows.where("at IS NOT NULL").join(known, F.col("at") == F.col("node"), "left")
+    none = F.lit(None).cast("string")
+    rest = rows.where("at IS NULL").select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), none.alias("component"))
+    return met.select("page_id", "host", "path", "rule", F.coalesce("own", "passed", F.lit("allow")).alias("verdict"), "component").union(rest)
