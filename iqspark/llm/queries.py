@@ -56,18 +56,46 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 12))
 
 
+def _url_sql() -> str:
+    """op5 in SQL: links and redirects to absolute urls without character references; none of the tables has others."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rest = lambda u: f"substr({u}, strpos({u}, '://') + 3)"
+    host = lambda u: f"CASE WHEN strpos({u}, '://') > 0 THEN translate(regexp_extract({rest(u)}, '(?s)^([^/?#]*)', 1), '{upper}', '{lower}') ELSE '' END"
+    path = lambda u: f"CASE WHEN strpos({u}, '://') > 0 THEN regexp_extract({rest(u)}, '(?s)^[^/?#]*([^?#]*)', 1) ELSE '' END"
+    node = lambda u: f"CASE WHEN strpos({u}, '://') > 0 THEN lower(split_part({u}, '://', 1)) || '://' || ({host(u)}) || coalesce(nullif({path(u)}, ''), '/') || regexp_extract({rest(u)}, '(?s)^[^?#]*(\\?[^#]*)', 1) END"
+    ordered = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+    pick = lambda h, p, k: "CASE " + " ".join(f"WHEN ({h} = '{r[1]}' OR ends_with({h}, '.{r[1]}')) AND starts_with({p}, '{r[2]}') THEN '{k(r)}'" for r in ordered) + " END"
+    rule, verdict = (lambda h, p: pick(h, p, lambda r: r[1] + r[2])), (lambda h, p: pick(h, p, lambda r: r[0]))
+    tag = lambda name, key, value, wanted: f"list_transform(regexp_extract_all(html, '(?is)<{name}\\b[^>]*\\b{key}\\s*=\\s*[\"'']?{value}\\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\\b{wanted}\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1))"
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, html, {host('url')} AS host, {path('url')} AS path, {node('url')} AS node FROM pages),
+t AS (SELECT node AS a, unnest(list_concat({tag('link', 'rel', 'canonical', 'href')}, {tag('meta', 'http-equiv', 'refresh', 'url')})) AS t FROM p WHERE node IS NOT NULL),
+e AS (SELECT a, {node('t')} AS b FROM t WHERE strpos(t, '://') > 0),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, c.root FROM c JOIN s ON s.a = c.node),
+k AS (SELECT node, min(root) AS component FROM c GROUP BY node),
+o AS (SELECT component, {host('node')} AS h, {path('node')} AS q FROM k),
+v AS (SELECT component, coalesce(bool_or(w = 'block'), false) AND NOT coalesce(bool_or(w = 'allow'), false) AS blocked
+  FROM (SELECT component, {verdict('h', 'q')} AS w FROM o) GROUP BY component)
+SELECT page_id, host, path, {rule('host', 'path')} AS rule,
+  coalesce({verdict('host', 'path')}, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN k ON p.node = k.node LEFT JOIN v ON k.component = v.component"""
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_ngram_jaccard_join, op4_license_scan, op5_url_filter, op6_token_store, op7_benchmark_decontamination, op8_html_extraction, op9_quality_rules, op10_source_mixing)}
 
 ORACLE_SQL = {
+    "op5_url_filter": _url_sql(),
     "op2_chat_formatting": """
 WITH t AS (
-  SELECT conv_id, coalesce(floor(turn / 256.0), -1)::BIGINT AS part, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  SELECT conv_id, 0::BIGINT AS part, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
+    replace(replace(coalesce(text, ''), '<|', '<\\|'), '|>', '|\\>') AS text
   FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
 r AS (
   SELECT t.conv_id, p.participant, t.part, t.turn, t.role, t.text, t.role = p.participant AS own,
     CASE WHEN t.role = p.participant THEN '<|assistant|>' || chr(10) WHEN t.role = 'system' THEN '<|system|>' || chr(10)
-         ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head
+         ELSE '<|user name=' || replace(replace(t.role, '<|', '<\\|'), '|>', '|\\>') || '|>' || chr(10) END AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, participant, part ORDER BY turn, role, text) AS k FROM r),
 s AS (
