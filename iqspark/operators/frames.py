@@ -79,26 +79,61 @@ def continuity(frames: DataFrame, bucket: int | None = None) -> DataFrame:
 
 
 def rebased_counter(frames: DataFrame) -> DataFrame:
-    first = F.first("packet_counter").over(Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return frames.withColumn("rebased", F.col("packet_counter") - first)
+    """Adds rebased, the counter less that of the stream's first frame; one small row for each stream is joined."""
+    first = frames.groupBy("stream_id").agg(F.min_by("packet_counter", "seq").alias("c0"))
+    return frames.join(first, "stream_id").withColumn("rebased", F.col("packet_counter") - F.col("c0")).drop("c0")
 
 
 def error_count(frames: DataFrame) -> DataFrame:
     return frames.groupBy("stream_id").agg(F.sum(F.when(F.col("packet_error") != 0, 1).otherwise(0)).alias("n_errors"))
 
 
-def running_errors(frames: DataFrame) -> DataFrame:
-    order = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn("n_errors", F.sum(F.when(F.col("packet_error") != 0, 1).otherwise(0)).over(order))
+def running_errors(frames: DataFrame, bucket: int = 65_536) -> DataFrame:
+    """Adds n_errors, frames with an error up to each one. Frames are windowed in ranges of bucket values of seq; errors
+    of the ranges before come from one row for each range."""
+    error = F.when(F.col("packet_error") != 0, 1).otherwise(0)
+    part = frames.withColumn("b", F.floor(F.col("seq") / bucket))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy("stream_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = part.groupBy("stream_id", "b").agg(F.sum(error).alias("s")).select("stream_id", "b", before.alias("before"))
+    own = F.sum(error).over(Window.partitionBy("stream_id", "b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return part.withColumn("own", own).join(sums, ["stream_id", "b"]).withColumn("n_errors", F.col("before") + F.col("own")).drop("own", "before", "b")
+
 
+def flag_intervals(frames: DataFrame, flag: int | None = None, bucket: int = 65_536) -> DataFrame:
+    """Runs of a flag's value: stream_id, flag, value, first and last seq, frames; of every flag if none is named.
 
-def flag_intervals(frames: DataFrame, flag: int) -> DataFrame:
-    """Runs of one flag's value: stream_id, value, first and last seq, frames."""
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    state = frames.select("stream_id", "seq", F.get("flags", F.lit(flag)).alias("value"))
-    marked = state.withColumn("change", F.when(F.lag("value").over(order).eqNullSafe(F.col("value")), 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("stream_id", "run", "value").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_frames")).drop("run")
+    Changes are found within ranges of bucket values of seq; one row for each range (its last value and its number of
+    changes) gives the value before it and the number of its first run, so no task holds a whole stream.
+    """
+    state = frames.select("stream_id", "seq", F.floor(F.col("seq") / bucket).alias("b"), F.posexplode("flags").alias("flag", "value"))
+    if flag is not None:
+        state = state.where(F.col("flag") == flag)
+    keys = ["stream_id", "flag"]
+    order = Window.partitionBy(*keys, "b").orderBy("seq")
+    inner = state.withColumns({"opens": F.lag(F.lit(False), 1, True).over(order), "prev": F.lag("value").over(order)})
+    inner = inner.withColumn("change", F.when(~F.col("opens") & ~F.col("prev").eqNullSafe(F.col("value")), 1).otherwise(0))
+    inner = inner.withColumn("own", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("prev", "opens")
+    ends = inner.groupBy(*keys, "b").agg(F.min_by("value", "seq").alias("first"), F.max_by("value", "seq").alias("last"), F.sum("change").alias("c"))
+    ranges = Window.partitionBy(*keys).orderBy("b")
+    same = F.lag(F.lit(False), 1, True).over(ranges) | F.lag("last").over(ranges).eqNullSafe(F.col("first"))
+    ends = ends.withColumn("seam", F.when(same, 0).otherwise(1))
+    base = F.sum("seam").over(ranges) + F.coalesce(F.sum("c").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = inner.join(ends.select(*keys, "b", base.alias("base")), [*keys, "b"]).withColumn("run", F.col("base") + F.col("own"))
+    return runs.groupBy(*keys, "run", "value").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_frames")).drop("run")
+
+
+#: Headers that are broadcast at most; beyond that they are joined by a shuffle.
+MOST_HEADERS = 100_000
+
+
+def with_header(rows: DataFrame, headers: DataFrame, *keys: str) -> DataFrame:
+    """Frames or sweep rows with their header's columns (sample_rate, acc_len, shifts and what else it has), one header for
+    each stream_id (or keys); a header's columns take the place of equally named ones. Rows without a header keep nulls."""
+    keys = keys or ("stream_id",)
+    more = [c for c in headers.columns if c not in keys]
+    headers = headers.dropDuplicates([*keys])
+    few = headers.select(*keys).limit(MOST_HEADERS + 1).count() <= MOST_HEADERS
+    return rows.drop(*more).join(F.broadcast(headers) if few else headers, [*keys], "left")
 
 
 def receive_rate(packets: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import iq
 from ..functions.frequency import sweep_frequency
+from ..functions.hashed import hashed_uniform
 
 
 def grid(tones: DataFrame, points: int, direction: str = "up", default_span: float | None = None) -> DataFrame:
@@ -112,22 +113,45 @@ def unwrap_tones(sweep: DataFrame) -> DataFrame:
     return joined.withColumn("uphase", F.col("phase") + (F.col("own") + F.col("add")) * iq.TAU).drop("k", "own", "add")
 
 
-def phase_slope(unwrapped: DataFrame, order: tuple[str, ...] = ("tone", "point")) -> DataFrame:
-    """Adds slope, d uphase / d f on uneven steps (second order inside, first at the ends); null where steps are 0."""
-    w = Window.partitionBy("sweep_id").orderBy(*order)
+def phase_slope(unwrapped: DataFrame) -> DataFrame:
+    """Adds slope, d uphase / d f on uneven steps (second order inside, first at a sweep's ends); null where steps are 0.
+    Points follow each other by tone and point. No task holds more than one tone: the points beside a tone's ends come
+    from one row for each tone."""
+    w = Window.partitionBy("sweep_id", "tone").orderBy("point")
+    z = F.struct("f", "uphase")
+    ends = unwrapped.groupBy("sweep_id", "tone").agg(F.min_by(z, "point").alias("first"), F.max_by(z, "point").alias("last"))
+    tones = Window.partitionBy("sweep_id").orderBy("tone")
+    beside = ends.select("sweep_id", "tone", F.lag("last").over(tones).alias("from"), F.lead("first").over(tones).alias("to"))
+    out = unwrapped.withColumns({"before": F.lag(z).over(w), "after": F.lead(z).over(w)}).join(beside, ["sweep_id", "tone"])
+    before, after = F.coalesce("before", "from"), F.coalesce("after", "to")
     f, p = F.col("f"), F.col("uphase")
-    hs, hd = f - F.lag("f").over(w), F.lead("f").over(w) - f
-    before, after = F.lag("uphase").over(w), F.lead("uphase").over(w)
-    inner = F.try_divide(hs * hs * after + (hd * hd - hs * hs) * p - hd * hd * before, hs * hd * (hd + hs))
-    ends = F.coalesce(F.try_divide(after - p, hd), F.try_divide(p - before, hs))
-    return unwrapped.withColumn("slope", F.when(hs.isNull() | hd.isNull(), ends).otherwise(inner))
+    hs, hd = f - before["f"], after["f"] - f
+    inner = F.try_divide(hs * hs * after["uphase"] + (hd * hd - hs * hs) * p - hd * hd * before["uphase"], hs * hd * (hd + hs))
+    edge = F.coalesce(F.try_divide(after["uphase"] - p, hd), F.try_divide(p - before["uphase"], hs))
+    return out.withColumn("slope", F.when(hs.isNull() | hd.isNull(), edge).otherwise(inner)).drop("before", "after", "from", "to")
 
 
-def median_slope(slopes: DataFrame, exact: bool = True) -> DataFrame:
-    """Median over a sweep's points; NaN and null don't count. exact=False for sweeps of over about 1e8 points."""
-    ok = slopes.where(F.col("slope").isNotNull() & ~F.isnan("slope"))
-    median = F.percentile("slope", 0.5) if exact else F.percentile_approx("slope", 0.5, 10000)
-    return ok.groupBy("sweep_id").agg(median.alias("median_slope"))
+#: Rank error of the approximate quantiles that bracket a median: one in so many.
+_ACCURACY = 10_000
+MOST_SWEEPS = 100_000
+
+
+def median_slope(slopes: DataFrame) -> DataFrame:
+    """Exact median over a sweep's points; NaN and null don't count.
+
+    Two approximate quantiles (mergeable sketches with a bound on their rank error) bracket the median; values below the
+    bracket are counted, and only those within it, about 4 in 10,000, are ranked. So no task holds a sweep's slopes.
+    """
+    ok = slopes.where(F.col("slope").isNotNull() & ~F.isnan("slope")).select("sweep_id", "slope")
+    low, high = 0.5 - 2 / _ACCURACY, 0.5 + 2 / _ACCURACY
+    marks = ok.groupBy("sweep_id").agg(F.percentile_approx("slope", [low, high], _ACCURACY).alias("q"), F.count("*").alias("n"))
+    few = marks.select("sweep_id").limit(MOST_SWEEPS + 1).count() <= MOST_SWEEPS
+    near = ok.join(F.broadcast(marks) if few else marks, "sweep_id")
+    below = near.groupBy("sweep_id").agg(F.count_if(F.col("slope") < F.col("q")[0]).alias("below"))
+    inside = near.where((F.col("slope") >= F.col("q")[0]) & (F.col("slope") <= F.col("q")[1])).join(F.broadcast(below) if few else below, "sweep_id")
+    rank = F.row_number().over(Window.partitionBy("sweep_id").orderBy("slope")) + F.col("below")
+    middle = F.col("rank").between(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+    return inside.withColumn("rank", rank).where(middle).groupBy("sweep_id").agg(F.avg("slope").alias("median_slope"))
 
 
 def remove_slope(sweep: DataFrame, slopes: DataFrame, half_turn: bool = True) -> DataFrame:
@@ -148,40 +172,48 @@ def axis_limits(spectra: DataFrame, value: str = "logmag") -> DataFrame:
     return spectra.groupBy("sweep_id").agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def wideband_plan(spark, centre_hz: float, bandwidth_hz: float, tones: int, step_hz: float, clip: tuple[float, float] | None = None, seed: int = 0) -> tuple[DataFrame, int, float]:
-    """(tones with their centres, points, span of each) of a sweep of many tones side by side over a band. Tones are
-    moved by up to half a step, by a seeded uniform number; clip holds the centres within two frequencies."""
-    points = int(bandwidth_hz / step_hz / tones)
-    spacing = bandwidth_hz / tones
-    span = spacing * (points - 1) / points
-    moved = centre_hz - bandwidth_hz / 2 + F.col("tone") * spacing + (F.rand(seed) - 0.5) * (span / points)
-    centre = moved + math.floor(points / 2) * spacing / points
+def wideband_plan(bands: DataFrame, clip: tuple[float, float] | None = None, seed: int = 0) -> DataFrame:
+    """(sweep_id, tone, centre_hz, points, span_hz) of sweeps of many tones side by side: bands(sweep_id, centre_hz,
+    bandwidth_hz, n_tones, step_hz). Tones are moved by up to half a step, by a number hashed from seed, sweep and tone, so
+    that a retried task gives the same; clip holds the centres within two frequencies."""
+    spacing = F.col("bandwidth_hz") / F.col("n_tones")
+    points = F.floor(F.col("bandwidth_hz") / F.col("step_hz") / F.col("n_tones"))
+    out = bands.withColumns({"points": points, "spacing": spacing}).withColumn("span_hz", F.col("spacing") * (F.col("points") - 1) / F.col("points"))
+    out = out.withColumn("tone", F.explode(F.expr("sequence(0, CAST(n_tones AS INT) - 1)")))
+    moved = F.col("centre_hz") - F.col("bandwidth_hz") / 2 + F.col("tone") * F.col("spacing") + (hashed_uniform(seed, F.col("sweep_id"), F.col("tone")) - 0.5) * (F.col("span_hz") / F.col("points"))
+    centre = moved + F.floor(F.col("points") / 2) * F.col("spacing") / F.col("points")
     if clip:
         centre = F.least(F.greatest(centre, F.lit(clip[0])), F.lit(clip[1]))
-    return spark.range(tones).select(F.col("id").cast("int").alias("tone")).withColumn("centre_hz", centre), points, span
+    return out.select("sweep_id", "tone", centre.alias("centre_hz"), "points", "span_hz")
+
+
+#: Samples and tones of one product.
+BLOCK_SAMPLES, BLOCK_TONES = 4096, 256
 
 
-def waveform(tones: DataFrame, n_samples: int, fs_hz: float, block: int = 4096) -> DataFrame:
-    """(sample, i, q) of the sum of amplitude exp(j (2 pi freq_hz k / fs + phase)) over tones(freq_hz, amplitude, phase).
+def waveform(tones: DataFrame, n_samples: int, fs_hz: float) -> DataFrame:
+    """(tone_set, sample, i, q) of the sum of amplitude exp(j (2 pi freq_hz k / fs + phase)) over the tones of each set of
+    tones(tone_set, tone, freq_hz, amplitude, phase).
 
-    A board has few thousand tones, so they travel with the task code; samples are cut into blocks for NumPy products.
+    Blocks of tones meet blocks of samples; each pair is one NumPy product, and the sums of a set's tone blocks are added
+    up by sample. So neither a set's tones nor its samples are ever in one task, however many there are.
     """
     import numpy as np
 
-    rows = tones.select("freq_hz", "amplitude", "phase").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more tones than any board has")
-    f, a, p = (np.array([r[k] for r in rows]) for k in range(3))
+    rank = F.row_number().over(Window.partitionBy("tone_set").orderBy("tone", "freq_hz", "amplitude", "phase")) - 1
+    blocks = tones.withColumn("block", F.floor(rank / BLOCK_TONES)).groupBy("tone_set", "block").agg(F.collect_list(F.struct("freq_hz", "amplitude", "phase")).alias("z"))
+    work = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_samples - 1)), F.lit(BLOCK_SAMPLES)))).repartition("tone_set", "block", "at")
 
-    def synthesise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 1024):
-                k = b["sample"].to_numpy()[at : at + 1024]
-                z = np.exp(2j * np.pi * ((k[:, None] * (f / fs_hz)[None, :]) % 1.0)) @ (a * np.exp(1j * p))
-                yield pd.DataFrame({"sample": k, "i": z.real, "q": z.imag})
+    def synthesise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, z, at in zip(*(batch.column(c).to_pylist() for c in ("tone_set", "z", "at")), strict=True):
+                f, a, p = (np.array([x[c] for x in z], float) for c in ("freq_hz", "amplitude", "phase"))
+                k = np.arange(at, min(at + BLOCK_SAMPLES, n_samples))
+                s = np.exp(2j * np.pi * ((k[:, None] * (f / fs_hz)[None, :]) % 1.0)) @ (a * np.exp(1j * p))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k), pa.array(s.real.copy()), pa.array(s.imag.copy())], ["tone_set", "sample", "i", "q"])
 
-    spark = tones.sparkSession
-    return spark.range(0, n_samples, 1, max(1, n_samples // block)).withColumnRenamed("id", "sample").mapInPandas(synthesise, "sample long, i double, q double")
+    work = work.withColumn("tone_set", F.col("tone_set").cast("string"))
+    return work.mapInArrow(synthesise, "tone_set string, sample long, i double, q double").groupBy("tone_set", "sample").agg(F.sum("i").alias("i"), F.sum("q").alias("q"))
 
 
 def crest_factors(samples: DataFrame, *keys: str) -> DataFrame:

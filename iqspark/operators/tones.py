@@ -8,12 +8,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashed import hashed_uniform
 from ..functions.frequency import bin_offset, nearest_bin, phase_increment
 from ..functions.powers import TxChain, tone_amplitude, tone_power
 from ..params import Board
 
-#: Calibration rows that are broadcast at most for a nearest join; beyond that it runs on sorted windows.
-MOST_BROADCAST = 10_000
+#: Rows of a calibration table in one sorted array; a table of that size is broadcast, a larger one is cut by frequency.
+TABLE_ROWS = 4096
 
 
 def extremes(tones: DataFrame) -> DataFrame:
@@ -40,8 +41,7 @@ def newman_phases(tones: DataFrame) -> DataFrame:
 
 def random_phases(tones: DataFrame, seed: int = 0) -> DataFrame:
     """Uniform in [0, 2 pi), from a hash of seed, set and tone, so that a retried task gives the same."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "tone_set", "tone"), F.lit(2**52)) / float(2**52)
-    return tones.withColumn("phase", u * (2 * math.pi))
+    return tones.withColumn("phase", hashed_uniform(seed, F.col("tone_set"), F.col("tone")) * (2 * math.pi))
 
 
 def active_channels(channels: DataFrame) -> DataFrame:
@@ -77,35 +77,49 @@ def attenuations(tones: DataFrame) -> DataFrame:
     return tones.withColumn("db", db).withColumn("att_db", F.col("db") - F.min("db").over(Window.partitionBy("tone_set"))).drop("db")
 
 
+def _below(table: Column, x: Column, most: int, value) -> Column:
+    """How many entries of a sorted array have a value of x or less, by bisection."""
+    steps = F.sequence(F.lit(1), F.lit(max(1, most.bit_length() + 1)))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        up = (a["lo"] < a["hi"]) & (value(F.get(table, mid)) <= x)
+        return F.struct(F.when(up, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(up | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(table).alias("hi")), halve, lambda a: a["lo"])
+
+
 def nearest_value(tones: DataFrame, cal: DataFrame, at: str = "freq_hz", name: str = "value_db") -> DataFrame:
     """Adds the value of cal(cal_order, freq_hz, value_db) at the frequency nearest to each row's; the first row of the
-    table wins ties. A small table (checked) is broadcast; otherwise both sides meet in one sorted window for each
-    direction, cut into ranges of frequency."""
-    rows = cal.select(F.col("cal_order").alias("o"), F.col("freq_hz").alias("cf"), F.col("value_db").alias("cv"))
-    small = rows.limit(MOST_BROADCAST + 1).collect()
-    if len(small) <= MOST_BROADCAST:
-        if not small:
-            return tones.withColumn(name, F.lit(None).cast("double"))
-        near = rows.agg(F.sort_array(F.collect_list(F.struct("cf", "o", "cv"))).alias("table"))
-        best = F.expr(f"array_min(transform(table, r -> struct(abs(r.cf - {at}) AS d, r.o AS o, r.cv AS cv))).cv")
-        return tones.join(F.broadcast(near)).withColumn(name, best).drop("table")
+    table wins ties. Null without a table, or for a null frequency.
+
+    The table is sorted into arrays of about TABLE_ROWS rows, in which each row's place is found by bisection: one array,
+    broadcast after a check of its size, or one for each range of frequencies (with the entries beside it), which rows
+    meet by a shuffle that splits hot ranges. Each row is looked at once, and none is given an id.
+    """
+    rows = cal.select(F.col("cal_order").alias("o"), F.col("freq_hz").alias("cf"), F.col("value_db").alias("cv")).where("cf IS NOT NULL")
     # Equal frequencies keep the first row; then the nearest is the last one before or the first one after.
     distinct = rows.groupBy("cf").agg(F.min(F.struct("o", "cv")).alias("r")).select("cf", F.col("r.o").alias("o"), F.col("r.cv").alias("cv"))
-    bounds = [float(b) for b in distinct.approxQuantile("cf", [k / 64 for k in range(1, 64)], 0.005)]
-    bucket = lambda c: F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= c))
-    keyed = tones.withColumn("__id", F.monotonically_increasing_id()).withColumn("__b", bucket(F.col(at)))
-    here = distinct.withColumn("__b", bucket(F.col("cf")))
-    edge = here.groupBy("__b").agg(F.min(F.struct("cf", "o", "cv")).alias("lo"), F.max(F.struct("cf", "o", "cv")).alias("hi"))
-    span = keyed.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("__b")).join(F.broadcast(edge), "__b", "left")
-    w = Window.partitionBy(F.lit(0)).orderBy("__b")
-    span = span.select("__b", F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev"), F.first("lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
-    both = keyed.select("__b", "__id", F.col(at).alias("x"), F.lit(None).cast(rows.schema["o"].dataType).alias("o"), F.lit(None).cast("double").alias("cv")).unionByName(here.select("__b", F.lit(None).cast("long").alias("__id"), F.col("cf").alias("x"), "o", "cv"))
-    cand = F.when(F.col("o").isNotNull(), F.struct(F.col("x").alias("cf"), F.col("o").alias("o"), F.col("cv").alias("cv")))
-    order = Window.partitionBy("__b").orderBy("x")
-    found = both.withColumns({"p": F.last(cand, True).over(order.rangeBetween(Window.unboundedPreceding, 0)), "n": F.first(cand, True).over(order.rangeBetween(0, Window.unboundedFollowing))}).where("__id IS NOT NULL").join(F.broadcast(span), "__b")
-    dist = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["cf"] - F.col("x")).alias("d"), F.col(c)["o"].alias("o"), F.col(c)["cv"].alias("cv")))
-    best = F.least(*[dist(c) for c in ("p", "n", "prev", "next")])
-    return keyed.join(found.select("__id", best["cv"].alias(name)), "__id").drop("__id", "__b")
+    n, x = distinct.limit(TABLE_ROWS + 1).count(), F.col(at)
+    listed = F.sort_array(F.collect_list(F.struct("cf", "o", "cv"))).alias("__table")
+    if n <= TABLE_ROWS:
+        met, most = tones.join(F.broadcast(distinct.agg(listed))), TABLE_ROWS
+    else:
+        parts = distinct.count() // TABLE_ROWS + 1
+        bounds = [float(b) for b in distinct.approxQuantile("cf", [k / parts for k in range(1, parts)], 0.2 / parts)]
+        bucket = lambda c: _below(F.array(*[F.lit(b) for b in bounds]), c, len(bounds), lambda v: v)
+        held = distinct.withColumn("__b", bucket(F.col("cf"))).groupBy("__b").agg(listed)
+        held = tones.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("__b")).join(held, "__b", "left")
+        order = Window.partitionBy(F.lit(0)).orderBy("__b")  # one row for each range
+        ends = held.select("__b", F.element_at("__table", 1).alias("a"), F.element_at("__table", -1).alias("z"))
+        ends = ends.select("__b", F.last("z", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("p"), F.first("a", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("q"))
+        whole = F.concat(F.array("p"), F.coalesce("__table", F.array().cast(held.schema["__table"].dataType)), F.array("q"))
+        held = held.join(F.broadcast(ends), "__b").select("__b", F.array_compact(whole).alias("__table"))
+        met, most = tones.withColumn("__b", bucket(x)).join(held, "__b").drop("__b"), n * 8
+    place = _below(F.col("__table"), x, most, lambda v: v["cf"])
+    away = lambda v: F.when(v.isNotNull(), F.struct(F.abs(v["cf"] - x).alias("d"), v["o"].alias("o"), v["cv"].alias("cv")))
+    nearest = F.transform(F.array(place), lambda k: F.least(away(F.get("__table", k - 1)), away(F.get("__table", k))))[0]["cv"]
+    return met.withColumn(name, F.when(x.isNotNull(), nearest)).drop("__table")
 
 
 def calibration_value(tones: DataFrame, spec: Any, tables: dict[str, DataFrame] | None = None, at: str = "freq_hz", name: str = "value_db", connected: bool = True) -> DataFrame:

@@ -110,13 +110,13 @@ def w6_unwrap_two_pass(spark, d):
 
 @register(_with(f"e | {RESP_E} | {UNWRAP} | {SLOPE}", f"SELECT sweep_id, tone, point, {r('slope*1e6')} AS slope FROM sl"))
 def w7_phase_slope(spark, d):
-    out = sweeps.phase_slope(sweeps.unwrap(_response(inputs.sweep_e(spark, d))))
+    out = sweeps.phase_slope(sweeps.unwrap_tones(_response(inputs.sweep_e(spark, d))))
     return out.select("sweep_id", "tone", "point", rnd(F.col("slope") * 1e6).alias("slope"))
 
 
 @register(_with(f"e | {RESP_E} | {UNWRAP} | {SLOPE}", f"SELECT sweep_id, {r('quantile_cont(slope, 0.5)*1e6')} AS median_slope FROM sl WHERE slope IS NOT NULL GROUP BY sweep_id"))
 def a9_median_slope(spark, d):
-    return _rounded(sweeps.median_slope(sweeps.phase_slope(sweeps.unwrap(_response(inputs.sweep_e(spark, d))))).withColumn("median_slope", F.col("median_slope") * 1e6), median_slope=6)
+    return _rounded(sweeps.median_slope(sweeps.phase_slope(sweeps.unwrap_tones(_response(inputs.sweep_e(spark, d))))).withColumn("median_slope", F.col("median_slope") * 1e6), median_slope=6)
 
 
 _FLIP = "fl AS (SELECT sweep_id, tone, point, f, ei, eq, CASE WHEN ((b % 2) + 2) % 2 = 1 THEN -i ELSE i END AS i, CASE WHEN ((b % 2) + 2) % 2 = 1 THEN -q ELSE q END AS q FROM (SELECT *, round_even((4e9-f-1024e6)/1024e6*4096, 0) AS b FROM resp))"
@@ -127,7 +127,7 @@ def _derotated(spark, d) -> DataFrame:
     """Flip, unwrap, slope, rotation. The median is rounded, as it is multiplied by frequencies of 1e9."""
     resp = _response(inputs.sweep_e(spark, d)).drop("n")
     flipped = sweeps.flip_odd_bins(resp)
-    median = sweeps.median_slope(sweeps.phase_slope(sweeps.unwrap(flipped))).withColumn("median_slope", F.round(F.col("median_slope") * 1e9, 3) / 1e9)
+    median = sweeps.median_slope(sweeps.phase_slope(sweeps.unwrap_tones(flipped))).withColumn("median_slope", F.round(F.col("median_slope") * 1e9, 3) / 1e9)
     return sweeps.remove_slope(flipped, median)
 
 
@@ -189,13 +189,19 @@ def p1_samples(spark, d):
     return frames.to_samples(inputs.frames_e(spark, d))
 
 
-@register(_with("fr", "SELECT stream_id, seq, packet_counter, i[1] AS i_0000, q[1] AS q_0000, i[6] AS i_0005, q[6] AS q_0005 FROM fr"))
+@register(_with("fr", "SELECT stream_id, seq, packet_counter, " + ", ".join(f"{c}[{t + 1}] AS {c}_{t:04d}" for t in range(32) for c in "iq") + " FROM fr"))
 def p2_wide(spark, d):
-    return frames.to_wide(frames.to_samples(frames.first_tones(inputs.frames_e(spark, d), 6)), [0, 5])
+    return frames.to_wide(frames.to_samples(inputs.frames_e(spark, d)), list(range(32)))
+
+
+@register(_with("fr", "SELECT stream_id, seq, packet_counter, i[8] AS i, q[8] AS q FROM fr"))
+def p4_tone_series(spark, d):
+    return frames.tone_series(inputs.frames_e(spark, d), 7)
 
 
 @register(_with("fr", "SELECT stream_id, seq, packet_counter, i[8] AS i, q[8] AS q FROM fr WHERE seq BETWEEN 50 AND 349"))
 def p4_o3_tone_series(spark, d):
+    """O3: a client takes 300 samples from one on."""
     return frames.tone_series(frames.take_samples(inputs.frames_e(spark, d), 50, 300), 7)
 
 
@@ -250,9 +256,41 @@ def a5_receive_rate(spark, d):
     return _rounded(frames.receive_rate(inputs.packets_v(spark, d)), elapsed_s=6, rate_hz=6)
 
 
-@register(_with("v", "SELECT stream_id, any_value(flag0) AS value, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_frames FROM (SELECT *, sum(c) OVER (PARTITION BY stream_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN flag0 IS NOT DISTINCT FROM lag(flag0) OVER (PARTITION BY stream_id ORDER BY seq) THEN 0 ELSE 1 END AS c FROM v)) GROUP BY stream_id, run"))
+_RUNS = "SELECT stream_id, flag, any_value(value) AS value, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_frames FROM (SELECT *, sum(c) OVER (PARTITION BY stream_id, flag ORDER BY seq) AS run FROM (SELECT *, CASE WHEN value IS NOT DISTINCT FROM lag(value) OVER (PARTITION BY stream_id, flag ORDER BY seq) THEN 0 ELSE 1 END AS c FROM ({}))) GROUP BY stream_id, flag, run"
+
+
+@register(_with("v", _RUNS.format("SELECT stream_id, seq, 0 AS flag, flag0 AS value FROM v")))
 def w11_flag_intervals(spark, d):
-    return frames.flag_intervals(inputs.packets_v(spark, d), 0)
+    return frames.flag_intervals(inputs.packets_v(spark, d), bucket=1000)
+
+
+@register(_with("fr", _RUNS.format("SELECT stream_id, seq, k::INT AS flag, (label = k)::INT AS value FROM fr, range(8) g(k)")))
+def w11_flag_intervals_frames(spark, d):
+    return frames.flag_intervals(inputs.frames_e(spark, d), bucket=64)
+
+
+@register(_with("v | h AS (SELECT c_custkey AS stream_id, 256 * (1 + c_nationkey)::BIGINT AS acc_len, 2048e6/4096/(256 * (1 + c_nationkey)) AS sample_rate FROM customer)", f"SELECT v.stream_id, seq, acc_len, {r('sample_rate')} AS sample_rate, {r('(packet_counter - min(packet_counter) OVER (PARTITION BY v.stream_id))/sample_rate')} AS t FROM v LEFT JOIN h USING (stream_id)"))
+def j6_frames_with_header(spark, d):
+    """Every stream's own rate, from its header, on its frames."""
+    acc = (F.lit(256) * (F.col("c_nationkey") + 1)).cast("long")
+    headers = inputs.table(spark, d, "customer").select(F.col("c_custkey").alias("stream_id"), acc.alias("acc_len"), frequency.sample_rate(acc).alias("sample_rate"))
+    out = frames.with_header(frames.rebased_counter(inputs.packets_v(spark, d)), headers)
+    return out.select("stream_id", "seq", "acc_len", rnd("sample_rate").alias("sample_rate"), rnd(F.col("rebased") / F.col("sample_rate")).alias("t"))
+
+
+@register(_with(f"l | {RESP_L} | h AS (SELECT 'L' AS sweep_id, 1000 + count(*) AS acc_len FROM region)", f"SELECT sweep_id, tone, point, {r('i/acc_len', 9)} AS i, {r('q/acc_len', 9)} AS q FROM resp JOIN h USING (sweep_id)"))
+def j6_sweep_with_header(spark, d):
+    headers = inputs.table(spark, d, "region").agg((F.count("*") + 1000).alias("acc_len")).withColumn("sweep_id", F.lit("L"))
+    out = frames.with_header(_response(inputs.sweep_l(spark, d)), headers, "sweep_id")
+    return out.select("sweep_id", "tone", "point", rnd(F.col("i") / F.col("acc_len"), 9).alias("i"), rnd(F.col("q") / F.col("acc_len"), 9).alias("q"))
+
+
+@register(_with("fr", "SELECT count(*) AS n, (count(*) FILTER (WHERE seq % 7 = 0 OR (seq % 5 = 0 AND packet_error <> 1)))::BIGINT AS n_different, count(*) FILTER (WHERE seq % 7 = 0 OR (seq % 5 = 0 AND packet_error <> 1)) = 0 AS equal FROM fr"))
+def j7_differences(spark, d):
+    """Every seventh frame is lost on one side, and every fifth has its error set."""
+    x = inputs.frames_e(spark, d)
+    y = x.where("seq % 7 != 0").withColumn("packet_error", F.when(F.col("seq") % 5 == 0, 1).otherwise(F.col("packet_error")))
+    return frames.differences(x, y, ["stream_id", "seq"], ["packet_counter", "packet_error", "flags", "i", "q"])
 
 
 @register(_with("fr", "SELECT count(*) AS n, 0::BIGINT AS n_different, true AS equal FROM fr"))
@@ -281,11 +319,11 @@ def m1_tone_power(spark, d):
     return inputs.tones_p(spark, d).select("tone", *[rnd(s[k]).alias(k) for k in ("duc_fs", "vop_dbfs", "combiner_dbm")], rnd(s["cryostat_dbm"]).alias("power_dbm"))
 
 
-@register(_with("p", f"SELECT tone, {r('amplitude', 9)} AS amplitude FROM p"))
+@register(_with("p", f"SELECT tone, {r(f'sqrt(pow(10, (amplitude*40 - 100 + 6 + 1.5 + 10 + 20)/10))/(18000.0/20000.0)*16/(0.9*0.8)*{powers.MIXER_SCALE}', 9)} AS amplitude FROM p"))
 def m2_tone_amplitude(spark, d):
-    """Amplitude of the power of an amplitude: the amplitude."""
+    """The amplitude that gives a power asked for."""
     c = powers.TxChain(**CHAIN, combiner_loss_db=1.5, attenuator_db=10, cryostat_s21_db=-20)
-    return inputs.tones_p(spark, d).select("tone", rnd(powers.tone_amplitude(powers.tone_power(F.col("amplitude"), c), c), 9).alias("amplitude"))
+    return inputs.tones_p(spark, d).select("tone", rnd(powers.tone_amplitude(F.col("amplitude") * 40 - 100, c), 9).alias("amplitude"))
 
 
 _RMS = "(pow(10, (amplitude*40-60+1.0)/20)*sqrt(2)*0.9/sqrt(2)*32768*pow(2,13-3)*0.5*1000)"
@@ -358,9 +396,12 @@ def m16_newman_phases(spark, d):
     return tones.newman_phases(inputs.tones_p(spark, d)).select("tone", "tone_set", rnd("phase", 5).alias("phase"))
 
 
-@register()
+_UNIFORM = "(('0x' || substr(md5('0:' || {} || ':' || tone), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@register(_with("p", f"SELECT tone, tone_set, {r(_UNIFORM.format('tone_set') + '*2*' + PI)} AS phase FROM p"))
 def m17_random_phases(spark, d):
-    return tones.random_phases(inputs.tones_p(spark, d)).select("tone", "tone_set", "phase")
+    return tones.random_phases(inputs.tones_p(spark, d)).select("tone", "tone_set", rnd("phase").alias("phase"))
 
 
 @register(_with("p", f"SELECT tone, {r('20*log10(abs(amplitude)) - min(20*log10(abs(amplitude))) OVER (PARTITION BY tone_set)')} AS att_db FROM p"))
@@ -404,9 +445,9 @@ def j2_m5_calibrated_power(spark, d):
     return tones.tone_powers(_staged(spark, d), CHAIN).select("tone", rnd("power_dbm").alias("power_dbm"))
 
 
-@register(_with("p", f"SELECT tone, {r('amplitude', 9)} AS amplitude FROM p"))
+@register(_with(f"p | s | {_NEAR}", f"SELECT tone, {r(f'sqrt(pow(10, (amplitude*40 - 100 - value_db + 1.5 + 10 - value_db)/10))/(18000.0/20000.0)*16/(0.9*0.8)*{powers.MIXER_SCALE}', 9)} AS amplitude FROM near"))
 def m6_calibrated_amplitude(spark, d):
-    powered = tones.tone_powers(_staged(spark, d), CHAIN).drop("amplitude")
+    powered = _staged(spark, d).withColumn("power_dbm", F.col("amplitude") * 40 - 100).drop("amplitude")
     return tones.tone_amplitudes(powered, CHAIN).select("tone", rnd("amplitude", 9).alias("amplitude"))
 
 
@@ -485,18 +526,19 @@ def s14_tone_list_lines(spark, d):
     return text.tone_list_lines(inputs.tones_p(spark, d))
 
 
-@register()
+@register(_with("p", f"SELECT tone_set, k::BIGINT AS sample, {r(f'sum(amplitude*cos(2*{PI}*((k*(freq_hz/4096e6)) % 1.0) + tone))')} AS i, {r(f'sum(amplitude*sin(2*{PI}*((k*(freq_hz/4096e6)) % 1.0) + tone))')} AS q FROM p, range(512) g(k) GROUP BY tone_set, k"))
 def m26_waveform(spark, d):
-    """Waveform of the first tone set: as many samples as the table has parts."""
-    t = inputs.tones_p(spark, d)
-    first = t.agg(F.min("tone_set").alias("tone_set"))
-    mine = t.join(F.broadcast(first), "tone_set").withColumn("phase", F.lit(0.0))
-    return sweeps.waveform(mine, t.count(), 4096e6)
+    """512 samples of every tone set's waveform."""
+    t = inputs.tones_p(spark, d).withColumn("phase", F.col("tone").cast("double"))
+    return _rounded(sweeps.waveform(t, 512, 4096e6), i=6, q=6)
+
+
+_BAND = "b AS (SELECT p_brand AS sweep_id, 3e9 AS c, 2048e6 AS bw, count(*) AS n, 2048e6/count(*)/200 AS step FROM part GROUP BY p_brand), pt AS (SELECT *, floor(bw/step/n) AS points, bw/n AS sp FROM b), t AS (SELECT *, sp*(points-1)/points AS span, unnest(range(n)) AS tone FROM pt)"
 
 
-@register()
+@register(f"WITH {_BAND} SELECT sweep_id, tone::INT AS tone, points::BIGINT AS points, {r('span', 3)} AS span_hz, {r('c - bw/2 + tone*sp + (' + _UNIFORM.format('sweep_id') + ' - 0.5)*(span/points) + floor(points/2)*sp/points', 3)} AS centre_hz FROM t")
 def m23_wideband_plan(spark, d):
-    """Plan of a band with one tone for each supplier."""
-    n = inputs.table(spark, d, "supplier").count()
-    plan, points, span = sweeps.wideband_plan(spark, 3e9, 2048e6, n, 2048e6 / n / 200)
-    return plan.withColumns({"points": F.lit(points), "span_hz": F.lit(span)})
+    """A band for each brand, with a tone for each of its parts."""
+    n = F.count("*")
+    bands = inputs.table(spark, d, "part").groupBy(F.col("p_brand").alias("sweep_id")).agg(F.lit(3e9).alias("centre_hz"), F.lit(2048e6).alias("bandwidth_hz"), n.alias("n_tones"), (F.lit(2048e6) / n / 200).alias("step_hz"))
+    return _rounded(sweeps.wideband_plan(bands), span_hz=3, centre_hz=3)

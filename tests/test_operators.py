@@ -55,6 +55,14 @@ def test_slope_on_uneven_steps_and_its_median(spark):
     s = sweeps.phase_slope(sweeps.unwrap(sweep(spark, np.exp(1j * phi), f)))
     assert np.allclose([r.slope for r in s.orderBy("point").collect()], np.gradient(phi, f))
     assert np.isclose(sweeps.median_slope(s).first().median_slope, np.nanmedian(np.gradient(phi, f)))
+    rng = np.random.default_rng(2)
+    values = [("a", float(x)) for x in rng.normal(size=5001)] + [("b", float(x)) for x in rng.integers(0, 3, 40)] + [("b", None), ("b", math.nan), ("c", 2.0)]
+    got = {r.sweep_id: r.median_slope for r in sweeps.median_slope(spark.createDataFrame(values, "sweep_id string, slope double")).collect()}
+    assert got == {k: float(np.nanmedian([v for n, v in values if n == k and v is not None])) for k in "abc"}
+    f2 = np.cumsum(rng.uniform(0.5, 2, 24))
+    z = np.exp(1j * np.cumsum(rng.uniform(-1, 1, 24)))
+    tall = spark.createDataFrame([("s", k // 4, k % 4, float(f2[k]), float(z[k].real), float(z[k].imag)) for k in range(24)], "sweep_id string, tone int, point int, f double, i double, q double")
+    assert np.allclose([r.slope for r in sweeps.phase_slope(sweeps.unwrap_tones(tall)).orderBy("tone", "point").collect()], np.gradient(np.unwrap(np.angle(z)), f2))
     twice = sweeps.phase_slope(sweeps.unwrap(sweep(spark, np.exp(1j * phi), np.array([1, 1, 2, 2, 3, 3.0]))))
     assert [r.slope for r in twice.orderBy("point").collect()][0] is None
 
@@ -86,8 +94,11 @@ def test_grids(spark):
 
 
 def test_waveform_and_crest_factor(spark):
-    t = spark.createDataFrame([(1.0, 0.5, 0.1), (2.5, 1.0, 0.2)], "freq_hz double, amplitude double, phase double")
-    got = sweeps.waveform(t, 5000, 16.0, 512).orderBy("sample").toPandas()
+    t = spark.createDataFrame([("a", 0, 1.0, 0.5, 0.1), ("a", 1, 2.5, 1.0, 0.2)] + [("b", k, float(k), 1.0, 0.0) for k in range(600)], "tone_set string, tone int, freq_hz double, amplitude double, phase double")
+    both = sweeps.waveform(t, 5000, 16.0)
+    many = both.where("tone_set = 'b'").orderBy("sample").toPandas()
+    assert np.allclose(many.i[:40], [sum(math.cos(2 * math.pi * f * k / 16) for f in range(600)) for k in range(40)])
+    got = both.where("tone_set = 'a'").orderBy("sample").toPandas()
     k = np.arange(5000)
     want = 0.5 * np.exp(1j * (2 * np.pi * k / 16 + 0.1)) + np.exp(1j * (2 * np.pi * 2.5 * k / 16 + 0.2))
     assert np.allclose(got.i, want.real) and np.allclose(got.q, want.imag)
@@ -108,8 +119,30 @@ def test_steps_wrap_and_gaps(spark, bucket):
 
 
 def test_flag_intervals(spark):
-    got = sorted(tuple(r) for r in frames.flag_intervals(counted(spark, range(6)), 0).collect())
-    assert got == [("s", 0, 0, 1, 2), ("s", 1, 2, 3, 2), ("s", 2, 4, 5, 2)]
+    for bucket in (1, 2, 3, 100):
+        got = sorted(tuple(r) for r in frames.flag_intervals(counted(spark, range(6)), 0, bucket).collect())
+        assert got == [("s", 0, 0, 0, 1, 2), ("s", 0, 1, 2, 3, 2), ("s", 0, 2, 4, 5, 2)]
+    rng = np.random.default_rng(3)
+    values = [(int(k), [None if rng.random() < 0.1 else int(rng.integers(2)) for _ in range(2)]) for k in sorted(rng.choice(400, 150, False))]
+    df = spark.createDataFrame([("s", k, v) for k, v in values], "stream_id string, seq long, flags array<int>")
+    want = []
+    for flag in (0, 1):
+        for k, v in values:
+            if want and want[-1][0] == flag and want[-1][1] == v[flag]:
+                want[-1][3:] = [k, want[-1][4] + 1]
+            else:
+                want.append([flag, v[flag], k, k, 1])
+    got = sorted([list(r)[1:] for r in frames.flag_intervals(df, bucket=16).collect()], key=lambda r: (r[0], r[2]))
+    assert got == want
+
+
+def test_headers_running_errors_and_first_counters(spark):
+    df = counted(spark, [7, 9, 9, 12, 20])
+    assert [r.n_errors for r in frames.running_errors(df, 2).orderBy("seq").collect()] == [0, 1, 1, 2, 2]
+    assert [r.rebased for r in frames.rebased_counter(df).orderBy("seq").collect()] == [0, 2, 2, 5, 13]
+    h = spark.createDataFrame([("s", 500.0, 1), ("s", 500.0, 1), ("t", 1.0, 2)], "stream_id string, sample_rate double, packet_error int")
+    got = frames.with_header(df.unionByName(df.withColumn("stream_id", F.lit("u"))), h).collect()
+    assert len(got) == 10 and {(r.stream_id, r.sample_rate, r.packet_error) for r in got} == {("s", 500.0, 1), ("u", None, None)}
 
 
 def test_samples_and_frames_round_trip(spark):
@@ -168,7 +201,9 @@ def test_nearest_calibration_ties_and_the_large_form(spark, monkeypatch):
     t = spark.createDataFrame(at, "tone int, freq_hz double")
     want = {k: min(cal, key=lambda r: (abs(r[1] - x), r[0]))[2] for k, x in at}
     assert {r.tone: r.value_db for r in tones.nearest_value(t, c).collect()} == want
-    monkeypatch.setattr(tones, "MOST_BROADCAST", 10)
+    nothing = tones.nearest_value(t.union(spark.createDataFrame([(-1, None)], t.schema)), c).where("tone = -1").first()
+    assert nothing.value_db is None and tones.nearest_value(t, c.limit(0)).where("value_db IS NOT NULL").count() == 0
+    monkeypatch.setattr(tones, "TABLE_ROWS", 10)
     assert {r.tone: r.value_db for r in tones.nearest_value(t, c).collect()} == want
 
 
