@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -143,14 +144,19 @@ def encode(frames: DataFrame, num_tones: int | None = None) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            rows = zip(*(b.column(c).to_pylist() for c in ("i", "q", "flags", "packet_counter", "packet_error")), strict=True)
-            for i, q, flags, counter, error in rows:
-                n = len(i) if num_tones is None else num_tones
-                words = np.empty(2 * n + TRAILER, np.int64)
-                words[0 : 2 * n : 2], words[1 : 2 * n : 2] = i[:n], q[:n]
-                words[2 * n :] = [*flags, counter, error]
-                out.append(words.astype(np.uint32).tobytes())
+            out: list[bytes] = [b""] * b.num_rows
+            width = pa.compute.list_value_length(b.column("i")).to_numpy(zero_copy_only=False)
+            for tones in np.unique(width):  # one block of words for all frames of a width
+                rows = np.flatnonzero(width == tones)
+                i, q, flags = (b.column(c).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) for c in ("i", "q", "flags"))
+                n = int(tones) if num_tones is None else num_tones
+                words = np.empty((len(rows), 2 * n + TRAILER), np.int64)
+                words[:, 0 : 2 * n : 2], words[:, 1 : 2 * n : 2], words[:, 2 * n : 2 * n + FLAGS] = i[:, :n], q[:, :n], flags
+                for k, c in ((-2, "packet_counter"), (-1, "packet_error")):
+                    words[:, k] = b.column(c).to_numpy(zero_copy_only=False)[rows]
+                packed, size = words.astype(np.uint32).tobytes(), 4 * words.shape[1]
+                for at, row in enumerate(rows.tolist()):
+                    out[row] = packed[at * size : (at + 1) * size]
             yield pa.RecordBatch.from_arrays([b.column("stream_id"), b.column("seq"), pa.array(out, pa.binary())], ["stream_id", "seq", "payload"])
 
     return frames.mapInArrow(encoded, "stream_id string, seq long, payload binary")
@@ -162,26 +168,28 @@ def write_recording(frames: DataFrame, path: str, num_tones: int | None = None)
     ranged.write.mode("overwrite").partitionBy("stream_id").parquet(path)
 
 
-def write_flat(frames: DataFrame, path: str, num_tones: int | None = None) -> None:
-    """Flat chunk files of packed records under a folder that all executors share, chunk by chunk in order of seq: their
-    concatenation by name is the recording. A retried task replaces its own chunk whole."""
+def write_flat(frames: DataFrame, path: str, num_tones: int | None = None, prefix: str = "chunk") -> None:
+    """Flat chunk files of packed records under a folder that all executors share (a path or URI that pyarrow opens), chunk
+    by chunk in order of seq: their concatenation by name is the recording. A retried task replaces its own chunk whole."""
     ranged = encode(frames, num_tones).repartitionByRange("stream_id", "seq").sortWithinPartitions("stream_id", "seq")
 
-    def written(rows) -> None:
-        import os
-
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        files, root = RecordingReader._open(path)
         k, handles = TaskContext.get().partitionId(), {}
-        for r in rows:
-            if r.stream_id not in handles:
-                os.makedirs(f"{path}/{r.stream_id}", exist_ok=True)
-                handles[r.stream_id] = open(f"{path}/{r.stream_id}/chunk-{k:06d}.bin", "wb")  # noqa: SIM115
-            handles[r.stream_id].write(r.payload)
+        for b in batches:
+            ids = np.array(b.column("stream_id").to_pylist(), object)
+            for stream in dict.fromkeys(ids):
+                if stream not in handles:
+                    files.create_dir(f"{root}/{stream}", recursive=True)
+                    handles[stream] = files.open_output_stream(f"{root}/{stream}/{prefix}-{k:06d}.bin")
+                handles[stream].write(b"".join(b.column("payload").filter(pa.array(ids == stream)).to_pylist()))
         for h in handles.values():
             h.close()
+        yield pa.RecordBatch.from_arrays([pa.array([*handles], pa.string())], ["stream_id"])
 
-    ranged.foreachPartition(written)
+    ranged.mapInArrow(written, "stream_id string").write.format("noop").mode("overwrite").save()
 
 
 def read_packed(spark: SparkSession, path: str, num_tones: int, keep: int | None = None) -> DataFrame:

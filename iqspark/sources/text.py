@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FLAGS, SWEEP, TONE_LIST
+from .records import stream_name
 
 TRAIL = ["packet_counter", "packet_error", *[f"flag{k}" for k in range(FLAGS)]]
 
@@ -36,24 +37,39 @@ def header(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.col("kv")[0]).alias("key"), F.trim(F.get("kv", F.lit(1))).alias("value")).withColumn("number", F.expr("try_cast(value AS double)"))
 
 
-def _body(spark: SparkSession, path: str, columns: list[str], kind: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, stream_id: str | None, skip: str) -> DataFrame:
+    """(stream_id, seq, value) of the data lines of text files, in the order of the files: lines but comments, empty ones and
+    those that begin with skip. Without a stream_id, each file is a stream of its name; else all files are one stream, in
+    order of their names. Lines count within a split of a file; one row for each split gives the lines before it."""
+    kept = ~F.col("value").startswith("#") & (F.trim("value") != "") & ~F.col("value").startswith(skip)
+    own = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")).where(kept)
+    own = own.withColumn("stream_id", stream_name(F.col("file")) if stream_id is None else F.lit(stream_id))
+    keys = ["stream_id", "file", "split"]
+    before = F.sum("n").over(Window.partitionBy("stream_id").orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = own.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.coalesce(before, F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1
+    return own.withColumn("place", place).join(splits, keys).select("stream_id", (F.col("base") + F.col("place")).alias("seq"), "value")
+
+
+def _body(spark: SparkSession, path: str, columns: list[str], kind: str, stream_id: str | None) -> DataFrame:
     """Data lines as an array of one type: no wide schema is built, however many tones there are."""
-    rows = _lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "") & ~F.col("value").startswith(columns[0]))
-    return rows.select(F.split("value", ",").cast(f"array<{kind}>").alias("v"))
+    return numbered_lines(spark, path, stream_id, columns[0]).select("stream_id", "seq", F.split("value", ",").cast(f"array<{kind}>").alias("v"))
 
 
 def _frames(body: DataFrame, tones: int, first: int, trail: int, counter: str) -> DataFrame:
     pick = lambda off: F.transform(F.sequence(F.lit(0), F.lit(tones - 1)), lambda t: F.get("v", t * 2 + first + off))
     flags = F.transform(F.slice("v", trail + 3, FLAGS), lambda x: x.cast("int"))
-    return body.select(F.get("v", F.lit(trail)).cast("long").alias(counter), F.get("v", F.lit(trail + 1)).cast("int").alias("packet_error"), flags.alias("flags"), pick(0).cast("array<int>").alias("i"), pick(1).cast("array<int>").alias("q"))
+    return body.select("stream_id", "seq", F.get("v", F.lit(trail)).cast("long").alias(counter), F.get("v", F.lit(trail + 1)).cast("int").alias("packet_error"), flags.alias("flags"), pick(0).cast("array<int>").alias("i"), pick(1).cast("array<int>").alias("q"))
 
 
-def read_samples_csv(spark: SparkSession, path: str, tones: int) -> DataFrame:
-    return _frames(_body(spark, path, sample_columns(tones), "double"), tones, 0, 2 * tones, "packet_counter")
+def read_samples_csv(spark: SparkSession, path: str, tones: int, stream_id: str | None = None) -> DataFrame:
+    """Frames of sample files; seq is the line's place in its stream (see numbered_lines)."""
+    return _frames(_body(spark, path, sample_columns(tones), "double", stream_id), tones, 0, 2 * tones, "packet_counter")
 
 
-def read_stream_csv(spark: SparkSession, path: str, tones: int) -> DataFrame:
-    return _frames(_body(spark, path, stream_columns(tones), "double"), tones, len(TRAIL), 0, "packet_counter")
+def read_stream_csv(spark: SparkSession, path: str, tones: int, stream_id: str | None = None) -> DataFrame:
+    """Frames of stream files; seq is the line's place in its stream (see numbered_lines)."""
+    return _frames(_body(spark, path, stream_columns(tones), "double", stream_id), tones, len(TRAIL), 0, "packet_counter")
 
 
 def _csv_line(frames: DataFrame, order: str) -> Column:
@@ -70,13 +86,11 @@ def write_frames_csv(frames: DataFrame, path: str, tones: int, meta: dict, order
     top.unionByName(frames.select("seq", _csv_line(frames, order).alias("value"))).orderBy("seq").select("value").write.mode("overwrite").text(path)
 
 
-def read_sweep_csv(spark: SparkSession, path: str, tones: int, sweep_id: str = "") -> DataFrame:
-    """Long rows of a sweep file, whose lines are points; points are numbered by frequency of the first tone's order."""
-    body = _lines(spark, path).withColumn("at", F.monotonically_increasing_id()).where(~F.col("value").startswith("#") & (F.trim("value") != "") & ~F.col("value").startswith("sweep_f"))
-    point = F.row_number().over(Window.orderBy("at")) - 1  # a sweep file has few hundred lines
-    rows = body.select(point.alias("point"), F.split("value", ",").cast("array<double>").alias("v"))
-    each = rows.select("point", F.explode(F.sequence(F.lit(0), F.lit(tones - 1))).alias("tone"), "v")
-    return each.select(F.lit(sweep_id).alias("sweep_id"), F.col("tone").cast("int"), F.col("point").cast("int"), *[F.get("v", F.col("tone") * 5 + k).alias(c) for k, c in enumerate(("f", "i", "q", "ei", "eq"))])
+def read_sweep_csv(spark: SparkSession, path: str, tones: int, sweep_id: str | None = None) -> DataFrame:
+    """Long rows of sweep files, whose lines are points in turn; each file is a sweep of its name unless sweep_id is given."""
+    rows = numbered_lines(spark, path, sweep_id, "sweep_f").select(F.col("stream_id").alias("sweep_id"), F.col("seq").cast("int").alias("point"), F.split("value", ",").cast("array<double>").alias("v"))
+    each = rows.select("sweep_id", "point", F.explode(F.sequence(F.lit(0), F.lit(tones - 1))).alias("tone"), "v")
+    return each.select("sweep_id", "tone", "point", *[F.get("v", F.col("tone") * 5 + k).alias(c) for k, c in enumerate(("f", "i", "q", "ei", "eq"))])
 
 
 def write_sweep_csv(sweep: DataFrame, path: str, tones: int, meta: dict) -> None:
@@ -103,11 +117,36 @@ DOCUMENT = "date string, num_tones int, num_samples long, sample_rate double, i_
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
-    """Long samples of a JSON document of arrays by tone."""
-    doc = spark.read.schema(DOCUMENT).json(path, multiLine=True)
-    tone = doc.select(F.explode("i_data").alias("key", "i"), "q_data", "packet_counter")
-    each = tone.select(F.col("key").cast("int").alias("tone"), F.posexplode(F.arrays_zip("i", F.col("q_data")[F.col("key")].alias("q"), "packet_counter")).alias("seq", "z"))
-    return each.select(F.col("seq").cast("long").alias("seq"), F.col("z.packet_counter").alias("packet_counter"), "tone", "z.i", "z.q")
+    """Long samples of JSON documents of arrays by tone (samples or streams: both have this form), with each sample's
+    counter, error and flags. stream_id is the file's name."""
+    doc = spark.read.schema(DOCUMENT).json(path, multiLine=True).withColumn("stream_id", stream_name(F.input_file_name()))
+    names = [f"flag{k}" for k in range(FLAGS)]
+    tone = doc.select("stream_id", F.explode("i_data").alias("key", "i"), "q_data", "packet_counter", "packet_error", "stream_flags")
+    zipped = F.arrays_zip("i", F.col("q_data")[F.col("key")].alias("q"), "packet_counter", "packet_error", *[F.col("stream_flags")[n].alias(n) for n in names])
+    each = tone.select("stream_id", F.col("key").cast("int").alias("tone"), F.posexplode(zipped).alias("seq", "z"))
+    return each.select("stream_id", F.col("seq").cast("long").alias("seq"), "z.packet_counter", "z.packet_error", F.array(*[F.col(f"z.{n}") for n in names]).alias("flags"), "tone", "z.i", "z.q")
+
+
+_PARTS = {"f": "sweep_f", "i": "sweep_i", "q": "sweep_q", "ei": "sweep_ei", "eq": "sweep_eq"}
+SWEEP_DOCUMENT = "date string, num_tones int, num_points int, samples_per_point int, " + ", ".join(f"{c} array<array<double>>" for c in _PARTS.values())
+
+
+def read_sweep_document(spark: SparkSession, path: str) -> DataFrame:
+    """Long rows of JSON documents of sweeps, whose arrays are by tone, then point. sweep_id is the file's name."""
+    doc = spark.read.schema(SWEEP_DOCUMENT).json(path, multiLine=True).withColumn("sweep_id", stream_name(F.input_file_name()))
+    tone = doc.select("sweep_id", F.posexplode(F.arrays_zip(*[F.col(c).alias(k) for k, c in _PARTS.items()])).alias("tone", "t"))
+    point = tone.select("sweep_id", "tone", F.posexplode(F.arrays_zip(*[F.col(f"t.{k}").alias(k) for k in _PARTS])).alias("point", "z"))
+    return point.select("sweep_id", "tone", "point", *[f"z.{k}" for k in _PARTS])
+
+
+def write_sweep_document(sweep: DataFrame, path: str, meta: dict) -> None:
+    """One JSON document for each sweep_id, under a folder of its name; a document holds its sweep, so for large ones use
+    Parquet."""
+    by_tone = sweep.groupBy("sweep_id", "tone").agg(F.array_sort(F.collect_list(F.struct("point", *_PARTS))).alias("z"))
+    whole = by_tone.groupBy("sweep_id").agg(F.array_sort(F.collect_list(F.struct("tone", "z"))).alias("t"))
+    columns = [F.expr(f"transform(t, x -> x.z.{k})").alias(c) for k, c in _PARTS.items()]
+    row = whole.select("sweep_id", *[F.lit(v).alias(k) for k, v in meta.items()], F.size("t").alias("num_tones"), F.size(F.col("t")[0]["z"]).alias("num_points"), *columns)
+    row.write.mode("overwrite").partitionBy("sweep_id").json(path)
 
 
 def write_json_document(frames: DataFrame, path: str, tones: int, meta: dict) -> None:
@@ -174,6 +213,20 @@ def decode_cubes(payloads: DataFrame) -> DataFrame:
     return raw.mapInArrow(decoded, "sweep_id string, sample int, point int, tone int, i double, q double")
 
 
+def encode_cubes(samples: DataFrame) -> DataFrame:
+    """One cube row for each sweep of long raw samples (sweep_id, sample, point, tone, i, q)."""
+
+    def encoded(t: pa.Table) -> pa.Table:
+        import base64
+
+        t = t.sort_by([(c, "ascending") for c in ("sample", "point", "tone")])
+        size = [pa.array([len(set(t.column(c).to_pylist()))], pa.int32()) for c in ("sample", "point", "tone")]
+        data = [pa.array([base64.b64encode(np.ascontiguousarray(t.column(c).to_numpy(), "<f8").tobytes()).decode()]) for c in "iq"]
+        return pa.table([t.column("sweep_id")[:1], *size, *data], ["sweep_id", "samples", "points", "tones", "data_i", "data_q"])
+
+    return samples.groupBy("sweep_id").applyInArrow(encoded, "sweep_id string, samples int, points int, tones int, data_i string, data_q string")
+
+
 def read_calibration(spark: SparkSession, path: str, cal_id: str = "") -> DataFrame:
     """Two columns of numbers; comments and lines that are no numbers are left out. cal_order keeps the file's order."""
     rows = _lines(spark, path).select(F.monotonically_increasing_id().alias("cal_order"), F.split(F.trim("value"), r"\s+").alias("v")).where(~F.col("v")[0].startswith("#"))

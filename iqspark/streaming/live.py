@@ -50,7 +50,11 @@ def count_gaps(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupSta
     """Adds the frames of one stream to what is known of it: last counter, frames, gaps, missing frames. Steps are taken
     modulo 2**32; a counter at or before the last one (a repeat, or a late file) is not a gap."""
     last, n, gaps, missing = state.get if state.exists else (None, 0, 0, 0)
-    counters = pd.concat([b["packet_counter"] for b in batches]).sort_values().to_numpy()
+    counters = pd.concat([b["packet_counter"] for b in batches]).to_numpy()
+    # In order of the distance from where the stream stands, so that a batch over the wrap of the counter stays in order.
+    start = last if last is not None else int(counters[0])
+    ahead = (counters - start + COUNTER // 2) % COUNTER
+    counters = counters[ahead.argsort(kind="stable")]
     for c in counters:
         if last is not None:
             step = (int(c) - last) % COUNTER
