@@ -16,6 +16,7 @@ from .textkit import mix, slices, windows, words
 
 TOKEN_BITS = 53
 _U = np.uint64
+_SIZE = _U(0xFFFFFFFF)
 #: A block of the exact stage has about so many n-grams and documents at most; the n-gram order is cut in so many there.
 BLOCK_TOKENS, BLOCK_DOCS, FRAGMENTS = 500_000, 1_000, 4
 #: Documents that are looked at for very frequent n-grams, and how many of them in 100 one must be in to count as such.
@@ -44,13 +45,15 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _class_keys(doc: np.ndarray, tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """128 bits (two columns) of each row's set: rows with equal sets are one class."""
+    """Key of each row's set (two columns): 96 bits of its n-grams and, in the low half of the second column, its size.
+    Rows with equal sets are one class."""
     ends = np.searchsorted(doc, np.arange(len(size) + 1))
     out = np.empty((len(size), 2), _U)
     for k, salt in enumerate((1, 0x5851F42D4C957F2D)):
         sums = np.zeros(len(tokens) + 1, _U)
         np.cumsum(mix(tokens ^ _U(salt)), out=sums[1:])
         out[:, k] = mix(sums[ends[1:]] - sums[ends[:-1]] + size.astype(_U) * _U(0x9E3779B97F4A7C15))
+    out[:, 1] = (out[:, 1] & ~_SIZE) | size.astype(_U)
     return out
 
 
@@ -68,7 +71,7 @@ def _first_of_each(cls: np.ndarray) -> np.ndarray:
     return out
 
 
-_PACKED = "fragment long, cls binary, n binary, part binary, low binary, high binary"
+_PACKED = "fragment long, cls binary, part binary, low binary, high binary"
 _LISTED = "cls binary, n int, grams array<struct<df: int, token: long>>, doc_id long, text_key long"
 _GRAM = pa.struct([("df", pa.int32()), ("token", pa.int64())])
 
@@ -89,7 +92,7 @@ def _pack(bits: int, k: int, frequent: np.ndarray):
                 rows: list[tuple] = []
                 serial += 1
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
-                rows.append((-1 - (hash((serial, int(cls[0, 0]))) % span), cls.tobytes(), size.astype(np.int32).tobytes(), known.astype(np.int8).tobytes(), ids.fill_null(0).to_numpy().tobytes(), piece.column("text_key").to_numpy().tobytes()))
+                rows.append((-1 - (hash((serial, int(cls[0, 0]))) % span), cls.tobytes(), known.astype(np.int8).tobytes(), ids.fill_null(0).to_numpy().tobytes(), piece.column("text_key").to_numpy().tobytes()))
                 keep = _first_of_each(cls) & (size > 0)  # a copy in the same piece adds nothing
                 mine = keep[doc]
                 doc, tokens = doc[mine], tokens[mine]
@@ -102,8 +105,8 @@ def _pack(bits: int, k: int, frequent: np.ndarray):
                     if hi > lo:
                         own, part = np.unique(doc[lo:hi], return_counts=True)
                         t = tokens[lo:hi] if places[lo] < 0 else tokens[lo:hi] & ((_U(1) << shift) - _U(1))
-                        rows.append((int(places[lo]), cls[own].tobytes(), size[own].astype(np.int32).tobytes(), part.astype(np.int32).tobytes(), (t & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (t >> _U(32)).astype(np.uint32 if places[lo] < 0 else np.uint16).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 5], strict=True)], ["fragment", "cls", "n", "part", "low", "high"])
+                        rows.append((int(places[lo]), cls[own].tobytes(), part.astype(np.int32).tobytes(), (t & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (t >> _U(32)).astype(np.uint32 if places[lo] < 0 else np.uint16).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 4], strict=True)], ["fragment", "cls", "part", "low", "high"])
 
     return packed
 
@@ -119,7 +122,8 @@ def _count_fragment(bits: int):
 
     def counted(table: pa.Table) -> pa.Table:
         fragment = table.column("fragment")[0].as_py()
-        cls, n, part = _joined(table, "cls", _U).reshape(-1, 2), _joined(table, "n", np.int32), _joined(table, "part", np.int8 if -span <= fragment < 0 else np.int32)
+        cls, part = _joined(table, "cls", _U).reshape(-1, 2), _joined(table, "part", np.int8 if -span <= fragment < 0 else np.int32)
+        n = (cls[:, 1] & _SIZE).astype(np.int32)
         names = ["cls", "n", "grams", "doc_id", "text_key"]
         if -span <= fragment < 0:
             return pa.table([_keys(cls), n, pa.nulls(len(cls), pa.list_(_GRAM)), pa.array(_joined(table, "low", np.int64), mask=part == 0), _joined(table, "high", np.int64)], names)
@@ -262,7 +266,7 @@ def ngram_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
     parts = max(1, source.rdd.getNumPartitions())
-    bits = max(5, (4 * parts).bit_length() - 1)  # fragments grow with the input, so that each stays small
+    bits = max(5, (2 * parts).bit_length() - 1)  # fragments grow with the input, so that each stays small
     packed = source.mapInArrow(_pack(bits, k, _frequent(source, k)), _PACKED)
     listed = materialize(packed.groupBy("fragment").applyInArrow(_count_fragment(bits), _LISTED), "ngrams")
     return listed.where("grams IS NULL").select("doc_id", "text_key", "cls", "n"), listed.where("grams IS NOT NULL").select("cls", "n", "grams")
