@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, licenses, mixing, ngram_join, perspectives, repetition, token_store, url_filter
+from . import decontamination, exact_dedup, html_text, language_id, licenses, mixing, ngram_join, perspectives, repetition, token_store, url_filter
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 12))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
+
+
 def _url_sql() -> str:
     """op5 in SQL: links and redirects to absolute urls without character references; none of the tables has others."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,9 +86,15 @@ SELECT page_id, host, path, {rule('host', 'path')} AS rule,
 FROM p LEFT JOIN k ON p.node = k.node LEFT JOIN v ON k.component = v.component"""
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_ngram_jaccard_join, op4_license_scan, op5_url_filter, op6_token_store, op7_benchmark_decontamination, op8_html_extraction, op9_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_ngram_jaccard_join, op4_license_scan, op5_url_filter, op6_token_store, op7_benchmark_decontamination, op8_html_extraction, op9_quality_rules, op10_source_mixing, op13_exact_dedup)}
 
 ORACLE_SQL = {
+    "op13_exact_dedup": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT doc_id, length(text) AS n_chars, regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g') AS bare FROM t)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER w = 1 AS kept,
+  sha256(bare) AS text_sha256, strlen(bare)::BIGINT AS n_bytes
+FROM b WINDOW w AS (PARTITION BY bare ORDER BY n_chars DESC, doc_id NULLS LAST)""",
     "op5_url_filter": _url_sql(),
     "op2_chat_formatting": """
 WITH t AS (
