@@ -98,15 +98,15 @@ def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
     """op11 in SQL: all distances in each round; vectors of one length, a multiple of four, as in the tables."""
     near = lambda book: f"""SELECT vec_id, label, p, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
     SELECT v.*, b.e, list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, b.c) + list_dot_product(b.c, b.c) AS d FROM v JOIN {book} b USING (p)) GROUP BY vec_id, label, p, x"""
-    with_ = [f"""k AS (SELECT vec_id, label, list_transform(embedding, c -> floor({1024} * c::DOUBLE)) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> coalesce(isfinite(c), false))) = len(embedding)),
+    with_ = [f"""k AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor({1024} * c::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: coalesce(isfinite(c), false))) = len(embedding)),
 v AS (SELECT vec_id, label, p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS x FROM k, range({parts}) t(p)),
 b0 AS (SELECT p, e, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM v) WHERE e < {entries})"""]
     for k in range(rounds):
         with_.append(f"""a{k} AS MATERIALIZED ({near(f'b{k}')}),
 m{k} AS (SELECT p, e, list(floor(s / n) ORDER BY i) AS c FROM (SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, range(1, 10000) t(i) WHERE i <= len(x) GROUP BY p, e, i) GROUP BY p, e),
 b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON b.p = m.p AND b.e = m.e)""")
-    book = f"(SELECT sha256(string_agg(array_to_string(list_transform(c, x -> x::BIGINT), ','), ',' ORDER BY p, e)) FROM b{rounds})"
+    book = f"(SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) FROM b{rounds})"
     with_.append(f"f AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM ({near(f'b{rounds}')}) GROUP BY vec_id, label)")
     return "WITH " + ",\n".join(with_) + f"\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, {book} AS codebooks_sha256 FROM f"
 
@@ -121,8 +121,8 @@ WITH o AS (
   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
 k AS (SELECT conv_id, t, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS k FROM o),
 -- crc32 bit by bit: a byte is mixed in (x >= 0), then eight steps follow (-1)
-c AS (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), x -> [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
-  (a, x) -> CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 4 AS h FROM (SELECT DISTINCT conv_id FROM k)),
+c AS (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 4 AS h FROM (SELECT DISTINCT conv_id FROM k)),
 r AS (
   SELECT c.conv_id, 0 AS own, k.k, k.t, k.w FROM c JOIN k ON k.conv_id = c.conv_id - c.conv_id % 20 AND k.k <= c.h
   UNION ALL SELECT c.conv_id, 1, k.k, k.t, k.w FROM c JOIN k ON k.conv_id = c.conv_id AND k.k > c.h),
