@@ -48,7 +48,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight asks for, in a global shuffle."""
-    return mixing.poisson_mix(docs).select(docs.columns)
+    return mixing.poisson_mix(docs, copy="__copy", position="__position").drop("__copy", "__position")
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

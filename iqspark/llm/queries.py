@@ -173,9 +173,10 @@ k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::BI
 f AS (SELECT source, k, exp(-rate + coalesce(sum(CASE WHEN k > 0 THEN ln(rate / k) END) OVER (PARTITION BY source ORDER BY k), 0)) AS pmf FROM k),
 g AS (SELECT source, k, sum(pmf) OVER (PARTITION BY source ORDER BY k) AS cdf FROM f),
 a AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM g GROUP BY source),
-u AS (SELECT d.*, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents d),
+d AS (SELECT *, md5(coalesce(text, '')) AS h, row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) AS nth FROM documents),
+u AS (SELECT d.*, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || h || ':' || nth), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM d),
 e AS (SELECT u.*, unnest(range(1, len(list_filter(a.cdf, lambda x: x < u.u)) + 1))::INTEGER AS copy FROM u JOIN a ON u.source IS NOT DISTINCT FROM a.source)
 SELECT doc_id, text, lang, source, n_chars, copy,
-  round(('0x' || substr(md5('mix/order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0, 12) AS position
+  round(('0x' || substr(md5('mix/order:' || coalesce(doc_id::VARCHAR, '') || ':' || h || ':' || nth || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0, 12) AS position
 FROM e""",
 }

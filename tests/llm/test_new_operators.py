@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from iqspark.llm import exact_dedup, prefix_trie, vector_codes
+from iqspark.llm import exact_dedup, mixing, prefix_trie, vector_codes
 
 
 def brute_copies(rows):
@@ -196,3 +196,25 @@ def test_slots_are_minimal_and_verified():
     assert (table.slots(a, b + np.uint64(1)) == -1).all()
     with pytest.raises(ValueError):
         prefix_trie.SlotTable(np.append(a, a[0]), np.append(b, b[0]))
+
+
+def test_mixing_draws_rows_without_ids_and_repeated_rows_each_for_itself(spark):
+    """No source's rows depart from n times its rate by over 3.5 sigma, and no partition has more than its share."""
+    n = 20_000
+    null_ids = spark.range(n).selectExpr("cast(null as long) doc_id", "concat('text ', id) text", "if(id % 4 = 0, 'a', 'b') source")
+    alike = spark.range(n).selectExpr("5L doc_id", "'the same' text", "if(id % 4 = 0, 'a', 'b') source")
+    for docs in (null_ids, alike):
+        rates = {r.source: (r.n, r.rate) for r in mixing.source_rates(docs).collect()}
+        out = mixing.poisson_mix(docs).withColumn("part", F.spark_partition_id()).cache()
+        for r in out.groupBy("source").count().collect():
+            rows, rate = rates[r.source]
+            assert abs(r["count"] - rows * rate) < 3.5 * (rows * rate) ** 0.5
+        parts = [r["count"] for r in out.groupBy("part").count().collect()]
+        assert len(parts) == 8 and max(parts) < 1.2 * min(parts)
+        out.unpersist()
+
+
+def test_mixing_keeps_columns_of_other_names(spark):
+    docs = spark.createDataFrame([(k, f"t {k}", "a", "mine", 7.5) for k in range(50)], "doc_id long, text string, source string, copy string, position double")
+    got = mixing.poisson_mix(docs, size=3.0, copy="__copy", position="__position").collect()
+    assert len(got) > 50 and {(r.copy, r.position) for r in got} == {("mine", 7.5)}
