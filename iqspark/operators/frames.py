@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FLAG_NAMES
-
-COUNTER = 2**32
+from .epochs import COUNTER, MOST_STEP, RANGE, with_epochs
 
 
 def first_tones(frames: DataFrame, n: int) -> DataFrame:
@@ -43,45 +42,43 @@ def index_time(frames: DataFrame, rate: float) -> DataFrame:
     return frames.withColumn("t", F.col("seq") / rate)
 
 
-def counter_time(frames: DataFrame, rate: float) -> DataFrame:
-    """Seconds since a stream's first counter (right for triggered streams too); one small row for each stream is joined."""
-    first = frames.groupBy("stream_id").agg(F.min_by("packet_counter", "seq").alias("c0"))
-    return frames.join(first, "stream_id").withColumn("t", F.pmod(F.col("packet_counter") - F.col("c0"), F.lit(COUNTER)) / rate).drop("c0")
+def counter_time(frames: DataFrame, rate: float, most_step: int = MOST_STEP) -> DataFrame:
+    """Adds t, seconds since the first frame of the stream's epoch, by its counter (right for triggered streams too), over
+    any number of wraps; a restarted counter begins at 0 anew (with_epochs has its number)."""
+    return with_epochs(frames, most_step).withColumn("t", F.col("rebased") / rate).drop("epoch", "counter64", "rebased")
 
 
 def named_flags(frames: DataFrame) -> DataFrame:
     return frames.withColumns({name: F.get("flags", F.lit(k)) for k, name in enumerate(FLAG_NAMES)})
 
 
-def counter_steps(frames: DataFrame, bucket: int | None = None) -> DataFrame:
+def counter_steps(frames: DataFrame, bucket: int | None = RANGE) -> DataFrame:
     """Adds prev_counter, step (as stored) and step_mod (modulo 2**32) from the frame before, in order of seq.
 
-    With bucket, no task holds a whole stream: frames are windowed in ranges of bucket values of seq, and the first frame
-    of a range gets its predecessor from a join with the last frames of the ranges before it.
+    No task holds a whole stream: frames are windowed in ranges of bucket values of seq, and the first frame of a range
+    gets its predecessor from a join with the last frames of the ranges before it.
     """
-    if bucket is None:
-        prev = F.lag("packet_counter").over(Window.partitionBy("stream_id").orderBy("seq"))
-        out = frames.withColumn("prev_counter", prev)
-    else:
-        part = frames.withColumn("b", F.floor(F.col("seq") / bucket))
-        lasts = part.groupBy("stream_id", "b").agg(F.max_by("packet_counter", "seq").alias("last"))
-        # One row for each range: a window over a stream's ranges is small, and ranges may be empty.
-        lasts = lasts.withColumn("before", F.lag("last").over(Window.partitionBy("stream_id").orderBy("b"))).drop("last")
-        prev = F.lag("packet_counter").over(Window.partitionBy("stream_id", "b").orderBy("seq"))
-        out = part.withColumn("inner", prev).join(lasts, ["stream_id", "b"]).withColumn("prev_counter", F.coalesce("inner", "before")).drop("inner", "before", "b")
+    part = frames.withColumn("b", F.floor(F.col("seq") / (bucket or RANGE)))
+    lasts = part.groupBy("stream_id", "b").agg(F.max_by("packet_counter", "seq").alias("last"))
+    # One row for each range: a window over a stream's ranges is small, and ranges may be empty.
+    lasts = lasts.withColumn("before", F.lag("last").over(Window.partitionBy("stream_id").orderBy("b"))).drop("last")
+    prev = F.lag("packet_counter").over(Window.partitionBy("stream_id", "b").orderBy("seq"))
+    out = part.withColumn("inner", prev).join(lasts, ["stream_id", "b"]).withColumn("prev_counter", F.coalesce("inner", "before")).drop("inner", "before", "b")
     step = F.col("packet_counter") - F.col("prev_counter")
     return out.withColumns({"step": step, "step_mod": F.pmod(step, F.lit(COUNTER))})
 
 
-def continuity(frames: DataFrame, bucket: int | None = None) -> DataFrame:
-    """Per stream: frames, whether every counter follows the one before, and how many are missing."""
-    return counter_steps(frames, bucket).groupBy("stream_id").agg(F.count("*").alias("n_frames"), F.coalesce(F.bool_and(F.col("step_mod") == 1), F.lit(True)).alias("contiguous"), F.coalesce(F.sum(F.col("step_mod") - 1), F.lit(0)).alias("n_missing"))
+def continuity(frames: DataFrame, bucket: int | None = RANGE, most_step: int = MOST_STEP) -> DataFrame:
+    """Per stream: frames, whether every counter follows the one before, and how many are missing. A step over most_step
+    is a restart, after which nothing is known to be missing; n_restarts counts them."""
+    steps = counter_steps(frames, bucket).withColumn("again", F.coalesce(F.col("step_mod") > most_step, F.lit(False)))
+    missing = F.sum(F.when(~F.col("again") & (F.col("step_mod") > 0), F.col("step_mod") - 1))
+    return steps.groupBy("stream_id").agg(F.count("*").alias("n_frames"), F.coalesce(F.bool_and(F.col("step_mod") == 1), F.lit(True)).alias("contiguous"), F.coalesce(missing, F.lit(0)).alias("n_missing"), F.count_if("again").alias("n_restarts"))
 
 
-def rebased_counter(frames: DataFrame) -> DataFrame:
-    """Adds rebased, the counter less that of the stream's first frame; one small row for each stream is joined."""
-    first = frames.groupBy("stream_id").agg(F.min_by("packet_counter", "seq").alias("c0"))
-    return frames.join(first, "stream_id").withColumn("rebased", F.col("packet_counter") - F.col("c0")).drop("c0")
+def rebased_counter(frames: DataFrame, most_step: int = MOST_STEP) -> DataFrame:
+    """Adds rebased, the counter less that of the first frame of the stream's epoch, over any number of wraps."""
+    return with_epochs(frames, most_step).drop("epoch", "counter64")
 
 
 def error_count(frames: DataFrame) -> DataFrame:

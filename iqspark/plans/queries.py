@@ -233,7 +233,42 @@ def w1_counter_steps(spark, d):
 
 @register(_with("fr", "SELECT stream_id, count(*) AS n_frames, coalesce(bool_and(step=1), true) AS contiguous, coalesce(sum(step-1), 0)::BIGINT AS n_missing FROM (" + _STEPS.format("fr") + ") GROUP BY stream_id"))
 def a3_continuity(spark, d):
-    return frames.continuity(inputs.frames_e(spark, d), 64)
+    return frames.continuity(inputs.frames_e(spark, d), 64).drop("n_restarts")
+
+
+#: Counters of frames E as a board may give them: of each 500 frames, 400 pass 2**32 twice in steps of 15 million (once
+#: right after their first), then the board restarts near 0.
+_RESTARTED = "CAST((CASE WHEN seq % 500 < 400 THEN 4294964296 + (seq % 500) * 15000000 ELSE 17 + (seq % 500) * 3 END) % 4294967296 AS BIGINT)"
+_EPOCHS = """SELECT *, c + 4294967296 * sum(wrap) OVER (PARTITION BY epoch ORDER BY seq) AS counter64 FROM (
+  SELECT *, sum(again) OVER (ORDER BY seq)::BIGINT AS epoch, CASE WHEN again = 0 AND c < p THEN 1 ELSE 0 END AS wrap FROM (
+    SELECT *, CASE WHEN (c - p + 4294967296) % 4294967296 > 16777216 THEN 1 ELSE 0 END AS again FROM (
+      SELECT stream_id, seq, c, lag(c) OVER (ORDER BY seq) AS p FROM (SELECT *, """ + _RESTARTED + """ AS c FROM fr))))"""
+
+
+def _restarted(spark, d):
+    from pyspark.sql import functions as F
+
+    return inputs.frames_e(spark, d).select("stream_id", "seq", F.expr(_RESTARTED).alias("packet_counter"))
+
+
+@register(_with("fr", f"SELECT stream_id, seq, epoch, counter64::BIGINT AS counter64, (counter64 - first_value(counter64) OVER (PARTITION BY epoch ORDER BY seq))::BIGINT AS rebased FROM ({_EPOCHS})"))
+def w2_counter_epochs(spark, d):
+    """T21: wraps and restarts of the counter, in ranges of 64 frames."""
+    from ..operators import epochs
+
+    return epochs.with_epochs(_restarted(spark, d), bucket=64).drop("packet_counter")
+
+
+@register(_with("fr", f"SELECT stream_id, seq, {r('t')} AS t FROM (SELECT stream_id, seq, (counter64 - first_value(counter64) OVER (PARTITION BY epoch ORDER BY seq)) / 500.0 AS t FROM ({_EPOCHS}))"))
+def p9_time_over_wraps(spark, d):
+    return _rounded(frames.counter_time(_restarted(spark, d), 500.0), t=6).select("stream_id", "seq", "t")
+
+
+@register(_with("fr", f"SELECT stream_id, epoch, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_frames, (max(counter64) - min(counter64))::BIGINT AS n_steps FROM ({_EPOCHS}) GROUP BY stream_id, epoch"))
+def a3_epoch_ranges(spark, d):
+    from ..operators import epochs
+
+    return epochs.epoch_ranges(epochs.with_epochs(_restarted(spark, d), bucket=256))
 
 
 @register(_with("v", "SELECT stream_id, seq, packet_counter - first_value(packet_counter) OVER (PARTITION BY stream_id ORDER BY seq) AS rebased FROM v"))

@@ -2,38 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.frames import COUNTER
-from ..sources.records import decode, record_bytes
+from ..sources.records import stream_recording
 
 
-def landed_chunks(spark: SparkSession, folder: str, per_trigger: int = 64) -> DataFrame:
-    """Chunk files as they land: stream_id is the file's folder, chunk its name. Empty keep-alive chunks are dropped."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
-    name = F.split("path", "/")
-    return files.where(F.length("content") > 0).select(F.element_at(name, -2).alias("stream_id"), F.element_at(name, -1).alias("chunk"), F.col("modificationTime").alias("landed"), F.col("content").alias("payload"))
+def live_frames(spark: SparkSession, folder: str, num_tones: int | None = None, keep: int | None = None, records: int = 16384, per_trigger: int = 1 << 22) -> DataFrame:
+    """Frames of a landing folder: empty chunks (keep-alives) give none, the short last record of a chunk is left out, and
+    a chunk of any size is read in ranges. Order is (stream_id, chunk, seq): seq is the place in the chunk."""
+    return stream_recording(spark, folder, num_tones, keep, records, per_trigger)
 
 
-def live_frames(spark: SparkSession, folder: str, num_tones: int, keep: int | None = None) -> DataFrame:
-    """Frames of a landing folder; the short last record of a chunk is dropped. Order is (stream_id, chunk, seq): seq is
-    the place in the chunk."""
-    size = record_bytes(num_tones)
-    chunks = landed_chunks(spark, folder).where(F.length("payload") >= size)
-    keyed = chunks.select(F.concat_ws("/", "stream_id", "chunk").alias("stream_id"), F.lit(0).cast("long").alias("seq"), "payload")
-    frames = decode(keyed, num_tones, keep)
-    return frames.withColumns({"chunk": F.element_at(F.split("stream_id", "/"), -1), "stream_id": F.element_at(F.split("stream_id", "/"), 1)})
-
-
-def with_event_time(frames: DataFrame, start: str, rate: float) -> DataFrame:
-    """Adds ts = start + counter / rate."""
-    return frames.withColumn("ts", F.timestamp_micros((F.unix_micros(F.lit(start).cast("timestamp")) + F.col("packet_counter") * 1e6 / rate).cast("long")))
+def with_event_time(frames: DataFrame, start: str, rate: float, counter: str = "packet_counter") -> DataFrame:
+    """Adds ts = start + counter / rate. start is when the counter was 0; over wraps, give counter64 as the counter."""
+    return frames.withColumn("ts", F.timestamp_micros((F.unix_micros(F.lit(start).cast("timestamp")) + F.col(counter) * 1e6 / rate).cast("long")))
 
 
 def without_repeats(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -46,38 +31,6 @@ def running_errors(frames: DataFrame) -> DataFrame:
     return frames.groupBy("stream_id").agg(F.count("*").alias("n_frames"), F.sum(F.when(F.col("packet_error") != 0, 1).otherwise(0)).alias("n_errors"))
 
 
-def count_gaps(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Adds the frames of one stream to what is known of it: last counter, frames, gaps, missing frames. Steps are taken
-    modulo 2**32; a counter at or before the last one (a repeat, or a late file) is not a gap."""
-    last, n, gaps, missing = state.get if state.exists else (None, 0, 0, 0)
-    counters = pd.concat([b["packet_counter"] for b in batches]).to_numpy()
-    # In order of the distance from where the stream stands, so that a batch over the wrap of the counter stays in order.
-    start = last if last is not None else int(counters[0])
-    ahead = (counters - start + COUNTER // 2) % COUNTER
-    counters = counters[ahead.argsort(kind="stable")]
-    for c in counters:
-        if last is not None:
-            step = (int(c) - last) % COUNTER
-            if step == 0 or step > COUNTER // 2:
-                continue
-            gaps, missing = gaps + (step > 1), missing + step - 1
-        last, n = int(c), n + 1
-    state.update((last, n, gaps, missing))
-    yield pd.DataFrame({"stream_id": [key[0]], "last_counter": [last], "n_frames": [n], "n_gaps": [gaps], "n_missing": [missing]})
-
-
-def gaps(frames: DataFrame) -> DataFrame:
-    """Gap figures of each stream, updated with every batch; the state is one row for each stream."""
-    out = "stream_id string, last_counter long, n_frames long, n_gaps long, n_missing long"
-    return frames.select("stream_id", "packet_counter").groupBy("stream_id").applyInPandasWithState(count_gaps, out, "last_counter long, n_frames long, n_gaps long, n_missing long", "update", GroupStateTimeout.NoTimeout)
-
-
 def record(frames: DataFrame, path: str, checkpoint: str, **trigger: Any):
     """Continuous Parquet recording with exactly-once files; trigger defaults to what has landed by now."""
     return frames.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("stream_id").trigger(**(trigger or {"availableNow": True})).start()
-
-
-def trigger_times(frames: DataFrame, rate: float) -> DataFrame:
-    """Triggered streams: seconds of each kept frame since the stream's first, from its counter (batch form)."""
-    first = frames.groupBy("stream_id").agg(F.min("packet_counter").alias("c0"))
-    return frames.join(first, "stream_id").withColumn("t", (F.col("packet_counter") - F.col("c0")) / rate).drop("c0")

@@ -239,3 +239,48 @@ def test_settings_read_numbers_and_aliases():
     assert setting(config, "firmware", "adc_ddc_mixer_frequency_hz") == 0.5e9
     assert setting(config, "firmware", "tone_frequencies") == [1e6, 2]
     assert setting(config, "firmware", "cal", default=0) == 0
+
+
+def epochs_by_hand(counters, most_step):
+    """(epoch, 64-bit counter, counter since the epoch's first) of each counter in turn."""
+    out, epoch, wraps, start = [], 0, 0, counters[0] if counters else 0
+    for k, c in enumerate(counters):
+        if k:
+            step = (c - counters[k - 1]) % 2**32
+            if step > most_step:
+                epoch, wraps, start = epoch + 1, 0, c
+            elif c < counters[k - 1]:
+                wraps += 1
+        out.append((epoch, c + wraps * 2**32, c + wraps * 2**32 - start))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_epochs_over_wraps_and_restarts(spark, parts):
+    from iqspark.operators import epochs
+
+    rng = np.random.default_rng(parts)
+    step = 2**30
+    counters = [(2**32 - 5 + 3 * k) % 2**32 for k in range(40)]  # a wrap
+    counters += [7 + k * (step - 9) % 2**32 for k in range(30)]  # a restart, then many wraps
+    counters += [0, 0, 1, 5, 2**32 - 1, 3, 4]  # a restart, a repeat, a restart, a wrap: all in one range
+    for _ in range(20):
+        at = int(rng.integers(0, 2**32))
+        for s in rng.integers(0, step, 15):
+            counters.append(at := (at + int(s)) % 2**32)
+    want = epochs_by_hand(counters, step)
+    rows = [("a", 7 * k, c) for k, c in enumerate(counters)] + [("b", k, k) for k in range(3)]
+    frames = spark.createDataFrame(rows, "stream_id string, seq long, packet_counter long").repartition(parts)
+    for bucket in (1, 10, 50, 700, 65_536):
+        got = sorted((r.seq, r.epoch, r.counter64, r.rebased) for r in epochs.with_epochs(frames, step, bucket).where("stream_id = 'a'").collect())
+        assert got == [(7 * k, *w) for k, w in enumerate(want)]
+    assert epochs.with_epochs(frames.limit(0)).count() == 0
+    assert {tuple(r) for r in epochs.epoch_ranges(epochs.with_epochs(frames)).where("stream_id = 'b'").collect()} == {("b", 0, 0, 2, 3, 2)}
+
+
+def test_time_and_continuity_over_a_wrap_and_a_restart(spark):
+    counters = [2**32 - 2, 2**32 - 1, 0, 3, 0, 1, 2]
+    rows = spark.createDataFrame([("a", k, c) for k, c in enumerate(counters)], "stream_id string, seq long, packet_counter long")
+    assert [r.t for r in frames.counter_time(rows, 2.0).orderBy("seq").collect()] == [0.0, 0.5, 1.0, 2.5, 0.0, 0.5, 1.0]
+    r = frames.continuity(rows, 3).first()
+    assert (r.n_frames, r.contiguous, r.n_missing, r.n_restarts) == (7, False, 2, 1)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from iqspark.operators import frames as ops
 from iqspark.sources import records, text
-from iqspark.streaming import live
+from iqspark.streaming import counters, live
 
 
 def make(spark, n=50, tones=3, stream="s", first=2**32 - 20):
@@ -119,7 +119,7 @@ def test_stream_is_batch_over_restarts_and_repeats(spark, folder):
     open(f"{folder}/in/s/keepalive.bin", "wb").close()
 
     def run():
-        q = live.gaps(live.live_frames(spark, f"{folder}/in", 3)).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/cp").foreachBatch(lambda b, k: b.write.mode("append").json(f"{folder}/out")).trigger(availableNow=True).start()
+        q = counters.live_gaps(live.live_frames(spark, f"{folder}/in", 3)).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/cp").foreachBatch(lambda b, k: b.write.mode("append").json(f"{folder}/out")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         r = live.record(live.live_frames(spark, f"{folder}/in", 3), f"{folder}/rec", f"{folder}/cp2")
         r.awaitTermination(120)
@@ -146,3 +146,96 @@ def test_stream_errors_and_repeats(spark, folder):
     e.awaitTermination(120)
     got = spark.table("errors").first()
     assert got.n_frames == 40 and got.n_errors == ops.error_count(df).first().n_errors + ops.error_count(df.where("seq < 10")).first().n_errors
+
+
+def board(n, first=0, step=1, seed=0, gaps=()):
+    """(counter, error, i) of frames as a board gives them; no two runs of it have the same samples."""
+    return [((first + step * k) % 2**32, int(k % 7 == 0), 1000 * seed + k) for k in range(n) if k not in gaps]
+
+
+def land_frames(spark, folder, name, frames, stream="s"):
+    rows = [(stream, k, c, e, [0] * 8, [i, i + 1], [-i, 0]) for k, (c, e, i) in enumerate(frames)]
+    df = spark.createDataFrame(rows, "stream_id string, seq long, packet_counter long, packet_error int, flags array<int>, i array<int>, q array<int>")
+    os.makedirs(f"{folder}/in/{stream}", exist_ok=True)
+    with open(f"{folder}/in/{stream}/{name}.tmp", "wb") as f:
+        f.write(packed(df) + b"\0\0\0")
+    os.rename(f"{folder}/in/{stream}/{name}.tmp", f"{folder}/in/{stream}/{name}.bin")
+
+
+def test_live_counters_are_those_of_the_batch(spark, folder):
+    """Three triggers with a restart of the query after each: gaps, a wrap, a restarted board, copies under other names, a
+    file that lands late, and keep-alives."""
+    def trigger():
+        frames = live.live_frames(spark, f"{folder}/in", 2, records=16)
+        for name, df, mode in (("gaps", counters.live_gaps(frames), "update"), ("times", counters.live_trigger_times(frames, 500.0), "append")):
+            q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state-{name}").foreachBatch(lambda b, k, to=f"{folder}/{name}": b.write.mode("append").parquet(to)).trigger(availableNow=True).start()
+            q.awaitTermination(120)
+
+    def check():
+        frames = spark.createDataFrame(sum(landed.values(), []), "stream_id string, chunk string, seq long, packet_counter long, packet_error int, flags array<int>, i array<int>, q array<int>")
+        want = {r.stream_id: tuple(r) for r in counters.gap_figures(frames).collect()}
+        got = {}
+        for r in spark.read.parquet(f"{folder}/gaps").orderBy("n_frames").collect():
+            got[r.stream_id] = tuple(r)
+        assert got == want
+        key = ["stream_id", "chunk", "seq", "packet_counter", "epoch", "counter64", "t"]
+        assert rows(spark.read.parquet(f"{folder}/times"), key) == rows(counters.trigger_times(frames, 500.0), key)
+
+    landed = {}
+
+    def put(name, frames, stream="s"):
+        land_frames(spark, folder, name, frames, stream)
+        landed[stream, name] = [(stream, f"{name}.bin", k, c, e, [0] * 8, [i, i + 1], [-i, 0]) for k, (c, e, i) in enumerate(frames)]
+
+    one = board(100, first=2**32 - 60, gaps=(10, 11, 70))
+    put("c0", one[:50])
+    put("c2", one[80:])
+    put("x", board(5, step=40), "other")
+    open(f"{folder}/in/s/c1-alive.bin", "wb").close()
+    trigger()
+    check()
+    put("c1", one[50:80])  # late, between the two
+    put("c3", board(500, seed=1))  # the board restarts
+    trigger()
+    check()
+    put("c4", one[20:40])  # copies of what landed before, in part and whole
+    put("c5", board(500, seed=1)[100:300])
+    put("c6", board(50, first=500, seed=1))
+    put("y", board(5, first=200, step=40, seed=2), "other")
+    trigger()
+    check()
+    last = spark.read.parquet(f"{folder}/gaps").where("stream_id = 's'").orderBy(F.desc("n_frames")).first()
+    assert (last.n_frames, last.n_gaps, last.n_missing, last.n_restarts) == (97 + 550, 2, 3, 1)
+
+
+def test_folded_state_gives_the_same_and_counts_late_frames(spark, folder):
+    def trigger():
+        frames = live.live_frames(spark, f"{folder}/in", 2)
+        q = counters.live_gaps(frames, delay="0.001 seconds").writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(lambda b, k: b.write.mode("append").parquet(f"{folder}/gaps")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    for k in range(4):
+        land_frames(spark, folder, f"c{2 * k}", board(20, first=20 * k + (k > 1), seed=k))
+        trigger()
+    land_frames(spark, folder, "c1", board(7, first=3, seed=9))
+    trigger()
+    last = spark.read.parquet(f"{folder}/gaps").orderBy("n_frames", "n_late").collect()[-1]
+    assert (last.n_frames, last.n_gaps, last.n_missing, last.n_restarts, last.n_late) == (80, 1, 1, 0, 7)
+
+
+def test_recording_stream_reads_growing_and_large_chunks_once(spark, folder):
+    frames = board(300)
+    land_frames(spark, folder, "a", frames)
+
+    def trigger():
+        q = live.live_frames(spark, f"{folder}/in", 2, records=32, per_trigger=100).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted((r.chunk, r.seq, r.packet_counter) for r in spark.read.parquet(f"{folder}/out").collect())
+
+    assert trigger() == [("a.bin", k, k) for k in range(300)]
+    data = open(f"{folder}/in/s/a.bin", "rb").read()
+    with open(f"{folder}/in/s/a.bin", "ab") as f:  # the short record at the end is completed, and another one follows
+        f.write(data[-3 - records.record_bytes(2) + 3 : -3][: records.record_bytes(2) - 3] + data[: records.record_bytes(2)])
+    got = trigger()
+    assert len(got) == 302 and got[-1][:2] == ("a.bin", 301)
+    assert trigger() == got
