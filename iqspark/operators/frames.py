@@ -125,10 +125,12 @@ MOST_HEADERS = 100_000
 
 def with_header(rows: DataFrame, headers: DataFrame, *keys: str) -> DataFrame:
     """Frames or sweep rows with their header's columns (sample_rate, acc_len, shifts and what else it has), one header for
-    each stream_id (or keys); a header's columns take the place of equally named ones. Rows without a header keep nulls."""
+    each stream_id (or keys): of several the one whose JSON text comes first. A header's columns take the place of equally
+    named ones. Rows without a header keep nulls."""
     keys = keys or ("stream_id",)
     more = [c for c in headers.columns if c not in keys]
-    headers = headers.dropDuplicates([*keys])
+    all_of_it = F.struct(*more) if more else F.struct(*keys)
+    headers = headers.groupBy(*keys).agg(F.min_by(all_of_it, F.to_json(all_of_it)).alias("x")).select(*keys, *[F.col("x")[c].alias(c) for c in more])
     few = headers.select(*keys).limit(MOST_HEADERS + 1).count() <= MOST_HEADERS
     return rows.drop(*more).join(F.broadcast(headers) if few else headers, [*keys], "left")
 
@@ -140,7 +142,10 @@ def receive_rate(packets: DataFrame) -> DataFrame:
 
 
 def differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Per table pair: rows, and rows that differ or are on one side only (exported against imported data)."""
-    left, right = a.select(*keys, F.struct(*values).alias("x")), b.select(*keys, F.struct(*values).alias("y"))
-    both = left.join(right, keys, "full_outer")
-    return both.agg(F.count("*").alias("n"), F.sum(F.when(F.col("x").eqNullSafe(F.col("y")), 0).otherwise(1)).alias("n_different")).withColumn("equal", F.col("n_different") == 0)
+    """Per table pair: rows, and rows that differ or are on one side only (exported against imported data). Rows that repeat
+    a key are compared as often as they are there: of a key's rows on the larger side, those with an equal partner agree."""
+    x = F.struct(*values).alias("x")
+    both = a.select(*keys, x, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*keys, x, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    rows = both.groupBy(*keys, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    each = rows.groupBy(*keys).agg(F.greatest(F.sum("a"), F.sum("b")).alias("n"), F.sum(F.least("a", "b")).alias("same"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") - F.col("same")), F.lit(0)).alias("n_different")).withColumn("equal", F.col("n_different") == 0)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import iq
 from ..functions.frequency import sweep_frequency
 from ..functions.hashed import hashed_uniform
+from ..sources.shared import stored
 
 
 def grid(tones: DataFrame, points: int, direction: str = "up", default_span: float | None = None) -> DataFrame:
@@ -24,19 +25,83 @@ def grid(tones: DataFrame, points: int, direction: str = "up", default_span: flo
 
 def response(samples: DataFrame, drop_errors: bool = False) -> DataFrame:
     """Mean and population deviation over the samples of each (sweep_id, tone, point)."""
-    kept = samples.where("packet_error = 0") if drop_errors else samples
+    kept = samples.where("coalesce(packet_error, 0) = 0") if drop_errors else samples
     return kept.groupBy("sweep_id", "tone", "point").agg(F.avg("i").alias("i"), F.avg("q").alias("q"), F.stddev_pop("i").alias("ei"), F.stddev_pop("q").alias("eq"), F.count("*").alias("n"))
 
 
+def landed_bitmaps(samples: DataFrame, points: int, tones: int) -> DataFrame:
+    """(sweep_id, bucket, bits): the (tone, point) places of samples as bitmaps, one row for each 32,768 places. They merge
+    (merge_bitmaps) over batches, files and streams, and repeated samples change nothing."""
+    place = F.col("tone").cast("long") * points + F.col("point") + 1  # buckets and bits begin at 1
+    inside = samples.where(F.col("point").between(0, points - 1) & F.col("tone").between(0, tones - 1))
+    return inside.groupBy("sweep_id", F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+
+
+def merge_bitmaps(*bitmaps: DataFrame) -> DataFrame:
+    every = bitmaps[0]
+    for more in bitmaps[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("sweep_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def landed(bitmaps: DataFrame, points: int, tones: int) -> DataFrame:
+    """Per sweep: places that have landed, their share of all, and whether the sweep is complete."""
+    n = F.sum(F.bitmap_count("bits"))
+    return bitmaps.groupBy("sweep_id").agg(n.alias("n_landed"), (n / (points * tones)).alias("share"), (n == points * tones).alias("complete"))
+
+
+def missing_places(bitmaps: DataFrame, points: int, tones: int) -> DataFrame:
+    """(sweep_id, tone, point) that have not landed, of sweeps of which something has. Each bucket (numbered from 1) says so
+    by itself; those without a bitmap lack all their places."""
+    size, total = 8 * 4096, points * tones
+    buckets = bitmaps.select("sweep_id").distinct().select("sweep_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit((total - 1) // size + 1).cast("long"))).alias("bucket"))
+    each = buckets.join(bitmaps, ["sweep_id", "bucket"], "left")
+    place = F.explode(F.sequence((F.col("bucket") - 1) * size, F.least(F.col("bucket") * size, F.lit(total)) - 1)).alias("place")
+    bit = F.expr("coalesce(shiftright(cast(conv(hex(substring(bits, (place % 32768) div 8 + 1, 1)), 16, 10) AS int), cast(place % 8 AS int)) & 1, 0)")
+    return each.select("sweep_id", "bits", place).where(bit == 0).select("sweep_id", F.expr(f"cast(place div {points} AS int)").alias("tone"), F.expr(f"cast(place % {points} AS int)").alias("point"))
+
+
 def completeness(samples: DataFrame, points: int) -> DataFrame:
     """Progress and number of points that have landed, by sweep."""
-    return samples.groupBy("sweep_id").agg(F.try_divide(F.max("point"), F.lit(points - 1)).alias("progress"), F.count_distinct("point").alias("n_points"))
+    bits = samples.groupBy("sweep_id", F.bitmap_bucket_number("point").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("point")).alias("bits"), F.max("point").alias("last"))
+    return bits.groupBy("sweep_id").agg(F.try_divide(F.max("last"), F.lit(points - 1)).alias("progress"), F.sum(F.bitmap_count("bits")).alias("n_points"))
 
 
 def missing_points(samples: DataFrame, plan: DataFrame) -> DataFrame:
     return plan.select("sweep_id", "tone", "point").join(samples, ["sweep_id", "tone", "point"], "left_anti")
 
 
+#: Values of a counter in a bucket of the join of frames with their points.
+COUNTERS = 4096
+
+
+def samples_of_points(frames: DataFrame, points: DataFrame) -> DataFrame:
+    """Sweep samples of a recording: frames(stream_id, counter64, packet_error, i, q) whose counter is in a range of
+    points(sweep_id, stream_id, point, first_counter, last_counter); sample is the place in the range.
+
+    An interval join by equal keys: ranges are cut at the borders of buckets of COUNTERS values, so no frame meets points
+    of other buckets, and neither a long dwell nor a long recording makes a hot key. A frame in several ranges (of one
+    sweep or several) is a sample of each; one in none is left out.
+    """
+    cut = points.withColumn("bucket", F.explode(F.expr(f"sequence(first_counter div {COUNTERS}, last_counter div {COUNTERS})")))
+    keyed = frames.withColumn("bucket", F.expr(f"counter64 div {COUNTERS}"))
+    met = keyed.join(cut, ["stream_id", "bucket"]).where(F.col("counter64").between(F.col("first_counter"), F.col("last_counter")))
+    each = met.select("sweep_id", (F.col("counter64") - F.col("first_counter")).cast("int").alias("sample"), "point", "packet_error", F.posexplode(F.arrays_zip("i", "q")).alias("tone", "z"))
+    return each.select("sweep_id", "sample", "point", "tone", F.col("z.i").cast("double").alias("i"), F.col("z.q").cast("double").alias("q"), "packet_error")
+
+
+def with_accumulations(samples: DataFrame, accumulations: DataFrame) -> DataFrame:
+    """Raw samples (sweep_id, sample, point, tone, i, q) with packet_counter and packet_error of their accumulation, from
+    accumulations(sweep_id, sample, point, acc_count, acc_err); samples without one have null, which drop_errors keeps."""
+    few = accumulations.select("sweep_id").limit(MOST_ACCUMULATIONS + 1).count() <= MOST_ACCUMULATIONS
+    of = accumulations.select("sweep_id", "sample", "point", F.col("acc_count").alias("packet_counter"), F.col("acc_err").alias("packet_error"))
+    return samples.drop("packet_counter", "packet_error").join(F.broadcast(of) if few else of, ["sweep_id", "sample", "point"], "left")
+
+
+#: Accumulations that are broadcast at most; beyond that they are joined by a shuffle.
+MOST_ACCUMULATIONS = 500_000
+
+
 def with_gradient(sweep: DataFrame) -> DataFrame:
     """Adds grad, the size of dz by index: central inside, one-sided at the ends; 0 for a single point."""
     order = Window.partitionBy("sweep_id", "tone").orderBy("point")
@@ -53,7 +118,7 @@ def retune(sweep: DataFrame, method: str = "max_gradient") -> DataFrame:
     chosen = F.coalesce("method", F.lit(method)) if "method" in sweep.columns else F.lit(method)
     mag = F.hypot("i", "q")
     out = with_gradient(sweep).groupBy("sweep_id", "tone").agg(
-        F.first(chosen).alias("method"),
+        F.min(chosen).alias("method"),
         F.max_by("f", F.struct("grad", -F.col("point"))).alias("f_grad"),
         F.min_by(F.when(~F.isnan(mag), F.col("f")), F.struct(F.isnan(mag).alias("nan"), mag.alias("mag"), F.col("point"))).alias("f_min"),
     )
@@ -87,42 +152,51 @@ def _wraps(phase: Column, before: Column) -> Column:
     return F.when(d > math.pi, -1).when(d < -math.pi, 1).otherwise(0)
 
 
-def unwrap(sweep: DataFrame, order: tuple[str, ...] = ("tone", "point")) -> DataFrame:
-    """Adds phase (wrapped) and uphase: each step over half a turn adds whole turns, in the order of a sweep."""
-    w = Window.partitionBy("sweep_id").orderBy(*order)
-    out = sweep.withColumn("phase", iq.angle(F.col("i"), F.col("q")))
-    out = out.withColumn("k", _wraps(F.col("phase"), F.lag("phase").over(w)))
-    turns = F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("uphase", F.col("phase") + turns * iq.TAU).drop("k")
+#: Rows of a range, about: what one window of an unwrapped sweep holds.
+RANGE_ROWS = 65_536
 
 
-def unwrap_tones(sweep: DataFrame) -> DataFrame:
-    """unwrap for one huge sweep: no task holds more than one tone.
+def in_ranges(sweep: DataFrame, order: tuple[str, ...] = ("f", "tone", "point"), rows: int = RANGE_ROWS) -> DataFrame:
+    """sweep with part: ranges of about so many rows in the order of (sweep_id, *order), numbered in that order, written to
+    the shared folder. Overlapping tones and tones of any size are one order, and no range holds a whole sweep."""
+    parts = max(1, -(-sweep.count() // rows))
+    return stored(sweep.repartitionByRange(parts, "sweep_id", *order).withColumn("part", F.spark_partition_id()), "ranges")
 
-    Turns are whole numbers, so they add up in any grouping: each tone unwraps by itself, one row for each tone (its
+
+def unwrap(sweep: DataFrame, order: tuple[str, ...] = ("tone", "point"), rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds phase (wrapped) and uphase: each step over half a turn adds whole turns, in the order of a sweep: by tone and
+    point, or by ("f", "tone", "point"); in ranges of about so many rows."""
+    return unwrap_tones(in_ranges(sweep, order, rows), "part", order).drop("part")
+
+
+def unwrap_tones(sweep: DataFrame, segment: str = "tone", order: tuple[str, ...] = ("point",)) -> DataFrame:
+    """unwrap for one huge sweep: no task holds more than one tone, or another segment (in_ranges) with its inner order.
+
+    Turns are whole numbers, so they add up in any grouping: each segment unwraps by itself, one row for each segment (its
     first and last phase and its turns) gives the turns before it, and these are joined back.
     """
-    w = Window.partitionBy("sweep_id", "tone").orderBy("point")
+    w = Window.partitionBy("sweep_id", segment).orderBy(*order)
+    place = F.struct(*order)
     out = sweep.withColumn("phase", iq.angle(F.col("i"), F.col("q"))).withColumn("k", F.coalesce(_wraps(F.col("phase"), F.lag("phase").over(w)), F.lit(0)))
     out = out.withColumn("own", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = out.groupBy("sweep_id", "tone").agg(F.min_by("phase", "point").alias("a"), F.max_by("phase", "point").alias("b"), F.sum("k").alias("turns"))
-    tones = Window.partitionBy("sweep_id").orderBy("tone")
-    seam = _wraps(F.col("a"), F.lag("b").over(tones))
-    before = ends.withColumn("seam", seam).withColumn("add", F.sum(F.col("seam")).over(tones.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("turns").over(tones.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = out.join(before.select("sweep_id", "tone", "add"), ["sweep_id", "tone"])
+    ends = out.groupBy("sweep_id", segment).agg(F.min_by("phase", place).alias("a"), F.max_by("phase", place).alias("b"), F.sum("k").alias("turns"))
+    segments = Window.partitionBy("sweep_id").orderBy(segment)
+    seam = _wraps(F.col("a"), F.lag("b").over(segments))
+    before = ends.withColumn("seam", seam).withColumn("add", F.sum(F.col("seam")).over(segments.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("turns").over(segments.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = out.join(before.select("sweep_id", segment, "add"), ["sweep_id", segment])
     return joined.withColumn("uphase", F.col("phase") + (F.col("own") + F.col("add")) * iq.TAU).drop("k", "own", "add")
 
 
-def phase_slope(unwrapped: DataFrame) -> DataFrame:
+def phase_slope(unwrapped: DataFrame, segment: str = "tone", order: tuple[str, ...] = ("point",)) -> DataFrame:
     """Adds slope, d uphase / d f on uneven steps (second order inside, first at a sweep's ends); null where steps are 0.
-    Points follow each other by tone and point. No task holds more than one tone: the points beside a tone's ends come
-    from one row for each tone."""
-    w = Window.partitionBy("sweep_id", "tone").orderBy("point")
-    z = F.struct("f", "uphase")
-    ends = unwrapped.groupBy("sweep_id", "tone").agg(F.min_by(z, "point").alias("first"), F.max_by(z, "point").alias("last"))
-    tones = Window.partitionBy("sweep_id").orderBy("tone")
-    beside = ends.select("sweep_id", "tone", F.lag("last").over(tones).alias("from"), F.lead("first").over(tones).alias("to"))
-    out = unwrapped.withColumns({"before": F.lag(z).over(w), "after": F.lead(z).over(w)}).join(beside, ["sweep_id", "tone"])
+    Points follow each other by tone and point, or by another segment (in_ranges) and its inner order. No task holds more
+    than one segment: the points beside its ends come from one row for each segment."""
+    w = Window.partitionBy("sweep_id", segment).orderBy(*order)
+    z, place = F.struct("f", "uphase"), F.struct(*order)
+    ends = unwrapped.groupBy("sweep_id", segment).agg(F.min_by(z, place).alias("first"), F.max_by(z, place).alias("last"))
+    segments = Window.partitionBy("sweep_id").orderBy(segment)
+    beside = ends.select("sweep_id", segment, F.lag("last").over(segments).alias("from"), F.lead("first").over(segments).alias("to"))
+    out = unwrapped.withColumns({"before": F.lag(z).over(w), "after": F.lead(z).over(w)}).join(beside, ["sweep_id", segment])
     before, after = F.coalesce("before", "from"), F.coalesce("after", "to")
     f, p = F.col("f"), F.col("uphase")
     hs, hd = f - before["f"], after["f"] - f
@@ -131,6 +205,13 @@ def phase_slope(unwrapped: DataFrame) -> DataFrame:
     return out.withColumn("slope", F.when(hs.isNull() | hd.isNull(), edge).otherwise(inner)).drop("before", "after", "from", "to")
 
 
+def frequency_slopes(sweep: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """phase, uphase and slope of a sweep flattened in order of frequency, however its tones overlap."""
+    order = ("f", "tone", "point")
+    ranged = in_ranges(sweep, order, rows)
+    return phase_slope(unwrap_tones(ranged, "part", order), "part", order).drop("part")
+
+
 #: Rank error of the approximate quantiles that bracket a median: one in so many.
 _ACCURACY = 10_000
 MOST_SWEEPS = 100_000
@@ -139,19 +220,22 @@ MOST_SWEEPS = 100_000
 def median_slope(slopes: DataFrame) -> DataFrame:
     """Exact median over a sweep's points; NaN and null don't count.
 
-    Two approximate quantiles (mergeable sketches with a bound on their rank error) bracket the median; values below the
-    bracket are counted, and only those within it, about 4 in 10,000, are ranked. So no task holds a sweep's slopes.
+    Slopes are computed once, to the shared folder. Two approximate quantiles (mergeable sketches with a bound on their
+    rank error) bracket the median. In one more pass, values below the bracket are counted in one row, and those within
+    it, about 4 in 10,000, are counted by value in map tasks; the median is where the running count passes the middle.
+    So no task holds a sweep's slopes, and equal ones are one row.
     """
-    ok = slopes.where(F.col("slope").isNotNull() & ~F.isnan("slope")).select("sweep_id", "slope")
+    ok = stored(slopes.where(F.col("slope").isNotNull() & ~F.isnan("slope")).select("sweep_id", "slope"), "slopes")
     low, high = 0.5 - 2 / _ACCURACY, 0.5 + 2 / _ACCURACY
-    marks = ok.groupBy("sweep_id").agg(F.percentile_approx("slope", [low, high], _ACCURACY).alias("q"), F.count("*").alias("n"))
-    few = marks.select("sweep_id").limit(MOST_SWEEPS + 1).count() <= MOST_SWEEPS
-    near = ok.join(F.broadcast(marks) if few else marks, "sweep_id")
-    below = near.groupBy("sweep_id").agg(F.count_if(F.col("slope") < F.col("q")[0]).alias("below"))
-    inside = near.where((F.col("slope") >= F.col("q")[0]) & (F.col("slope") <= F.col("q")[1])).join(F.broadcast(below) if few else below, "sweep_id")
-    rank = F.row_number().over(Window.partitionBy("sweep_id").orderBy("slope")) + F.col("below")
-    middle = F.col("rank").between(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
-    return inside.withColumn("rank", rank).where(middle).groupBy("sweep_id").agg(F.avg("slope").alias("median_slope"))
+    marks = stored(ok.groupBy("sweep_id").agg(F.percentile_approx("slope", [low, high], _ACCURACY).alias("q"), F.count("*").alias("n")), "marks")
+    near = ok.join(F.broadcast(marks) if marks.count() <= MOST_SWEEPS else marks, "sweep_id").where(F.col("slope") <= F.col("q")[1])
+    value = F.when(F.col("slope") >= F.col("q")[0], F.col("slope")).alias("value")
+    counts = near.groupBy("sweep_id", "n", value).agg(F.count("*").alias("c"))
+    order = Window.partitionBy("sweep_id").orderBy(F.asc_nulls_first("value"))
+    ranked = counts.withColumn("up_to", F.sum("c").over(order))
+    at = lambda rank: (F.col("up_to") - F.col("c") < rank) & (F.col("up_to") >= rank)
+    middle = [F.max(F.when(at(rank), F.col("value"))) for rank in (F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)]
+    return ranked.groupBy("sweep_id").agg(((middle[0] + middle[1]) / 2).alias("median_slope"))
 
 
 def remove_slope(sweep: DataFrame, slopes: DataFrame, half_turn: bool = True) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import frames
 from ..sources import records, text
 from ..sources.shared import new_path
-from ..streaming import live
+from ..streaming import counters, live
 from . import inputs
-from .queries import RESP_E, _response, _with, r, register, rnd
+from .queries import _EPOCHS, RESP_E, _response, _restarted, _with, r, register, rnd
+
 
 @register(_with("fr", "SELECT seq, packet_counter, packet_error, (label = 2)::INT AS flag2, i, q FROM fr"))
 def s1_recording_file(spark, d):
@@ -19,6 +20,33 @@ def s1_recording_file(spark, d):
     return records.read_packed(spark, path, 32).select("seq", "packet_counter", "packet_error", F.col("flags")[2].alias("flag2"), "i", "q")
 
 
+_TWO = "SELECT 'wide' AS stream_id, seq // 2 AS seq, packet_counter, packet_error, i, q FROM fr WHERE seq % 2 = 0 UNION ALL SELECT 'narrow', seq // 2, packet_counter, packet_error, i[1:5], q[1:5] FROM fr WHERE seq % 2 = 1"
+
+
+def _two_streams(spark, d):
+    """Frames E as two streams: even ones with all 32 tones, odd ones with the first 5."""
+    wide = F.col("seq") % 2 == 0
+    part = lambda c: F.when(wide, F.col(c)).otherwise(F.slice(c, 1, 5)).alias(c)
+    return inputs.frames_e(spark, d).select(F.when(wide, "wide").otherwise("narrow").alias("stream_id"), F.floor(F.col("seq") / 2).alias("seq"), "packet_counter", "packet_error", "flags", part("i"), part("q"))
+
+
+@register(_with("fr", _TWO))
+def s1_s2_recordings_by_sidecar(spark, d):
+    """Flat files of two streams of different widths, each read by the sidecar beside it."""
+    path = new_path(spark, "recordings")
+    records.write_recording_files(_two_streams(spark, d), path, {"sample_rate": 500.0, "date": "x"})
+    return records.read_recording(spark, path, records=64).select("stream_id", "seq", "packet_counter", "packet_error", "i", "q")
+
+
+@register(_with("fr", f"SELECT *, len(i)::INT AS n_tones, 250.0::DOUBLE AS sample_rate FROM ({_TWO})"))
+def s5_s6_headed_csvs(spark, d):
+    """A sample file and a stream file of different widths in one folder: each header shapes its file's frames."""
+    path, both = new_path(spark, "headed"), _two_streams(spark, d)
+    for name, order in (("wide", "samples"), ("narrow", "stream")):
+        text.write_frames_csv(both.where(F.col("stream_id") == name), path, None, {"date": "x", "sample_rate": 250.0}, order)
+    return text.read_frames_csv(spark, path).select("stream_id", "seq", "packet_counter", "packet_error", "i", "q", F.size("tones").alias("n_tones"), "sample_rate")
+
+
 @register("SELECT 'E' AS stream_id, 32 AS num_tones, 500.0::DOUBLE AS sample_rate, 72 AS index_cnt, 73 AS index_err, count(*)::VARCHAR AS frames FROM embeddings")
 def s2_sidecar(spark, d):
     path = new_path(spark, "sidecar")
@@ -81,7 +109,32 @@ def s8_json_document(spark, d):
 def s8_sweep_document(spark, d):
     path = new_path(spark, "sweeps")
     text.write_sweep_document(_response(inputs.sweep_e(spark, d)), path, {"date": "x", "samples_per_point": 1})
-    return _swept(text.read_sweep_document(spark, f"{path}/sweep_id=E").withColumn("sweep_id", F.lit("E")))
+    return _swept(text.read_sweep_document(spark, path))
+
+
+_WHICH = "CASE WHEN tone % 3 = 0 THEN 'third' ELSE 'rest' END"
+_VALUES = f"point, {r('f', 3)} AS f, {r('i')} AS i, {r('q')} AS q, {r('ei')} AS ei, {r('eq')} AS eq FROM resp"
+_SPLIT = _with(f"e | {RESP_E}", f"SELECT {_WHICH} AS sweep_id, tone, {_VALUES}")
+
+
+def _two_sweeps(spark, d):
+    return _response(inputs.sweep_e(spark, d)).withColumn("sweep_id", F.when(F.col("tone") % 3 == 0, "third").otherwise("rest"))
+
+
+@register(_SPLIT)
+def s7_two_sweep_csvs(spark, d):
+    """Two sweeps of different tones give two files, read by their own headers."""
+    path = new_path(spark, "two-sweeps")
+    text.write_sweep_csv(_two_sweeps(spark, d), path, None, {"num_points": 10})
+    return _swept(text.read_sweep_csv(spark, path))
+
+
+@register(_with(f"e | {RESP_E}", f"SELECT {_WHICH} AS sweep_id, (dense_rank() OVER (PARTITION BY {_WHICH} ORDER BY tone) - 1)::INT AS place, {_VALUES}"))
+def s8_two_sweep_documents(spark, d):
+    """A document numbers its sweep's tones from 0."""
+    path = new_path(spark, "two-documents")
+    text.write_sweep_document(_two_sweeps(spark, d), path, {"date": "x"})
+    return _swept(text.read_sweep_document(spark, path)).withColumnRenamed("tone", "place")
 
 
 @register(_with("e", f"SELECT sample, point, tone, {r('i')} AS i, {r('q')} AS q FROM e"))
@@ -93,14 +146,12 @@ def s10_sweep_cube(spark, d):
     return back.select(name[0].cast("int").alias("sample"), name[1].cast("int").alias("point"), "tone", rnd("i").alias("i"), rnd("q").alias("q"))
 
 
-@register("SELECT s_suppkey AS cal_order, 8.5e8 + s_suppkey*1.5e6 AS freq_hz, s_acctbal::DOUBLE/1e4 AS value_db FROM supplier")
+@register("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS cal_order, 8.5e8 + s_suppkey*1.5e6 AS freq_hz, s_acctbal::DOUBLE/1e4 AS value_db FROM supplier")
 def s12_calibration_text(spark, d):
+    """cal_order is the place of a line in its file."""
     path = new_path(spark, "calibration")
-    line = F.concat_ws(" ", F.col("freq_hz").cast("string"), F.col("value_db").cast("string"))
-    lines = inputs.cal_s(spark, d).orderBy("cal_order").select(line.alias("value"))
-    spark.createDataFrame([("# made",), ("freq value",)], "value string").union(lines).coalesce(1).write.text(path)
-    order = F.round((F.col("freq_hz") - 8.5e8) / 1.5e6).cast("long")
-    return text.read_calibration(spark, path).select(order.alias("cal_order"), "freq_hz", "value_db")
+    text.write_calibration(inputs.cal_s(spark, d), path)
+    return text.read_calibration(spark, path, "S").select("cal_order", "freq_hz", "value_db")
 
 
 @register(_with("p", "SELECT printf('K%03d', tone) AS name, round(freq_hz, 6) AS freq_hz, 1 AS all_flag, 0 AS none_flag FROM p"))
@@ -120,15 +171,14 @@ def s15_parquet_store(spark, d):
 def _landed(spark, d) -> str:
     """The recording as chunk files in a landing folder that executors share, by stream."""
     path = new_path(spark, "landing")
-    records.write_flat(inputs.frames_e(spark, d), path)
+    records.write_flat(inputs.frames_e(spark, d), path, frames_per_chunk=400)
     return path
 
 
-def _drained(spark, df, name, **options):
-    """What a stream gives for all that has landed by now."""
-    path = new_path(spark, name)
-    writer = df.writeStream.option("checkpointLocation", new_path(spark, f"{name}-state")).trigger(availableNow=True)
-    mode = options.get("mode")
+def _drained(spark, df, name, mode=None, path=None, state=None):
+    """What a stream gives for all that has landed by now; with path and state, after what it gave before."""
+    path, state = path or new_path(spark, name), state or new_path(spark, f"{name}-state")
+    writer = df.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     if mode:
         query = writer.outputMode(mode).foreachBatch(lambda b, k: b.write.mode("overwrite" if mode == "complete" else "append").parquet(path)).start()
     else:
@@ -143,6 +193,43 @@ def ts1_ts6_live_frames(spark, d):
     return out.select("stream_id", "packet_counter", "packet_error", "i", "q")
 
 
+@register(_with("fr", "SELECT stream_id, lpad((seq // 400)::VARCHAR, 12, '0') AS chunk, seq % 400 AS place, packet_counter, i[32] AS last_i FROM fr"))
+def ts1_chunks_in_ranges(spark, d):
+    """Chunks are read in ranges of 33 records, and batches of at most 250; a frame's place is that in its chunk."""
+    frames_ = live.live_frames(spark, _landed(spark, d), 32, records=33, per_trigger=250)
+    out = _drained(spark, frames_, "ranges")
+    return out.select("stream_id", F.regexp_extract("chunk", "chunk-([0-9]+)", 1).alias("chunk"), F.col("seq").alias("place"), "packet_counter", F.col("i")[31].alias("last_i"))
+
+
+def _with_ends(spark, d, ends) -> str:
+    """A landing folder whose chunks end in some more bytes each."""
+    from ..sources.sinks import write_files
+
+    path = new_path(spark, "short-ends")
+    packed = records.encode(inputs.frames_e(spark, d)).select(F.format_string("%s/c-%03d.bin", "stream_id", F.floor(F.col("seq") / 100)).alias("name"), F.col("seq").alias("place"), F.col("payload").alias("value"))
+    more = packed.groupBy("name").agg(F.max("place").alias("place")).select("name", F.col("place") + 1, ends)
+    write_files(packed.unionByName(more.toDF("name", "place", "value")), path)
+    return path
+
+
+@register(_with("fr", "SELECT count(*) AS n_frames, count(DISTINCT seq // 100) AS n_chunks FROM fr"))
+def ts2_keep_alives(spark, d):
+    """Empty chunks among the others give nothing."""
+    from ..sources.sinks import write_files
+
+    path = _with_ends(spark, d, F.lit("").cast("binary"))
+    alive = inputs.frames_e(spark, d).select(F.format_string("%s/c-%03d-alive.bin", "stream_id", F.floor(F.col("seq") / 100)).alias("name")).distinct()
+    write_files(alive.select("name", F.lit(0).cast("long").alias("place"), F.lit("").alias("value")), path)
+    return _drained(spark, live.live_frames(spark, path, 32), "alive").agg(F.count("*").alias("n_frames"), F.count_distinct("chunk").alias("n_chunks"))
+
+
+@register(_with("fr", "SELECT stream_id, packet_counter, packet_error, i, q FROM fr"))
+def ts3_short_last_records(spark, d):
+    """Each chunk ends in 13 bytes of a record that is not whole."""
+    out = _drained(spark, live.live_frames(spark, _with_ends(spark, d, F.lit("x" * 13).cast("binary")), 32, records=50), "short")
+    return out.select("stream_id", "packet_counter", "packet_error", "i", "q")
+
+
 @register(_with("fr", "SELECT stream_id, packet_counter, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + packet_counter*2000 AS us FROM fr"))
 def ts3_without_repeats(spark, d):
     """Chunk files that land twice, under two names, count once."""
@@ -155,11 +242,46 @@ def ts3_without_repeats(spark, d):
 
 @register(_with("fr", "SELECT stream_id, max(packet_counter) AS last_counter, count(*) AS n_frames, sum((step > 1)::INT)::BIGINT AS n_gaps, sum(coalesce(step - 1, 0))::BIGINT AS n_missing FROM (SELECT *, packet_counter - lag(packet_counter) OVER (PARTITION BY stream_id ORDER BY seq) AS step FROM fr) GROUP BY stream_id"))
 def ts4_live_gaps(spark, d):
-    out = _drained(spark, live.gaps(live.live_frames(spark, _landed(spark, d), 32)), "gaps", mode="update")
+    out = _drained(spark, counters.live_gaps(live.live_frames(spark, _landed(spark, d), 32)), "gaps", mode="update")
+    return _last_figures(out).drop("n_restarts", "n_late")
+
+
+def _last_figures(out):
     last = out.groupBy("stream_id").agg(F.max_by(F.struct(*[c for c in out.columns if c != "stream_id"]), "n_frames").alias("x"))
     return last.select("stream_id", "x.*")
 
 
+def _in_three_triggers(spark, d, derived, name, mode):
+    """What a stream gives over three triggers, with a restart of the query before each: chunks of 100 frames with wraps
+    and restarts of the counter, of which every third lands with each trigger, so that most land late."""
+    frames_ = inputs.frames_e(spark, d).drop("packet_counter").join(_restarted(spark, d).select("seq", "packet_counter"), "seq")
+    landing, out, state = (new_path(spark, f"{name}-{x}") for x in ("landing", "out", "state"))
+    for k in (1, 2, 0):
+        records.write_flat(frames_.where(F.floor(F.col("seq") / 100) % 3 == k).select(*inputs.frames_e(spark, d).columns), landing, frames_per_chunk=100)
+        got = _drained(spark, derived(live.live_frames(spark, landing, 32)), name, mode, out, state)
+    return got
+
+
+_STEPPED = f"SELECT *, (c - p + 4294967296) % 4294967296 AS step FROM ({_EPOCHS})"
+
+
+@register(_with("fr", f"SELECT stream_id, arg_max(c, seq) AS last_counter, count(*) AS n_frames, sum((again = 0 AND step > 1)::INT)::BIGINT AS n_gaps, sum(CASE WHEN again = 0 AND step > 0 THEN step - 1 ELSE 0 END)::BIGINT AS n_missing, sum(again)::BIGINT AS n_restarts, 0::BIGINT AS n_late FROM ({_STEPPED}) GROUP BY stream_id"))
+def ts4_live_gaps_over_wraps(spark, d):
+    return _last_figures(_in_three_triggers(spark, d, counters.live_gaps, "wraps", "update"))
+
+
+@register(_with("fr", f"SELECT stream_id, c AS packet_counter, epoch, counter64::BIGINT AS counter64, round((counter64 - first_value(counter64) OVER (PARTITION BY epoch ORDER BY seq)) / 500.0, 6) + 0.0 AS t FROM ({_EPOCHS})"))
+def ts6_trigger_times(spark, d):
+    """Chunks land in order, half of them before a restart of the query."""
+    frames_ = inputs.frames_e(spark, d).drop("packet_counter").join(_restarted(spark, d).select("seq", "packet_counter"), "seq").select(*inputs.frames_e(spark, d).columns)
+    half = frames_.agg(F.floor(F.max("seq") / 200) * 100).first()[0]
+    landing, out, state = (new_path(spark, f"times-{x}") for x in ("landing", "out", "state"))
+    for part in (F.col("seq") < half, F.col("seq") >= half):
+        records.write_flat(frames_.where(part), landing, frames_per_chunk=100)
+        got = _drained(spark, counters.live_trigger_times(live.live_frames(spark, landing, 32), 500.0), "times", "append", out, state)
+    return got.select("stream_id", "packet_counter", "epoch", "counter64", rnd("t").alias("t"))
+
+
 @register(_with("fr", "SELECT stream_id, count(*) AS n_frames, sum(packet_error)::BIGINT AS n_errors FROM fr GROUP BY stream_id"))
 def ts5_live_errors(spark, d):
     return _drained(spark, live.running_errors(live.live_frames(spark, _landed(spark, d), 32)), "errors", mode="complete")

@@ -119,6 +119,50 @@ def a9_median_slope(spark, d):
     return _rounded(sweeps.median_slope(sweeps.phase_slope(sweeps.unwrap_tones(_response(inputs.sweep_e(spark, d))))).withColumn("median_slope", F.col("median_slope") * 1e6), median_slope=6)
 
 
+#: Sweep L with tones that overlap: 35 kHz apart, and seven points of 10 kHz; no two points have one frequency.
+_OVERLAP = RESP_L.replace("any_value(f) AS f", "1e9 + tone*35000 + point*10000 AS f")
+_BY_F = [x.replace("ORDER BY tone, point", "ORDER BY f") for x in (UNWRAP, SLOPE)]
+
+
+@register(_with(f"l | {_OVERLAP} | {_BY_F[0]} | {_BY_F[1]}", f"SELECT sweep_id, tone, point, {r('uphase')} AS uphase, {r('slope*1e6')} AS slope FROM sl"))
+def w6_w7_by_frequency(spark, d):
+    """A sweep flattened in order of frequency, in ranges of 1,000 rows."""
+    resp = _response(inputs.sweep_l(spark, d)).withColumn("f", F.lit(1e9) + F.col("tone") * 35000.0 + F.col("point") * 10000.0)
+    out = sweeps.frequency_slopes(resp, 1000)
+    return out.select("sweep_id", "tone", "point", rnd("uphase").alias("uphase"), rnd(F.col("slope") * 1e6).alias("slope"))
+
+
+_POINTS = "dwell AS (SELECT point, point * 20 AS first_counter, point * 20 + 14 AS last_counter FROM (SELECT DISTINCT packet_counter // 20 AS point FROM fr))"
+
+
+@register(_with(f"fr | {_POINTS}", f"SELECT 'W' AS sweep_id, t::INT AS tone, point, {r('avg(i[t+1])')} AS i, {r('avg(q[t+1])')} AS q, {r('stddev_pop(i[t+1])', 3)} AS ei, count(*) AS n FROM fr JOIN dwell ON packet_counter BETWEEN first_counter AND last_counter, range(32) r(t) WHERE packet_error = 0 GROUP BY t, point"))
+def wf2_recording_to_sweep(spark, d):
+    """Frames E as a recording of a sweep that dwells for 15 counts at each point, with 5 between: its response, without
+    frames that have an error."""
+    fr = inputs.frames_e(spark, d).withColumn("counter64", F.col("packet_counter"))
+    point = F.floor(F.col("packet_counter") / 20)
+    points = fr.select("stream_id", point.alias("point")).distinct().select(F.lit("W").alias("sweep_id"), "stream_id", "point", (F.col("point") * 20).alias("first_counter"), (F.col("point") * 20 + 14).alias("last_counter"))
+    out = sweeps.response(sweeps.samples_of_points(fr, points), drop_errors=True)
+    return out.select("sweep_id", "tone", "point", rnd("i").alias("i"), rnd("q").alias("q"), rnd("ei", 3).alias("ei"), "n")
+
+
+@register(_with("l", "SELECT sweep_id, count(DISTINCT (tone, point)) AS n_landed, count(DISTINCT (tone, point)) / 10007.0 AS share, count(DISTINCT (tone, point)) = 10007.0 AS complete FROM l WHERE sample % 211 < 2 GROUP BY sweep_id").replace("AS f FROM lineitem", "AS f, l_orderkey AS sample FROM lineitem").replace("10007.0", "(7 * (SELECT max(l_suppkey) + 1.0 FROM lineitem))"))
+def a10_landed_bitmaps(spark, d):
+    """Samples of some orders, in two batches whose bitmaps are merged."""
+    samples = inputs.table(spark, d, "lineitem").select(F.lit("L").alias("sweep_id"), F.col("l_suppkey").cast("int").alias("tone"), (F.col("l_linenumber") - 1).cast("int").alias("point"), F.col("l_orderkey").alias("sample")).where("sample % 211 < 2")
+    tones = inputs.table(spark, d, "lineitem").agg(F.max("l_suppkey")).first()[0] + 1
+    halves = [sweeps.landed_bitmaps(samples.where(f"sample % 2 = {k}"), 7, tones) for k in (0, 1)]
+    return sweeps.landed(sweeps.merge_bitmaps(*halves), 7, tones)
+
+
+@register("WITH k AS (SELECT l_suppkey::INT AS tone, (l_linenumber - 1)::INT AS point FROM lineitem WHERE l_orderkey % 211 < 2) SELECT 'L' AS sweep_id, t::INT AS tone, p::INT AS point FROM range((SELECT max(l_suppkey) + 1 FROM lineitem)) a(t), range(7) b(p) WHERE (t, p) NOT IN (SELECT (tone, point) FROM k)")
+def a10_missing_places(spark, d):
+    line = inputs.table(spark, d, "lineitem")
+    samples = line.where("l_orderkey % 211 < 2").select(F.lit("L").alias("sweep_id"), F.col("l_suppkey").cast("int").alias("tone"), (F.col("l_linenumber") - 1).cast("int").alias("point"))
+    tones = line.agg(F.max("l_suppkey")).first()[0] + 1
+    return sweeps.missing_places(sweeps.landed_bitmaps(samples, 7, tones), 7, tones)
+
+
 _FLIP = "fl AS (SELECT sweep_id, tone, point, f, ei, eq, CASE WHEN ((b % 2) + 2) % 2 = 1 THEN -i ELSE i END AS i, CASE WHEN ((b % 2) + 2) % 2 = 1 THEN -q ELSE q END AS q FROM (SELECT *, round_even((4e9-f-1024e6)/1024e6*4096, 0) AS b FROM resp))"
 _ROT = _with(f"e | {RESP_E} | {_FLIP} | {UNWRAP.replace('FROM resp)', 'FROM fl)')} | {SLOPE} | m AS (SELECT sweep_id, quantile_cont(slope, 0.5) AS ms FROM sl WHERE slope IS NOT NULL GROUP BY sweep_id) | rt AS (SELECT sweep_id, tone, point, f, ei, eq, i*cos(th)+q*sin(th) AS i, q*cos(th)-i*sin(th) AS q FROM (SELECT fl.*, round(ms*1e9, 3)/1e9*f+{PI} AS th FROM fl JOIN m USING (sweep_id)))", "")
 

@@ -10,12 +10,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..schemas import FLAGS, FRAMES, SIDECAR
+from .sinks import write_files
 
 #: Tones and bytes of a full frame: fixed values of the format.
 FULL_TONES, TRAILER = 2048, FLAGS + 2
@@ -332,28 +333,24 @@ def write_recording(frames: DataFrame, path: str, num_tones: int | None = None)
     ranged.write.mode("overwrite").partitionBy("stream_id").parquet(path)
 
 
-def write_flat(frames: DataFrame, path: str, num_tones: int | None = None, prefix: str = "chunk") -> None:
-    """Flat chunk files of packed records under a folder that all executors share (a path or URI that pyarrow opens), chunk
-    by chunk in order of seq: their concatenation by name is the recording. A retried task replaces its own chunk whole."""
-    ranged = encode(frames, num_tones).repartitionByRange("stream_id", "seq").sortWithinPartitions("stream_id", "seq")
-
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        files, root = open_store(path)
-        k, handles = TaskContext.get().partitionId(), {}
-        for b in batches:
-            ids = np.array(b.column("stream_id").to_pylist(), object)
-            for stream in dict.fromkeys(ids):
-                if stream not in handles:
-                    files.create_dir(f"{root}/{stream}", recursive=True)
-                    handles[stream] = files.open_output_stream(f"{root}/{stream}/{prefix}-{k:06d}.bin")
-                handles[stream].write(b"".join(b.column("payload").filter(pa.array(ids == stream)).to_pylist()))
-        for h in handles.values():
-            h.close()
-        yield pa.RecordBatch.from_arrays([pa.array([*handles], pa.string())], ["stream_id"])
-
-    ranged.mapInArrow(written, "stream_id string").write.format("noop").mode("overwrite").save()
+def write_flat(frames: DataFrame, path: str, num_tones: int | None = None, prefix: str = "chunk", frames_per_chunk: int = 65_536) -> None:
+    """Flat chunk files of packed records, path/<stream_id>/<prefix>-<number>.bin, by ranges of seq: their concatenation by
+    name is the recording. Files are committed whole (sinks.write_files)."""
+    number = F.lpad(F.floor(F.col("seq") / frames_per_chunk).cast("string"), 12, "0")
+    name = F.concat_ws("/", "stream_id", F.concat(F.lit(f"{prefix}-"), number, F.lit(".bin")))
+    write_files(encode(frames, num_tones).select(name.alias("name"), F.col("seq").alias("place"), F.col("payload").alias("value")), path)
+
+
+def write_recording_files(frames: DataFrame, path: str, meta: dict | None = None) -> None:
+    """Flat files path/<stream_id>.bin of whole recordings, each with its sidecar path/<stream_id>.json, as
+    read_recording(spark, path) reads them. meta: more members of the sidecar, constants or columns."""
+    write_files(encode(frames).select(F.concat("stream_id", F.lit(".bin")).alias("name"), F.col("seq").alias("place"), F.col("payload").alias("value")), path)
+    at = F.col("n") * 2
+    said = {"num_tones": F.col("n"), "format": F.lit("<i4"), "index_err": at + FLAGS + 1, "index_cnt": at + FLAGS, **{f"index_flag_{k}": at + k for k in range(FLAGS)}, "ordering": F.lit("i0,q0,i1,q1")}
+    more = {k: v if isinstance(v, Column) else F.lit(v) for k, v in (meta or {}).items()}
+    streams = frames.groupBy("stream_id").agg(F.max(F.size("i")).alias("n"), *[F.max(v).alias(f"_{k}") for k, v in more.items()])
+    text = F.to_json(F.struct(*[v.alias(k) for k, v in said.items()], *[F.col(f"_{k}").alias(k) for k in more]))
+    write_files(streams.select(F.concat("stream_id", F.lit(".json")).alias("name"), F.lit(0).cast("long").alias("place"), text.alias("value")), path)
 
 
 def read_packed(spark: SparkSession, path: str, num_tones: int, keep: int | None = None) -> DataFrame:

@@ -284,3 +284,71 @@ def test_time_and_continuity_over_a_wrap_and_a_restart(spark):
     assert [r.t for r in frames.counter_time(rows, 2.0).orderBy("seq").collect()] == [0.0, 0.5, 1.0, 2.5, 0.0, 0.5, 1.0]
     r = frames.continuity(rows, 3).first()
     assert (r.n_frames, r.contiguous, r.n_missing, r.n_restarts) == (7, False, 2, 1)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_slopes_by_frequency_are_those_of_numpy(spark, parts):
+    rng = np.random.default_rng(9)
+    n = 300
+    f = rng.permutation(np.cumsum(rng.uniform(0.5, 2, n)))
+    tone = rng.integers(0, 4, n)  # tones overlap
+    z = np.exp(1j * (f * 0.9 + rng.normal(0, 0.3, n)))
+    got = {r.point: (r.uphase, r.slope) for r in sweeps.frequency_slopes(sweep(spark, z, f, tone.tolist()).repartition(parts), rows=n // parts).collect()}
+    order = np.argsort(f)
+    phase = np.unwrap(np.angle(z[order]))
+    slope = np.gradient(phase, f[order])
+    assert all(np.allclose(got[int(k)], (phase[at], slope[at])) for at, k in enumerate(order))
+
+
+def test_median_of_equal_slopes_is_one_counted_row(spark):
+    rng = np.random.default_rng(1)
+    values = {"a": [7.0] * 100_000 + [1.0] * 10 + [9.0] * 7, "b": rng.normal(0, 1, 20_001).tolist(), "c": [1.0, 2.0, float("nan"), None], "d": [3.0] * 5 + [4.0] * 5}
+    slopes = spark.createDataFrame([(k, v) for k, x in values.items() for v in x], "sweep_id string, slope double")
+    got = {r.sweep_id: r.median_slope for r in sweeps.median_slope(slopes).collect()}
+    assert got == {k: float(np.nanmedian(np.array(x, float))) for k, x in values.items()}
+    assert sweeps.median_slope(slopes.limit(0)).count() == 0
+
+
+def test_bitmaps_of_landed_places_merge(spark):
+    rng = np.random.default_rng(3)
+    points, tones = 1000, 70  # three buckets
+    places = [(int(k) // points, int(k) % points) for k in rng.permutation(points * tones)[:60_000]]
+    rows = spark.createDataFrame([("s", t, p) for t, p in places] + [("t", 0, 0), ("t", 69, 999), ("t", 70, 0), ("t", 0, 1000)], "sweep_id string, tone int, point int")
+    halves = [sweeps.landed_bitmaps(rows.where(f"point % 2 = {k}").union(rows.where("tone = 3")), points, tones) for k in (0, 1)]
+    merged = sweeps.merge_bitmaps(*halves)
+    got = {r.sweep_id: (r.n_landed, r.complete) for r in sweeps.landed(merged, points, tones).collect()}
+    assert got == {"s": (60_000, False), "t": (2, False)}
+    missing = {(r.tone, r.point) for r in sweeps.missing_places(merged, points, tones).where("sweep_id = 's'").collect()}
+    assert missing == {(t, p) for t in range(tones) for p in range(points)} - set(places)
+    assert sweeps.missing_places(merged, points, tones).where("sweep_id = 't'").count() == points * tones - 2
+    whole = spark.range(6).selectExpr("'w' sweep_id", "cast(id div 3 as int) tone", "cast(id % 3 as int) point")
+    assert sweeps.landed(sweeps.landed_bitmaps(whole, 3, 2), 3, 2).first().complete
+
+
+def test_recording_meets_its_points(spark):
+    frames_ = spark.createDataFrame([("r", c, int(c % 10 == 3), [c, 2 * c], [0, 1]) for c in range(9000) if c % 7], "stream_id string, counter64 long, packet_error int, i array<int>, q array<int>")
+    points = spark.createDataFrame([("s", "r", 0, 10, 19), ("s", "r", 1, 15, 30), ("s", "r", 2, 100, 8999), ("s", "r", 3, 20_000, 20_010), ("s", "other", 4, 0, 10)], "sweep_id string, stream_id string, point int, first_counter long, last_counter long")
+    got = sorted((r.point, r.sample, r.tone, r.i) for r in sweeps.samples_of_points(frames_, points).collect())
+    want = sorted((p, c - a, t, float(c * (t + 1))) for p, a, b in ((0, 10, 19), (1, 15, 30), (2, 100, 8999)) for c in range(a, b + 1) if c % 7 for t in range(2))
+    assert got == want
+    clean = sweeps.response(sweeps.samples_of_points(frames_, points), drop_errors=True).where("point = 0 AND tone = 0").first()
+    assert clean.n == len([c for c in range(10, 20) if c % 7 and c % 10 != 3])
+    raw = spark.createDataFrame([("s", k, 0, 0, float(k), 0.0) for k in range(4)], "sweep_id string, sample int, point int, tone int, i double, q double")
+    acc = spark.createDataFrame([("s", k, 0, 100 + k, int(k == 2)) for k in range(3)], "sweep_id string, sample int, point int, acc_count long, acc_err int")
+    assert sweeps.response(sweeps.with_accumulations(raw, acc), drop_errors=True).first().i == (0 + 1 + 3) / 3
+
+
+def test_differences_count_repeated_rows(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "z"), (3, None)], "k int, v string")
+    same = frames.differences(a, a.repartition(3), ["k"], ["v"]).first()
+    assert (same.n, same.n_different, same.equal) == (5, 0, True)
+    b = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "w"), (4, "q")], "k int, v string")
+    r = frames.differences(a, b, ["k"], ["v"]).first()
+    assert (r.n, r.n_different, r.equal) == (6, 4, False)
+    assert frames.differences(a.limit(0), b.limit(0), ["k"], ["v"]).first().equal
+
+
+def test_of_several_headers_the_first_is_taken(spark):
+    rows = spark.createDataFrame([("a", 1)], "stream_id string, seq long")
+    heads = spark.createDataFrame([("a", 2, {"x": "2"}), ("a", 1, {"x": "1"})], "stream_id string, rate int, info map<string,string>")
+    assert all(frames.with_header(rows, heads.repartition(n)).first().rate == 1 for n in (1, 2, 5))

@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from iqspark.operators import frames as ops
@@ -239,3 +240,102 @@ def test_recording_stream_reads_growing_and_large_chunks_once(spark, folder):
     got = trigger()
     assert len(got) == 302 and got[-1][:2] == ("a.bin", 301)
     assert trigger() == got
+
+
+def test_files_by_layouts_of_their_sidecars(spark, folder):
+    """Files with permuted trailers, other words, planar tones and different widths in one call, and one without a sidecar."""
+    import json
+
+    rng = np.random.default_rng(2)
+    want = []
+
+    def put(name, tones, word, order, planar, n=40):
+        i, q = (rng.integers(-100, 100, (n, tones)) for _ in range(2))
+        trailer = {"index_cnt": np.arange(n), "index_err": rng.integers(0, 2, n), **{f"index_flag_{k}": rng.integers(0, 2, n) for k in range(8)}}
+        z = np.concatenate([i, q], axis=1) if planar else np.stack([i, q], axis=2).reshape(n, -1)
+        words = np.concatenate([z, np.stack([trailer[k] for k in order], axis=1)], axis=1).astype(word)
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(words.tobytes() + b"\1")
+        said = {"num_tones": tones, "format": word, "ordering": "I_tone0, I_tone1, .. Q_tone0" if planar else "I_tone0_sample_0, Q_tone0_sample0, I_tone1_sample0", **{k: 2 * tones + at for at, k in enumerate(order)}}
+        want.extend((name.removesuffix(".bin"), k, k, int(trailer["index_err"][k]), [int(trailer[f"index_flag_{j}"][k]) for j in range(8)], i[k].tolist(), q[k].tolist()) for k in range(n))
+        return said
+
+    plain = [*[f"index_flag_{k}" for k in range(8)], "index_cnt", "index_err"]
+    for name, args in {"a": (3, "<i4", plain, False), "b.bin": (2, ">i2", plain[::-1], False), "c": (4, "<i8", plain[5:] + plain[:5], True)}.items():
+        with open(f"{folder}/{name.removesuffix('.bin')}.json", "w") as f:
+            json.dump(put(name, *args), f)
+    got = records.read_recording(spark, folder, records=7)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    put("d", 5, "<i4", plain, False)
+    assert sorted(map(tuple, records.read_recording(spark, folder, 5).collect())) == sorted(want)
+    assert {tuple(map(len, (r.i, r.q))) for r in records.read_recording(spark, f"{folder}/c", keep=2).collect()} == {(2, 2)}
+
+
+def test_recording_files_round_trip(spark, folder):
+    both = make(spark, 50, 3, "x").union(make(spark, 20, 2, "y", first=5))
+    records.write_recording_files(both, f"{folder}/r", {"sample_rate": 500.0})
+    assert sorted(os.listdir(f"{folder}/r")) == ["x.bin", "x.json", "y.bin", "y.json"]
+    assert open(f"{folder}/r/x.bin", "rb").read() == packed(both.where("stream_id = 'x'"))
+    assert rows(records.read_recording(spark, f"{folder}/r"), ["stream_id", *COLS]) == rows(both, ["stream_id", *COLS])
+    assert {(r.stream_id, r.num_tones, r.sample_rate) for r in records.sidecar(spark, f"{folder}/r/*.json").collect()} == {("x", 3, 500.0), ("y", 2, 500.0)}
+
+
+def test_sinks_commit_whole_files_in_ranges(spark, folder, monkeypatch):
+    from iqspark.sources import sinks
+
+    monkeypatch.setattr(sinks, "RANGE", 10)
+    lines = spark.range(1000).selectExpr("concat('f', id % 3) name", "id place", "concat('line ', id, '\n') value").repartition(7)
+    sinks.write_files(lines, f"file://{folder}/out")
+    for k in range(3):
+        assert open(f"{folder}/out/f{k}").read() == "".join(f"line {x}\n" for x in range(k, 1000, 3))
+    failing = lines.withColumn("value", F.expr("if(place = 777, raise_error('lost'), upper(value))"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_files(failing, f"{folder}/out")
+    assert sorted(os.listdir(f"{folder}/out")) == ["f0", "f1", "f2"] and open(f"{folder}/out/f0").read().startswith("line 0")
+    sinks.write_files(lines.where("place < 30"), f"{folder}/out")
+    assert open(f"{folder}/out/f1").read() == "".join(f"line {x}\n" for x in range(1, 30, 3))
+    with pytest.raises(Exception, match="no name of a file"):
+        sinks.write_files(lines.withColumn("name", F.lit("../x")), f"{folder}/out")
+    with pytest.raises(Exception, match="shared file system"):
+        sinks.write_files(lines, "s3://bucket/x")
+
+
+def test_headers_shape_what_is_read(spark, folder):
+    a, b = make(spark, 30, 3, "a"), make(spark, 20, 12, "b")
+    text.write_frames_csv(a, f"{folder}/f", None, {"date": "x", "sample_rate": 500.0}, "samples")
+    text.write_frames_csv(b, f"{folder}/f", None, {"date": "y", "sample_rate": 250.0}, "stream")
+    got = text.read_frames_csv(spark, f"{folder}/f")
+    assert rows(got, ["stream_id", *COLS]) == rows(a.union(b), ["stream_id", *COLS])
+    assert {(r.stream_id, r.date, r.sample_rate, len(r.tones)) for r in got.collect()} == {("a", "x", 500.0, 3), ("b", "y", 250.0, 12)}
+    assert rows(text.read_samples_csv(spark, f"{folder}/f/a.csv"), COLS) == rows(a, COLS)
+    two = long_sweep(spark).withColumn("sweep_id", F.when(F.col("tone") == 1, "v").otherwise("w"))
+    text.write_sweep_csv(two, f"{folder}/s", None, {"num_points": 5})
+    cols = ["sweep_id", "tone", "point", "f", "i", "q", "ei", "eq"]
+    assert sorted(os.listdir(f"{folder}/s")) == ["v.csv", "w.csv"]
+    assert rows(text.read_sweep_csv(spark, f"{folder}/s"), cols) == rows(two, cols)
+
+
+def test_documents_of_two_streams_and_sweeps(spark, folder):
+    import json
+
+    both = make(spark, 30, 3, "x").union(make(spark, 20, 2, "y"))
+    text.write_json_document(both, f"{folder}/j", None, {"sample_rate": 500.0})
+    said = {n: json.load(open(f"{folder}/j/{n}.json")) for n in "xy"}
+    assert (said["y"]["num_tones"], said["y"]["num_samples"], said["y"]["sample_rate"]) == (2, 20, 500.0)
+    assert said["x"]["i_data"]["0002"] == [k * 2 - 5 for k in range(30)] and said["x"]["stream_flags"]["flag3"] == [k % 2 for k in range(30)]
+    got = text.read_json_document(spark, f"{folder}/j")
+    assert rows(got, ["stream_id", "seq", "packet_counter", "packet_error", "flags", "tone", "i", "q"])[0][0] == "x" and got.count() == 30 * 3 + 20 * 2
+    two = long_sweep(spark).union(long_sweep(spark).withColumns({"sweep_id": F.lit("v"), "i": F.lit(float("nan"))}))
+    text.write_sweep_document(two, f"{folder}/s", {"date": "x"})
+    back = text.read_sweep_document(spark, f"{folder}/s")
+    assert rows(back.where("sweep_id = 'w'"), ["tone", "point", "f", "i", "q"]) == rows(long_sweep(spark), ["tone", "point", "f", "i", "q"])
+    assert back.where("sweep_id = 'v' AND i IS NULL").count() == 15
+
+
+def test_calibration_order_is_that_of_the_files(spark, folder):
+    os.makedirs(f"{folder}/cal")
+    for name, n in (("a", 2), ("b", 4000)):
+        with open(f"{folder}/cal/{name}.txt", "w") as f:
+            f.write("# made\nfreq value\n" + "".join(f"{k}e3 {k}\n" for k in range(n)))
+    got = [(r.freq_hz, r.value_db) for r in text.read_calibration(spark, f"{folder}/cal").orderBy("cal_order").collect()]
+    assert got == [(k * 1e3, float(k)) for n in (2, 4000) for k in range(n)]
