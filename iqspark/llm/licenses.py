@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .signatures import signatures
-from .textkit import slices
+from .textkit import slices, texts_of
 
 #: The base phrases and their labels: fixed values.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -127,7 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "text"):
                 rows = []
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts_of(piece.column("text")), strict=True):
                     n, base, first, last, own, spans = s.scan(text)
                     score = max([0.4 if own else 0.0, *(x[3] for x in spans)])
                     rows.append((doc_id, n, base, first, last, ",".join(own), ",".join(sorted({*own, *(x[0] for x in spans)})), score, [dict(zip(("label", "start", "end", "score"), x, strict=True)) for x in spans]))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import Words, mix, power, slices, windows, words
+from .textkit import Words, mix, power, slices, texts_of, windows, words
 
 _U = np.uint64
 _SYMBOLS = "#*$%&|<>"
@@ -129,7 +129,7 @@ def quality(docs: DataFrame, least: int = 10, most_covered: float = 0.3, most_re
                 w = words(piece.column("text"))
                 got = repeat_figures(w, least)
                 n_words = np.diff(w.first)
-                plain = np.array([_plain_figures(t or "") for t in piece.column("text").to_pylist()], np.int64).reshape(-1, 3)
+                plain = np.array([_plain_figures(t or "") for t in texts_of(piece.column("text"))], np.int64).reshape(-1, 3)
                 failed = (n_words < 50) | (100 * got["n_repeat_words"] > 50 * n_words)
                 kept = ~failed & (got["covered_words"] <= most_covered * n_words) & (got["longest_repeat"] <= most_repeated)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), *[pa.array(c.astype(np.int64)) for c in (n_words, plain[:, 0], plain[:, 1], plain[:, 2], got["n_repeat_words"], got["covered_words"], got["longest_repeat"])], pa.array(failed), pa.array(kept)], _NAMES)

@@ -92,6 +92,15 @@ def words(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:
     return Words(data, start, end, doc, first, len(texts))
 
 
+def texts_of(column: pa.Array) -> list[str | None]:
+    """The texts of a column; bytes that are no UTF-8 become U+FFFD, as in decoding with replacement."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        raw = column.cast(pa.large_string()).view(pa.large_binary()).to_pylist()
+        return [None if x is None else x.decode(errors="replace") for x in raw]
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 500_000, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of bounded size; a longer text is a piece of its own. Arrow's free memory goes back after the last."""
     size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
