@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .textkit import slices
+from .textkit import slices, texts_of
 
 DIM = 1 << 14  # hashed n-grams of 1 to 3 characters
 _MULT = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
@@ -73,7 +74,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(DIM, np.int64), 0
     for batch in batches:
         for piece in slices(batch, "text"):
-            for text in piece.column("text").to_pylist():
+            for text in texts_of(piece.column("text")):
                 df += gram_counts(text) > 0
                 n += 1
     at = np.append(np.flatnonzero(df), -1)
@@ -85,23 +86,27 @@ CUTS = (3, 6, 12, 24, 48, 96)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, fold, grams, logs) of each text; of those held back (fold 0) also of a part of each length of CUTS."""
+    """(lang, fold, whole, grams, logs) of each text; of those held back (fold 0) also of a part of each length of CUTS."""
     for batch in batches:
         for piece in slices(batch, "text"):
             rows = []
-            for lang, fold, text in zip(piece.column("lang").to_pylist(), piece.column("fold").to_pylist(), piece.column("text").to_pylist(), strict=True):
+            for lang, fold, text in zip(piece.column("lang").to_pylist(), piece.column("fold").to_pylist(), texts_of(piece.column("text")), strict=True):
                 parts = [text]
                 if fold == 0:
                     parts += [text[at : at + n] for n in CUTS if n < len(text) for at in (zlib.crc32(text.encode(errors="replace")) % (len(text) - n + 1),)]
                 for part in filter(has_letter, parts):
                     counts = gram_counts(part)
                     at = np.flatnonzero(counts)
-                    rows.append((lang, fold, at.astype(np.uint16).tobytes(), (1 + np.log(counts[at])).astype(np.float32).tobytes()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["lang", "fold", "grams", "logs"])
+                    rows.append((lang, fold, part is text, at.astype(np.uint16).tobytes(), (1 + np.log(counts[at])).astype(np.float32).tobytes()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()], strict=True)], ["lang", "fold", "whole", "grams", "logs"])
 
 
-def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+#: Rows of a language of which all are drawn, and how many times at most a row of a rare language counts.
+LEAST_ROWS, MOST_WEIGHT = 20, 50.0
+
+
+def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, class_weights: np.ndarray | None = None, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal (McMahan et al., 2013) with elastic net on (grams, values, class) rows: weights and biases.
 
     Each weight is the closed-form minimiser of the linearised losses so far plus l1 and l2 penalties and proximal
@@ -121,7 +126,7 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int,
             w = solve(at)
             p = softmax(x @ w)
             p[y] -= 1
-            g = x[:, None] * p[None, :]
+            g = x[:, None] * p[None, :] * (1.0 if class_weights is None else class_weights[y])
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
@@ -150,48 +155,63 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(docs: DataFrame, rows_per_lang: int = 1000, most_rows: int = 20_000) -> Model:
-    """Fit on docs(doc_id, text, lang). idf counts every row, and every language is learned; the classifier is fitted on a
-    bounded sample: about rows_per_lang rows of each language and most_rows in all, chosen by a hash of doc_id and text,
-    of which a fifth is held back for the temperature, whole and cut to the lengths of CUTS. Rows with null text or lang,
-    or without letters, teach nothing."""
+def train(docs: DataFrame, rows_per_lang: int = 1000, most_rows: int = 20_000, most_langs: int = 1000) -> Model:
+    """Fit on docs(doc_id, text, lang). idf counts every row; the classifier is fitted on a bounded sample: about
+    rows_per_lang rows of each language and most_rows in all, chosen by a hash of doc_id and text. Of each language of
+    over LEAST_ROWS rows a fifth of the sample, by another hash, is held back for the temperature, whole and cut to the
+    lengths of CUTS, unless nothing would be left to learn from (as when its rows repeat); so every language is learned. A
+    row counts by how rare its language is in the sample (at most MOST_WEIGHT times), so that few rows are learned, too.
+    Of more than most_langs languages, those with most rows are learned, and that is logged; the model's size is bounded
+    by it. Rows with null text or lang, or without letters, teach nothing."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     df = {r["gram"]: r["n"] for r in known.select("text").mapInArrow(_frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     n = df.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIM)]))) + 1
-    per_lang = known.groupBy("lang").count().collect()
+    langs_of = known.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    per_lang = langs_of.limit(most_langs + 1).collect()
     if not per_lang:
         return Model([], idf, np.zeros((DIM, 0)), np.zeros(0), 1.0)
+    if len(per_lang) > most_langs:
+        logging.getLogger(__name__).warning("only the %d languages with most rows are learned", most_langs)
+        per_lang = per_lang[:most_langs]
     most = min(rows_per_lang, max(1, most_rows // len(per_lang)))
-    share = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], min(1.0, most / r["count"]))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) / 1e6
-    sample = known.where(drawn < share[F.col("lang")])
-    sample = sample.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int").alias("fold"), "text")
-    got = sample.mapInArrow(_features, "lang string, fold int, grams binary, logs binary").collect()
+    # Of a language of few rows all are drawn: a share of them could be none.
+    share = known.sparkSession.createDataFrame([(r["lang"], 1.0 if r["count"] <= LEAST_ROWS else min(1.0, max(most, 2 * LEAST_ROWS) / r["count"]), r["count"] <= LEAST_ROWS) for r in per_lang], "lang string, share double, few boolean")
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6
+    sample = known.join(F.broadcast(share), "lang").where(drawn < F.col("share"))
+    fold = F.when(F.col("few"), 1).otherwise(F.pmod(F.xxhash64("text", "doc_id"), F.lit(5)))
+    sample = sample.select("lang", fold.cast("int").alias("fold"), "text")
+    got = sample.mapInArrow(_features, "lang string, fold int, whole boolean, grams binary, logs binary").collect()
     langs = sorted({r["lang"] for r in per_lang})
     number = {lang: k for k, lang in enumerate(langs)}
     fit, held = [], []
+    taught = {r["lang"] for r in got if r["fold"] != 0}
     for r in sorted(got, key=lambda r: (r["lang"], bytes(r["grams"]), bytes(r["logs"]))):
         at = np.frombuffer(r["grams"], np.uint16).astype(np.int64)
         x = np.frombuffer(r["logs"], np.float32) * idf[at]
-        (held if r["fold"] == 0 else fit).append((at, x / np.sqrt(x @ x), number[r["lang"]]))
-    weights, bias = follow_leader(fit, len(langs))
+        row = (at, x / np.sqrt(x @ x), number[r["lang"]])
+        if r["fold"] == 0 and r["lang"] in taught:
+            held.append(row)
+        elif r["whole"]:
+            fit.append(row)
+    size = np.bincount([y for *_, y in fit], minlength=len(langs)) if fit else np.ones(len(langs))
+    weights, bias = follow_leader(fit, len(langs), np.minimum(size.max() / np.maximum(size, 1), MOST_WEIGHT))
     logits = np.array([x @ weights[at] + bias for at, x, _ in held]).reshape(len(held), len(langs))
     return Model(langs, idf, weights, bias, calibrate(logits, np.array([y for *_, y in held], int)))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score (two columns more; columns of these names are replaced). The model depends on text
-    alone; und and 0 for a null text or one without letters."""
-    at = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (two columns more, under other names if wanted; columns of these names are replaced).
+    The model depends on text alone; und and 0 for a null text or one without letters."""
+    at = [c for c in docs.columns if c not in names]
     docs = docs.select(*[F.col(f"`{c}`") for c in at])
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                out = [model.predict(t) for t in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*at, "lang_pred", "score"])
+                out = [model.predict(t) for t in texts_of(piece.column("text"))]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*at, *names])
 
     return docs.mapInArrow(predicted, schema)
 
