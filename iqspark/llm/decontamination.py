@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import bounded, discard, materialize, text_key
 from .textkit import mix, slices, windows, words
 
 _U = np.uint64
@@ -177,7 +177,9 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, min_windows: int = 3
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text, text_key(F.col("text")).alias("text_key")).mapInArrow(_window_rows(keep, lengths), _ROWS).withColumnRenamed("id", "doc_id")
     # Windows that an item repeats with the same values are one row that counts as often, so copies never multiply.
     items = items.groupBy("item_id", "h", "item_slots", "item_windows").agg(F.min("item_at").alias("item_at"), F.count("*").alias("times"))
-    hits = materialize(rows.distinct().select("doc_id", "text_key", "h", "slots", "at").join(items, "h"), "hits")
+    rows = materialize(rows.distinct().select("doc_id", "text_key", "h", "slots", "at"), "windows")
+    hits = materialize(with_candidates(rows, items, min_windows, min_share), "hits")
+    discard(rows)
     # Place p has the begins in the p-th quarter of an item and in the next one.
     step = F.expr("(item_windows + 7) div 4 + 1")
     quarter = F.floor((F.col("at") - F.col("item_at")) / step).cast("long")
@@ -202,11 +204,36 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, min_windows: int = 3
     return found.select("doc_id", "item_id", "windows", "item_windows", "reparameterised", "text_key")
 
 
+def with_candidates(rows: DataFrame, items: DataFrame, min_windows: int, min_share: float) -> DataFrame:
+    """rows(doc_id, text_key, h, slots, at) joined with items by h, for all pairs of a document and an item that can match.
+
+    A match needs k of an item's windows, k being the larger of min_share of them and min_windows (or all). Of all T rows
+    that an item has here (with what it repeats, and windows with names twice), it so has one of any T - k + 1, and those
+    that the fewest items have are enough to find all pairs; only the windows of found pairs are joined in full, by pair. A window that many items share, such as an instruction
+    that stands in all of them, so meets no document but those that hold some rarer window of the item; items that have
+    nothing but shared windows find theirs by them. No window is left out of a pair.
+    """
+    shared = items.groupBy("h").agg(F.count_distinct("item_id").alias("n_items"))
+    needed = F.greatest(F.least(F.lit(min_windows), F.col("item_windows")), F.ceil(F.lit(min_share) * F.col("item_windows")))
+    ordered = Window.partitionBy("item_id", "item_windows").orderBy("n_items", "h", "item_at")
+    before = F.coalesce(F.sum("times").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("times").over(Window.partitionBy("item_id", "item_windows"))
+    ranked = items.join(shared, "h").withColumns({"before": before, "total": total})
+    rare = ranked.where(F.col("before") <= F.col("total") - needed).select("h", "item_id").distinct()
+    pairs = rows.select("doc_id", "text_key", "h").distinct().join(rare, "h").select("doc_id", "text_key", "item_id").distinct()
+    # The windows of found pairs: a document's, by pair, and the item's by item and hash.
+    key = [F.col("doc_id").alias("d"), F.col("text_key").alias("t")]
+    own = pairs.select(*key, "item_id")
+    met = rows.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).drop("d", "t")
+    return met.join(items, ["item_id", "h"]).select("h", *[c for c in rows.columns if c != "h"], *[c for c in items.columns if c != "h"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, contaminated, n_items, item_ids, reparameterised) of every row of docs; item_ids is sorted. Rows
-    without a doc_id count as not contaminated here; template_matches, and the pipeline with it, judges them too."""
+    """(doc_id, contaminated, n_items, item_ids, reparameterised) of every row of docs; item_ids is sorted. Rows without a
+    doc_id are judged by their text."""
     own = [F.col("doc_id").alias("d"), F.col("text_key").alias("t")]
-    found = template_matches(docs.where("doc_id IS NOT NULL"), benchmark).groupBy(*own).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.bool_or("reparameterised").alias("reparameterised"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k")).join(found, (F.col("doc_id") == F.col("d")) & (F.col("k") == F.col("t")), "left")
+    found = template_matches(docs, benchmark).groupBy(*own).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.bool_or("reparameterised").alias("reparameterised"))
+    found = bounded(found, "contaminated")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k")).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("t")), "left")
     none = F.array().cast("array<long>")
-    return out.select("doc_id", F.col("d").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))
+    return out.select("doc_id", F.col("t").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))
