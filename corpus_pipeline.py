@@ -16,12 +16,13 @@ LEAST_SCORE = 0.5
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: und (no letters) and scores under LEAST_SCORE go."""
     model = language_id.train(docs.where(~language_id.held_out()))
-    return language_id.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    names = ("__lang_pred", "__score")
+    return language_id.predict(docs, model, names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SCORE)).drop(*names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row that comes first of each group of near copies, by doc_id (rows without one last); texts without words all
-    stay. Rows are told apart by doc_id and text: those with equal ids and texts become one. Texts are not shuffled while
+    stay. Rows are told apart by doc_id and text: those with equal ids and texts become one, the one whose JSON comes first. Texts are not shuffled while
     the rows that go, or that repeat, are few."""
     own = [F.col("doc_id").alias("d"), F.col("text_key").alias("t")]
     found = ngram_join.similar_rows(docs).groupBy(*own).agg(F.max("n").alias("n"), F.max("first").alias("first"), F.count("*").alias("c"))
@@ -31,7 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     left = docs.join(gone, same_row(docs, gone), "left_anti")
     once = left.join(repeated, same_row(left, repeated), "left_anti")
     again = left.join(repeated, same_row(left, repeated), "left_semi").groupBy(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("t"))
-    return once.union(again.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    row = F.struct(*docs.columns)
+    return once.union(again.agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
 
 
 def same_row(docs: DataFrame, keys: DataFrame) -> Column:
