@@ -17,7 +17,7 @@ PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Integer components lie within so much of 0, so that sums of squares fit 64 bits.
 MOST = 2**25
 #: Vectors of a block (one set of trees), and points of a ball that is not divided.
-BLOCK_ROWS, LEAF = 8192, 24
+BLOCK_ROWS, LEAF = 8192, 160
 
 
 # Metric trees
@@ -37,10 +37,9 @@ def anchors(x: np.ndarray) -> list[np.ndarray]:
         pivot = x[own[widest][0]]
         gaps = distance(np.array(pivots), pivot)
         rows, dist = [], []
-        for k, gap in enumerate(gaps):
+        for k in np.flatnonzero(np.array([f[0] for f in far]) >= gaps / 2):
+            gap = gaps[k]
             near = int(np.searchsorted(-far[k], -gap / 2, "right"))  # rows from here on are nearer to k than gap / 2
-            if not near:
-                continue
             seen = own[k][:near]
             to_new = distance(x[seen], pivot)
             moves = to_new < far[k][:near]
