@@ -114,6 +114,19 @@ b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b L
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_ngram_jaccard_join, op4_license_scan, op5_url_filter, op6_token_store, op7_benchmark_decontamination, op8_html_extraction, op9_quality_rules, op10_source_mixing, op11_vector_codes, op12_prefix_trie, op13_exact_dedup)}
 
 ORACLE_SQL = {
+    "op3_ngram_jaccard_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (n + m - c)),
+s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+k(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, k.root FROM k JOIN s ON s.a = k.node),
+r AS (SELECT node, min(root) AS root FROM k GROUP BY node)
+SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, coalesce(r.root, g.doc_id) AS component_id FROM g LEFT JOIN r ON g.doc_id = r.node""",
     "op11_vector_codes": _codes_sql(),
     "op12_prefix_trie": """
 WITH o AS (
