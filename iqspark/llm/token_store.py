@@ -235,18 +235,20 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 1)
     parts = spark.read.schema(schema).parquet(f"{out}/parts")
     recipes = parts.where("kind = 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     # Ranges are cut within equal doc_ids (nulls, too) as well, by root.
-    ranged = recipes.repartitionByRange("doc_id", "key", "copy").sortWithinPartitions("doc_id", "key", "copy").withColumn("shard", F.spark_partition_id())
+    wanted = -(-(parts.where("kind = 0").agg(F.sum("copies")).first()[0] or 0) // SHARD_RECIPES)
+    number = [wanted] if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    ranged = recipes.repartitionByRange(*number, "doc_id", "key", "copy").sortWithinPartitions("doc_id", "key", "copy").withColumn("shard", F.spark_partition_id())
     ranged.select("shard", "doc_id", "n_tokens", "lens", F.col("body").alias("addresses"), F.col("key").alias("root"), "copy").write.option("compression", "zstd").parquet(f"{out}/recipes")
     stored = spark.read.parquet(f"{out}/recipes")
     totals = stored.groupBy("shard").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
     roots = _shard_roots(stored)
-    # One row for each shard, as many as the cluster has shuffle partitions at most: a window over them is small.
+    # One row for each shard, which has about SHARD_RECIPES recipes if there are many: a window over them is small.
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals.join(roots, "shard").withColumn("start", before).write.parquet(f"{out}/manifest")
 
 
-#: Recipes of a shard whose roots make one leaf of its Merkle root.
-LEAVES = 4096
+#: Recipes of a shard whose roots make one leaf of its Merkle root, and recipes of a shard, about, if there are many.
+LEAVES, SHARD_RECIPES = 4096, 1_000_000
 
 
 def _shard_roots(recipes: DataFrame) -> DataFrame:
