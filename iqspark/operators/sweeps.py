@@ -284,8 +284,11 @@ def waveform(tones: DataFrame, n_samples: int, fs_hz: float) -> DataFrame:
     """
     import numpy as np
 
-    rank = F.row_number().over(Window.partitionBy("tone_set").orderBy("tone", "freq_hz", "amplitude", "phase")) - 1
-    blocks = tones.withColumn("block", F.floor(rank / BLOCK_TONES)).groupBy("tone_set", "block").agg(F.collect_list(F.struct("freq_hz", "amplitude", "phase")).alias("z"))
+    # Tones of one frequency and phase add up; the others are dealt to blocks by hash, so no task ranks a set.
+    tones = tones.groupBy("tone_set", "freq_hz", F.col("phase").cast("double").alias("phase")).agg(F.sum(F.col("amplitude").cast("double")).alias("amplitude"))
+    most = tones.groupBy("tone_set").count().agg(F.max("count")).first()[0] or 0
+    block = F.pmod(F.xxhash64("freq_hz", "phase"), F.lit(-(-most // BLOCK_TONES) or 1))
+    blocks = tones.groupBy("tone_set", block.alias("block")).agg(F.collect_list(F.struct("freq_hz", "amplitude", "phase")).alias("z"))
     work = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_samples - 1)), F.lit(BLOCK_SAMPLES)))).repartition("tone_set", "block", "at")
 
     def synthesise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import frames
+from ..operators import frames, sweeps
 from ..sources import records, text
 from ..sources.shared import new_path
 from ..streaming import counters, live
@@ -146,6 +146,47 @@ def s10_sweep_cube(spark, d):
     return back.select(name[0].cast("int").alias("sample"), name[1].cast("int").alias("point"), "tone", rnd("i").alias("i"), rnd("q").alias("q"))
 
 
+@register(_SPLIT)
+def s9_payload_files(spark, d):
+    """Two payloads in base64, encoded in pieces."""
+    path = new_path(spark, "payloads")
+    text.write_sweep_payloads(_two_sweeps(spark, d), path, {"samples_per_point": 1})
+    back = _swept(text.read_sweep_payloads(spark, path))
+    # A payload numbers its tones from 0: those of the first sweep are 0, 3, ..., of the other 1, 2, 4, ...
+    tone = F.when(F.col("sweep_id") == "third", F.col("tone") * 3).otherwise(F.expr("tone div 2 * 3 + tone % 2 + 1"))
+    return back.withColumn("tone", tone.cast("int"))
+
+
+@register("SELECT 'L' AS sweep_id, count(DISTINCT (l_suppkey, l_linenumber)) AS n_landed, count(DISTINCT (l_suppkey, l_linenumber)) / (7 * (SELECT max(l_suppkey) + 1.0 FROM lineitem)) AS share, count(DISTINCT (l_suppkey, l_linenumber)) = 7 * (SELECT max(l_suppkey) + 1 FROM lineitem) AS complete FROM lineitem WHERE l_orderkey % 211 < 2")
+def a10_live_progress(spark, d):
+    """Samples land in files; the bitmaps of what has landed are the state of a stream."""
+    line = inputs.table(spark, d, "lineitem")
+    tones, landing = line.agg(F.max("l_suppkey")).first()[0] + 1, new_path(spark, "samples")
+    samples = line.where("l_orderkey % 211 < 2").select(F.lit("L").alias("sweep_id"), F.col("l_suppkey").cast("int").alias("tone"), (F.col("l_linenumber") - 1).cast("int").alias("point"))
+    for _ in range(2):  # what lands twice counts once
+        samples.write.mode("append").parquet(landing)
+    live_samples = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    bitmaps = _drained(spark, sweeps.landed_bitmaps(live_samples, 7, tones), "progress", mode="complete")
+    return sweeps.landed(bitmaps, 7, tones)
+
+
+_CUBES = "cu AS (SELECT CASE WHEN vec_id // 100 < n // 100 THEN 'c' || vec_id // 100 ELSE 'r' || vec_id END AS sweep_id, CASE WHEN vec_id // 100 < n // 100 THEN vec_id % 100 // 10 ELSE 0 END AS sample, CASE WHEN vec_id // 100 < n // 100 THEN vec_id % 10 ELSE 0 END AS point, label, embedding FROM embeddings, (SELECT max(vec_id) + 1 AS n FROM embeddings))"
+
+
+@register(f"WITH {_CUBES} SELECT sweep_id, t::INT AS tone, point::INT AS point, {r('avg(embedding[2*t+1]::DOUBLE)')} AS i, {r('avg(embedding[2*t+2]::DOUBLE)')} AS q, count(*) AS n, max(label)::INT AS last_count FROM cu, range(32) r(t) WHERE label <> 9 GROUP BY sweep_id, t, point")
+def s10_raw_cubes(spark, d):
+    """Raw cubes of 10 samples, 10 points and 32 tones (vectors beyond the last hundred make cubes of one), with counts and
+    errors of their accumulations: their response without the samples that have an error."""
+    e = inputs.table(spark, d, "embeddings").select("vec_id", "label").join(F.broadcast(inputs.table(spark, d, "embeddings").agg((F.max("vec_id") + 1).alias("n"))))
+    full = F.expr("vec_id div 100 < n div 100")
+    place = e.select(F.col("vec_id").alias("v"), F.when(full, F.expr("concat('c', vec_id div 100)")).otherwise(F.expr("concat('r', vec_id)")).alias("sweep_id"), F.when(full, F.expr("vec_id % 100 div 10")).otherwise(0).cast("int").alias("sample"), F.when(full, F.expr("vec_id % 10")).otherwise(0).cast("int").alias("point"), "label")
+    raw = inputs.sweep_e(spark, d).select(F.col("sample").alias("v"), "tone", "i", "q").join(place, "v").select("sweep_id", "sample", "point", "tone", "i", "q")
+    back = text.decode_cubes(text.encode_cubes(raw))
+    counted = sweeps.with_accumulations(back, place.select("sweep_id", "sample", "point", F.col("label").alias("acc_count"), (F.col("label") == 9).cast("int").alias("acc_err")))
+    out = sweeps.response(counted, drop_errors=True).join(counted.where("packet_error = 0").groupBy("sweep_id", "tone", "point").agg(F.max("packet_counter").alias("last_count")), ["sweep_id", "tone", "point"])
+    return out.select("sweep_id", "tone", "point", rnd("i").alias("i"), rnd("q").alias("q"), "n", "last_count")
+
+
 @register("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS cal_order, 8.5e8 + s_suppkey*1.5e6 AS freq_hz, s_acctbal::DOUBLE/1e4 AS value_db FROM supplier")
 def s12_calibration_text(spark, d):
     """cal_order is the place of a line in its file."""
@@ -154,11 +195,11 @@ def s12_calibration_text(spark, d):
     return text.read_calibration(spark, path, "S").select("cal_order", "freq_hz", "value_db")
 
 
-@register(_with("p", "SELECT printf('K%03d', tone) AS name, round(freq_hz, 6) AS freq_hz, 1 AS all_flag, 0 AS none_flag FROM p"))
+@register(_with("p", "SELECT printf('K%03d', tone) AS name, round(freq_hz, 6) AS freq_hz, 0.0::DOUBLE AS offset_att, 1 AS all_flag, 0 AS none_flag FROM p"))
 def s13_tone_list(spark, d):
     path = new_path(spark, "tones")
     text.write_tone_list(inputs.tones_p(spark, d), path)
-    return text.read_tone_list(spark, path).select("name", "freq_hz", "all_flag", "none_flag")
+    return text.read_tone_list(spark, path).select("name", "freq_hz", "offset_att", "all_flag", "none_flag")
 
 
 @register(_with("fr", "SELECT stream_id, seq, packet_counter, packet_error, i, q FROM fr"))

@@ -398,6 +398,21 @@ def m1_tone_power(spark, d):
     return inputs.tones_p(spark, d).select("tone", *[rnd(s[k]).alias(k) for k in ("duc_fs", "vop_dbfs", "combiner_dbm")], rnd(s["cryostat_dbm"]).alias("power_dbm"))
 
 
+_DAC = _POWER + "-6"
+_DETAILS = {
+    "amps": "amplitude", "psb_shift_units": "amplitude/16", "psb_scale_units": "amplitude/16*0.9", "dac_units": "amplitude/16*0.9*65536", "dac_fs": "amplitude/16*0.9", "duc_fs": _DUC, "duc_fs_power": f"{_DUC}*{_DUC}",
+    "vop_fs": f"{_DUC}*{_DUC}*pow(18000.0/20000.0,2)", "vop_dbfs": _POWER, "dac_dbm": _DAC, "combiner_dbm": _DAC + "-1.5", "tx_if_dbm": _DAC + "-1.5+2-10", "tx_mixer_dbm": _DAC + "-1.5+2-10-7", "tx_rf_dbm": _DAC + "-1.5+2-10-7+1", "cryostat_dbm": _DAC + "-1.5+2-10-7+1-20",
+}
+
+
+@register(_with("p", "SELECT tone, " + ", ".join(f"{r(v, 9)} AS {k}" for k, v in _DETAILS.items()) + " FROM p"))
+def m5_stage_details(spark, d):
+    """Every stage of the sending chain, for every tone."""
+    c = powers.TxChain(**CHAIN, combiner_loss_db=1.5, attenuator_db=10, if_s21_db=2, mixer_loss_db=-7, rf_s21_db=1, cryostat_s21_db=-20)
+    out = inputs.tones_p(spark, d).select("tone", powers.tone_power_details(F.col("amplitude"), c).alias("x"))
+    return out.select("tone", *[rnd(F.col("x")[k], 9).alias(k) for k in _DETAILS])
+
+
 @register(_with("p", f"SELECT tone, {r(f'sqrt(pow(10, (amplitude*40 - 100 + 6 + 1.5 + 10 + 20)/10))/(18000.0/20000.0)*16/(0.9*0.8)*{powers.MIXER_SCALE}', 9)} AS amplitude FROM p"))
 def m2_tone_amplitude(spark, d):
     """The amplitude that gives a power asked for."""
@@ -621,3 +636,11 @@ def m23_wideband_plan(spark, d):
     n = F.count("*")
     bands = inputs.table(spark, d, "part").groupBy(F.col("p_brand").alias("sweep_id")).agg(F.lit(3e9).alias("centre_hz"), F.lit(2048e6).alias("bandwidth_hz"), n.alias("n_tones"), (F.lit(2048e6) / n / 200).alias("step_hz"))
     return _rounded(sweeps.wideband_plan(bands), span_hz=3, centre_hz=3)
+
+
+@register(f"WITH {_BAND} SELECT sweep_id, tone::INT AS tone, points::BIGINT AS points, {r('span', 3)} AS span_hz, {r('least(greatest(c - bw/2 + tone*sp + (' + _UNIFORM.format('sweep_id') + ' - 0.5)*(span/points) + floor(points/2)*sp/points, 2.5e9), 3.4e9)', 3)} AS centre_hz FROM t")
+def m23_clipped_plan(spark, d):
+    """Centres are held within 2.5 and 3.4 GHz."""
+    n = F.count("*")
+    bands = inputs.table(spark, d, "part").groupBy(F.col("p_brand").alias("sweep_id")).agg(F.lit(3e9).alias("centre_hz"), F.lit(2048e6).alias("bandwidth_hz"), n.alias("n_tones"), (F.lit(2048e6) / n / 200).alias("step_hz"))
+    return _rounded(sweeps.wideband_plan(bands, (2.5e9, 3.4e9)), span_hz=3, centre_hz=3)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -121,10 +121,8 @@ def write_files(pieces: DataFrame, path: str) -> None:
     placed.select("name", (F.col("base") + F.col("inside")).alias("at"), "size", "value").write.format("placed_files").mode("append").save(path)
 
 
-def headed(lines: DataFrame, names: Column, head: Column, suffix: str, end: str = "\n") -> DataFrame:
-    """Pieces of text files from lines(place >= 0, value): each line with its end, and for each name (a column of lines)
-    its head at place -1, once. head may depend on columns that are the same in all lines of a name."""
-    named = lines.withColumn("name", F.concat(names, F.lit(suffix)))
-    body = named.select("name", "place", F.concat("value", F.lit(end)).alias("value"))
-    tops = named.groupBy("name").agg(F.min(F.concat(head, F.lit(end))).alias("value")).select("name", F.lit(-1).cast("long").alias("place"), "value")
-    return body.unionByName(tops)
+def headed(lines: DataFrame, heads: DataFrame, suffix: str, end: str = "\n") -> DataFrame:
+    """Pieces of text files from lines(name, place >= 0, value), each with its end, and heads(name, value): what stands
+    before a name's lines. Files are called name and suffix."""
+    called, value = F.concat("name", F.lit(suffix)).alias("name"), F.concat("value", F.lit(end)).alias("value")
+    return lines.select(called, "place", value).unionByName(heads.select(called, F.lit(-1).cast("long").alias("place"), value))

@@ -151,21 +151,30 @@ def _csv_line(frames: DataFrame, order: str) -> Column:
 
 
 def _said(meta: dict, sep: str = ",") -> Column:
-    """Header lines of meta, whose values are constants or columns."""
-    lines = [F.concat(F.lit(f"# {k}{sep}"), F.coalesce((v if isinstance(v, Column) else F.lit(v)).cast("string"), F.lit("")), F.lit("\n")) for k, v in meta.items()]
-    return F.concat(*lines) if lines else F.lit("")
+    """Header lines of meta, whose values are constants or columns, each but the last with a line feed."""
+    lines = [F.concat(F.lit(f"# {k}{sep}"), F.coalesce((v if isinstance(v, Column) else F.lit(v)).cast("string"), F.lit(""))) for k, v in meta.items()]
+    return F.concat_ws("\n", *lines)
+
+
+def _heads(rows: DataFrame, key: str, meta: dict, **more: Column) -> tuple[DataFrame, dict]:
+    """One row (name, columns of meta, more: aggregates) for each key of rows, and meta with columns of these rows."""
+    own = {k: v for k, v in meta.items() if isinstance(v, Column)}
+    small = rows.groupBy(F.col(key).alias("name")).agg(*[v.alias(k) for k, v in more.items()], *[F.max(v).alias(f"_{k}") for k, v in own.items()]) if own or more else rows.select(F.col(key).alias("name")).distinct()
+    return small, {k: F.col(f"_{k}") if k in own else v for k, v in meta.items()}
 
 
 def write_frames_csv(frames: DataFrame, path: str, tones: int | None, meta: dict, order: str = "samples") -> None:
     """One file path/<stream_id>.csv for each stream: the # lines of meta (constants, or columns of frames that are the
     same in a stream), the names, and lines in order of seq. order samples: tones first; stream: trailer first. tones is
     each stream's own number unless it is given. Files are committed whole, and written in ranges (sinks.write_files)."""
-    n = F.size("i") if tones is None else F.lit(tones)
+    small, said = _heads(frames, "stream_id", meta, n=F.max(F.size("i")))
+    n = F.col("n") if tones is None else F.lit(tones)
     form = "i_data_%04d,q_data_%04d" if order == "samples" else "i_%04d,q_%04d"
     names = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.format_string(form, t, t)), ",")
-    head = F.concat_ws(",", names, F.lit(",".join(TRAIL))) if order == "samples" else F.concat_ws(",", F.lit(",".join(TRAIL)), names)
-    lines = frames.withColumns({"place": F.col("seq"), "value": _csv_line(frames, order), "head": F.concat(_said(meta), head)})
-    write_files(headed(lines.select("stream_id", "place", "value", "head"), F.col("stream_id"), F.col("head"), ".csv"), path)
+    trail = F.lit(",".join(TRAIL))
+    heads = small.select("name", F.concat_ws("\n", *[_said(said)] * bool(said), F.concat_ws(",", names, trail) if order == "samples" else F.concat_ws(",", trail, names)).alias("value"))
+    lines = frames.select(F.col("stream_id").alias("name"), F.col("seq").alias("place"), _csv_line(frames, order).alias("value"))
+    write_files(headed(lines, heads, ".csv"), path)
 
 
 def read_sweep_csv(spark: SparkSession, path: str, tones: int | None = None, sweep_id: str | None = None) -> DataFrame:
@@ -193,10 +202,11 @@ def write_sweep_csv(sweep: DataFrame, path: str, tones: int | None, meta: dict)
     numbers of the sweep's tones, or those below tones if it is given."""
     cells = F.concat_ws(",", F.transform("t", lambda x: F.concat_ws(",", *[x[c].cast("string") for c in ("f", "i", "q", "ei", "eq")])))
     form = ",".join(f"{c}_%1$04d" for c in ("sweep_f", "sweep_i", "sweep_q", "err_i", "err_q"))
-    numbers = F.transform("t", lambda x: x["tone"]) if tones is None else F.sequence(F.lit(0), F.lit(tones - 1))
-    head = F.concat(_said(meta), F.array_join(F.transform(numbers, lambda t: F.format_string(form, t)), ","))
-    lines = _point_lines(sweep).select("sweep_id", F.col("point").cast("long").alias("place"), cells.alias("value"), head.alias("head"))
-    write_files(headed(lines, F.col("sweep_id"), F.col("head"), ".csv"), path)
+    small, said = _heads(sweep, "sweep_id", meta, t=F.array_sort(F.collect_set("tone")))
+    numbers = F.col("t") if tones is None else F.sequence(F.lit(0), F.lit(tones - 1))
+    heads = small.select("name", F.concat_ws("\n", *[_said(said)] * bool(said), F.array_join(F.transform(numbers, lambda t: F.format_string(form, t)), ",")).alias("value"))
+    lines = _point_lines(sweep).select(F.col("sweep_id").alias("name"), F.col("point").cast("long").alias("place"), cells.alias("value"))
+    write_files(headed(lines, heads, ".csv"), path)
 
 
 def sweep_text(sweep: DataFrame) -> DataFrame:
@@ -207,8 +217,10 @@ def sweep_text(sweep: DataFrame) -> DataFrame:
 
 def write_sweep_text(sweep: DataFrame, path: str, meta: dict) -> None:
     """One file path/<sweep_id>.txt for each sweep: the # lines of meta, and a line for each point."""
-    lines = sweep_text(sweep).select("sweep_id", F.col("point").cast("long").alias("place"), "value", F.regexp_replace(_said(meta, ": "), r"\n$", "").alias("head"))
-    write_files(headed(lines, F.col("sweep_id"), F.col("head"), ".txt"), path)
+    small, said = _heads(sweep, "sweep_id", meta)
+    lines = sweep_text(sweep).select(F.col("sweep_id").alias("name"), F.col("point").cast("long").alias("place"), "value")
+    heads = small.select("name", _said(said, ": ").alias("value"))
+    write_files(headed(lines, heads if meta else heads.limit(0), ".txt"), path)
 
 
 DOCUMENT = "date string, num_tones int, num_samples long, sample_rate double, i_data map<string,array<int>>, q_data map<string,array<int>>, packet_counter array<long>, packet_error array<int>, stream_flags map<string,array<int>>"
@@ -273,7 +285,7 @@ def write_sweep_document(sweep: DataFrame, path: str, meta: dict) -> None:
     """One JSON document path/<sweep_id>.json for each sweep, whose arrays are by tone, then point; written in ranges of
     numbers, so that no task holds a sweep. Tones and points are numbered in order, and NaN is null."""
     name = F.concat("sweep_id", F.lit(".json"))
-    order = Window.partitionBy("sweep_id")
+    sweep, order = sweep.select("sweep_id", "tone", "point", *_PARTS), Window.partitionBy("sweep_id")
     tones = sweep.select("sweep_id", "tone").distinct().withColumn("t", F.row_number().over(order.orderBy("tone")) - 1)
     points = sweep.select("sweep_id", "point").distinct().withColumn("k", F.row_number().over(order.orderBy("point")) - 1)
     size = tones.groupBy("sweep_id").agg(F.count("*").alias("tones")).join(points.groupBy("sweep_id").agg(F.count("*").alias("points")), "sweep_id")
@@ -338,6 +350,42 @@ def encode_sweeps(sweep: DataFrame) -> DataFrame:
     return out.select("sweep_id", "num_tones", "num_points", F.struct("f", "z", "e").alias("sweep"))
 
 
+#: Values of a piece of a payload: a multiple of 3, so that the base64 text of pieces is that of the whole.
+PIECE = 3 * 4096
+
+
+def write_sweep_payloads(sweep: DataFrame, path: str, meta: dict) -> None:
+    """One JSON payload path/<sweep_id>.json for each sweep, point after point, as base64 that is encoded in pieces of PIECE
+    values and written side by side, so that no task holds a sweep. Every point must have every tone."""
+
+    def encoded(t: pa.Table) -> pa.Table:
+        import base64
+
+        t = t.sort_by("place")
+        c = {k: t.column(k).to_numpy() for k in ("f", "i", "q", "ei", "eq")}
+        parts = (c["f"], c["i"] + 1j * c["q"], c["ei"] + 1j * c["eq"])
+        return pa.table({"name": t.column("name")[:1], "piece": t.column("piece")[:1], **{k: pa.array([base64.b64encode(np.ascontiguousarray(x).tobytes()).decode()]) for k, x in zip("fze", parts, strict=True)}})
+
+    sweep, order = sweep.select("sweep_id", "tone", "point", *_PARTS), Window.partitionBy("sweep_id")
+    tones = sweep.select("sweep_id", "tone").distinct().withColumn("t", F.row_number().over(order.orderBy("tone")) - 1)
+    points = sweep.select("sweep_id", "point").distinct().withColumn("k", F.row_number().over(order.orderBy("point")) - 1)
+    size = tones.groupBy("sweep_id").agg(F.count("*").alias("n")).join(points.groupBy("sweep_id").agg(F.count("*").alias("points")), "sweep_id")
+    name = F.concat("sweep_id", F.lit(".json")).alias("name")
+    placed = sweep.join(tones, ["sweep_id", "tone"]).join(points, ["sweep_id", "point"]).join(size.select("sweep_id", "n"), "sweep_id").withColumn("place", (F.col("k") * F.col("n") + F.col("t")).cast("long"))
+    pieces = placed.select(name, F.floor(F.col("place") / PIECE).alias("piece"), "place", "f", "i", "q", "ei", "eq").groupBy("name", "piece").applyInArrow(encoded, "name string, piece long, f string, z string, e string")
+    section = 1 << 40
+    body = pieces.select("name", F.explode(F.array(*[F.struct((F.col("piece") + k * section + 1).alias("place"), F.col(c).alias("value")) for k, c in enumerate("fze")])).alias("x")).select("name", "x.*")
+    opens = [F.concat(_open(meta, num_tones=F.col("n"), num_points=F.col("points")), F.lit('"sweep": {"f": "')), F.lit('", "z": "'), F.lit('", "e": "'), F.lit('"}}\n')]
+    frame = size.select(name, F.explode(F.array(*[F.struct(F.lit(k * section).alias("place"), v.alias("value")) for k, v in enumerate(opens)])).alias("x")).select("name", "x.*")
+    write_files(frame.unionByName(body), path)
+
+
+def read_sweep_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """Long rows of the payloads under path; sweep_id is the file's name."""
+    whole = spark.read.schema(PAYLOAD.partition(", ")[2]).json(path, multiLine=True)
+    return decode_sweeps(whole.withColumn("sweep_id", stream_name(F.input_file_name())))
+
+
 def decode_cubes(payloads: DataFrame) -> DataFrame:
     """Long raw samples of base64 cubes laid out by sample, point, tone: payloads(sweep_id, samples, points, tones,
     data_i, data_q)."""
@@ -362,6 +410,8 @@ def encode_cubes(samples: DataFrame) -> DataFrame:
 
         t = t.sort_by([(c, "ascending") for c in ("sample", "point", "tone")])
         size = [pa.array([len(set(t.column(c).to_pylist()))], pa.int32()) for c in ("sample", "point", "tone")]
+        if np.prod([c[0].as_py() for c in size]) != len(t):
+            raise ValueError("a cube lacks samples, or has them twice")
         data = [pa.array([base64.b64encode(np.ascontiguousarray(t.column(c).to_numpy(), "<f8").tobytes()).decode()]) for c in "iq"]
         return pa.table([t.column("sweep_id")[:1], *size, *data], ["sweep_id", "samples", "points", "tones", "data_i", "data_q"])
 
@@ -380,7 +430,8 @@ def write_calibration(cal: DataFrame, path: str, comment: str = "freq_hz value_d
     """One file path/<cal_id>.txt for each calibration: a comment, and a line for each row of cal(cal_id, cal_order,
     freq_hz, value_db) in order of cal_order."""
     line = F.concat_ws(" ", F.col("freq_hz").cast("string"), F.col("value_db").cast("string"))
-    write_files(headed(cal.select("cal_id", F.col("cal_order").alias("place"), line.alias("value")), F.col("cal_id"), F.lit(f"# {comment}"), ".txt"), path)
+    lines = cal.select(F.col("cal_id").alias("name"), F.col("cal_order").alias("place"), line.alias("value"))
+    write_files(headed(lines, cal.select(F.col("cal_id").alias("name"), F.lit(f"# {comment}").alias("value")).distinct(), ".txt"), path)
 
 
 def read_tone_list(spark: SparkSession, path: str) -> DataFrame:
@@ -398,5 +449,7 @@ def tone_list_lines(tones: DataFrame, by_set: bool = False) -> DataFrame:
 
 def write_tone_list(tones: DataFrame, path: str, name: str = "part-tones.txt", by_set: bool = False) -> None:
     """One file path/name of all tones in order of their numbers, or path/<tone_set>/name for each tone_set."""
-    lines = tone_list_lines(tones, by_set).withColumn("place", F.col("tone").cast("long"))
-    write_files(headed(lines, F.concat("tone_set", F.lit("/")) if by_set else F.lit(""), F.lit("Name\tFreq\tOffset att\tAll\tNone"), name, "\r\n"), path)
+    called = (F.concat("tone_set", F.lit("/")) if by_set else F.lit("")).alias("name")
+    lines = tone_list_lines(tones, by_set).select(called, F.col("tone").cast("long").alias("place"), "value")
+    heads = tones.select(called).distinct() if by_set else tones.sparkSession.createDataFrame([("",)], "name string")
+    write_files(headed(lines, heads.withColumn("value", F.lit("Name\tFreq\tOffset att\tAll\tNone")), name, "\r\n"), path)

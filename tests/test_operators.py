@@ -271,7 +271,7 @@ def test_epochs_over_wraps_and_restarts(spark, parts):
     want = epochs_by_hand(counters, step)
     rows = [("a", 7 * k, c) for k, c in enumerate(counters)] + [("b", k, k) for k in range(3)]
     frames = spark.createDataFrame(rows, "stream_id string, seq long, packet_counter long").repartition(parts)
-    for bucket in (1, 10, 50, 700, 65_536):
+    for bucket in (1, 50, 65_536):
         got = sorted((r.seq, r.epoch, r.counter64, r.rebased) for r in epochs.with_epochs(frames, step, bucket).where("stream_id = 'a'").collect())
         assert got == [(7 * k, *w) for k, w in enumerate(want)]
     assert epochs.with_epochs(frames.limit(0)).count() == 0

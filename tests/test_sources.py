@@ -339,3 +339,43 @@ def test_calibration_order_is_that_of_the_files(spark, folder):
             f.write("# made\nfreq value\n" + "".join(f"{k}e3 {k}\n" for k in range(n)))
     got = [(r.freq_hz, r.value_db) for r in text.read_calibration(spark, f"{folder}/cal").orderBy("cal_order").collect()]
     assert got == [(k * 1e3, float(k)) for n in (2, 4000) for k in range(n)]
+
+
+def test_what_a_run_wrote_can_be_removed(spark):
+    from iqspark.sources import shared
+
+    table = shared.stored(spark.range(5), "numbers")
+    assert table.count() == 5 and shared.run_dir(spark).endswith(spark.sparkContext.applicationId)
+    where = shared.run_dir(spark).removeprefix("file:")
+    assert os.path.isdir(where)
+    shared.remove_run(spark)
+    assert not os.path.exists(where)
+    assert shared.stored(spark.range(3), "numbers").count() == 3
+
+
+def test_heads_without_meta_and_with_columns(spark, folder):
+    s = long_sweep(spark)
+    text.write_sweep_text(s, f"{folder}/t", {})
+    assert open(f"{folder}/t/w.txt").readline().startswith("1000000000.000000 0.500000")
+    both = make(spark, 4, 2, "x").withColumn("rate", F.lit(500.0)).union(make(spark, 3, 1, "y").withColumn("rate", F.lit(250.0)))
+    text.write_frames_csv(both, f"{folder}/f", None, {"sample_rate": F.col("rate")})
+    assert open(f"{folder}/f/x.csv").read().splitlines()[:2] == ["# sample_rate,500.0", "i_data_0000,q_data_0000,i_data_0001,q_data_0001," + ",".join(text.TRAIL)]
+    assert {(r.stream_id, r.sample_rate, len(r.i)) for r in text.read_frames_csv(spark, f"{folder}/f").collect()} == {("x", 500.0, 2), ("y", 250.0, 1)}
+    text.write_frames_csv(both, f"{folder}/g", None, {}, "stream")
+    assert open(f"{folder}/g/y.csv").readline().startswith("packet_counter")
+    tones = spark.createDataFrame([("a", 0, 1e9), ("b", 1, 2e9), ("b", 0, 1.5e9)], "tone_set string, tone int, freq_hz double")
+    text.write_tone_list(tones, f"{folder}/l", "tones.txt", by_set=True)
+    assert open(f"{folder}/l/b/tones.txt", newline="").read().count("\r\n") == 3
+
+
+def test_payload_files(spark, folder, monkeypatch):
+    import base64
+    import json
+
+    monkeypatch.setattr(text, "PIECE", 6)
+    two = long_sweep(spark).union(long_sweep(spark).withColumns({"sweep_id": F.lit("v"), "i": F.col("i") + 1}).where("tone < 2"))
+    text.write_sweep_payloads(two, f"{folder}/p", {"date": "x", "samples_per_point": 1})
+    said = json.load(open(f"{folder}/p/v.json"))
+    assert (said["num_tones"], said["num_points"]) == (2, 5) and len(base64.b64decode(said["sweep"]["f"])) == 80
+    cols = ["sweep_id", "tone", "point", "f", "i", "q", "ei", "eq"]
+    assert rows(text.read_sweep_payloads(spark, f"{folder}/p"), cols) == rows(two, cols)
