@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iqspark.llm import decontamination, language_id, mixing, ngram_join, token_store
-from iqspark.llm.common import bounded, materialize, new_path, table, text_key
+from iqspark.llm.common import bounded, materialize, new_path, small_batches, table, text_key
 from iqspark.llm.queries import tokenizer_path
 
 #: Least calibrated probability of a document's language.
@@ -15,6 +15,7 @@ LEAST_SCORE = 0.5
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: und (no letters) and scores under LEAST_SCORE go."""
+    small_batches(spark)
     model = language_id.train(docs.where(~language_id.held_out()))
     names = ("__lang_pred", "__score")
     return language_id.predict(docs, model, names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SCORE)).drop(*names)
@@ -24,6 +25,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The row that comes first of each group of near copies, by doc_id (rows without one last); texts without words all
     stay. Rows are told apart by doc_id and text: those with equal ids and texts become one, the one whose JSON comes first. Texts are not shuffled while
     the rows that go, or that repeat, are few."""
+    small_batches(spark)
     own = [F.col("doc_id").alias("d"), F.col("text_key").alias("t")]
     found = ngram_join.similar_rows(docs).groupBy(*own).agg(F.max("n").alias("n"), F.max("first").alias("first"), F.count("*").alias("c"))
     stays = F.expr("n = 0 OR (d <=> first.doc_id AND t = first.text_key)")
@@ -43,6 +45,7 @@ def same_row(docs: DataFrame, keys: DataFrame) -> Column:
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item's template."""
+    small_batches(spark)
     found = decontamination.template_matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct()
     found = bounded(found, "benchmarked")
     return docs.join(found, same_row(docs, found), "left_anti")
@@ -55,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in a content-addressed store, and what its files give back for each document."""
+    small_batches(spark)
     return token_store.token_store(docs, tokenizer_path())
 
 

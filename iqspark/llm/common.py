@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from ..sources.shared import new_path, shared_dir
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch that a Python task gets, besides its last row.
+BATCH_BYTES = 2_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python tasks of this session get batches of BATCH_BYTES from now on, where Spark's own bound (64 MB, 10,000 rows)
+    holds; a bound that the user has set stays. Executor and Python worker each hold whole batches, both ways."""
+    if spark.conf.get(_BATCH, None) in (None, "64MB", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """df in an eighth of the shuffle partitions, but no fewer than there are cores: for small tables that are written,
+    as each file costs the executor a process or two on a local file system (for chmod)."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
