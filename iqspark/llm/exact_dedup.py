@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize
+from .common import bounded, few_files, materialize, small_batches
 from .textkit import slices
 
 #: White space that does not count: 0x20 and 0x09 to 0x0D.
@@ -243,7 +243,7 @@ def copy_classes(docs: DataFrame, keys: DataFrame, trie_bytes: int = TRIE_BYTES)
     one task gets what they have left, so no task's input grows with a group of copies.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text_of()).cast("long").alias("n_chars"), text_of().cast("binary").alias("text"))
-    shared = bounded(keys.groupBy("n_bytes", "h").count().where("count > 1").select("n_bytes", "h"), "shared")
+    shared = bounded(few_files(keys.groupBy("n_bytes", "h").count().where("count > 1").select("n_bytes", "h")), "shared")
     texts = rows.mapInArrow(local_owners(trie_bytes), TEXTS).join(shared, ["n_bytes", "h"], "left_semi").select(*[x.split()[0] for x in TEXTS.split(", ")])
     first = texts.repartition("n_bytes", "h", "salt").mapInArrow(merged_owners(trie_bytes, True), TEXTS)
     last = first.repartition("n_bytes", "h").mapInArrow(merged_owners(trie_bytes, False), TEXTS)
@@ -257,7 +257,7 @@ def text_of() -> F.Column:
 def with_class(keys: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """keys and, where there is one, their class: by broadcast if classes are few; else those of the largest classes (at
     most HOT_SHARE) by broadcast, all others by shuffle."""
-    classes = bounded(classes, "classes")
+    classes = bounded(few_files(classes), "classes")
     on = ["n_bytes", "sha"]
     if classes.count() <= 500_000:
         return keys.join(classes, on, "left")
@@ -275,11 +275,12 @@ def exact_copies(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     doc_id comes after all others; of rows alike in both, any one stays (their results differ in kept only). Null texts
     are empty, and empty texts are equal. Other columns of docs are not read. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text_of()).cast("long").alias("n_chars"), text_of().cast("binary").alias("text"))
     keys = materialize(rows.mapInArrow(keys_of, KEYS).withColumn("row", F.monotonically_increasing_id()), "keys")
     found = with_class(keys, copy_classes(docs, keys, trie_bytes), keys.count())
     owns = F.col("n").isNull() | (F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("n_chars") == F.col("owner_chars")))
     found = found.withColumn("owns", owns)
-    ties = bounded(found.where("owns AND ties > 1").groupBy("n_bytes", "sha").agg(F.min("row").alias("first")), "ties")
+    ties = bounded(few_files(found.where("owns AND ties > 1").groupBy("n_bytes", "sha").agg(F.min("row").alias("first"))), "ties")
     out = found.join(ties, ["n_bytes", "sha"], "left")
     return out.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("owner")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.expr("owns AND (first IS NULL OR row = first)").alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "n_bytes")

@@ -1,7 +1,11 @@
+from pathlib import Path
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from iqspark.llm import exact_dedup
+from iqspark.sources.shared import run_dir
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -23,3 +27,24 @@ def test_pipeline_bounds_batches_by_bytes(spark):
         assert largest_batch(docs) < 3_000_000
     finally:
         spark.conf.unset(BATCH)
+
+
+def test_exact_dedup_keeps_a_bound_of_the_user_and_writes_few_files(spark):
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", BATCH: "500000"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    docs = spark.range(0, 1000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 500).alias("text"))
+    where = Path(run_dir(spark).removeprefix("file://"))
+    there = set(where.glob("*-*"))
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = exact_dedup.exact_copies(docs)
+        rows = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()}
+        assert spark.conf.get(BATCH) == "500000"
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert rows == {(i, i % 500, 2, i < 500) for i in range(1000)}
+    written = {p.name.split("-")[0]: len(list(p.glob("part-*"))) for p in set(where.glob("*-*")) - there}
+    assert {"shared", "classes", "ties"} <= set(written)
+    assert max(written[k] for k in ("shared", "classes", "ties")) <= spark.sparkContext.defaultParallelism
