@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import logging
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -106,7 +107,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LEAST_ROWS, MOST_WEIGHT = 20, 50.0
 
 
-def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, class_weights: np.ndarray | None = None, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+class Vectors(Sequence):
+    """(grams, values, class) of training rows, each made from the features of its row (2-byte grams, 4-byte logs) when it
+    is asked for: all of them at once would take several times the driver's memory that the features take."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]], idf: np.ndarray):
+        self.rows, self.idf = rows, idf
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        grams, logs, y = self.rows[k]
+        at = grams.astype(np.int64)
+        x = logs * self.idf[at]
+        return at, x / np.sqrt(x @ x), y
+
+
+def follow_leader(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], classes: int, class_weights: np.ndarray | None = None, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal (McMahan et al., 2013) with elastic net on (grams, values, class) rows: weights and biases.
 
     Each weight is the closed-form minimiser of the linearised losses so far plus l1 and l2 penalties and proximal
@@ -181,22 +199,23 @@ def train(docs: DataFrame, rows_per_lang: int = 1000, most_rows: int = 20_000, m
     sample = known.join(F.broadcast(share), "lang").where(drawn < F.col("share"))
     fold = F.when(F.col("few"), 1).otherwise(F.pmod(F.xxhash64("text", "doc_id"), F.lit(5)))
     sample = sample.select("lang", fold.cast("int").alias("fold"), "text")
-    got = sample.mapInArrow(_features, "lang string, fold int, whole boolean, grams binary, logs binary").collect()
+    got = sample.mapInArrow(_features, "lang string, fold int, whole boolean, grams binary, logs binary").toArrow()
     langs = sorted({r["lang"] for r in per_lang})
     number = {lang: k for k, lang in enumerate(langs)}
+    lang, fold, whole = (got.column(c).to_pylist() for c in ("lang", "fold", "whole"))
+    # Views of what has come, no copies.
+    grams, logs = ([np.frombuffer(x.as_buffer(), kind) for x in got.column(c)] for c, kind in (("grams", np.uint16), ("logs", np.float32)))
     fit, held = [], []
-    taught = {r["lang"] for r in got if r["fold"] != 0}
-    for r in sorted(got, key=lambda r: (r["lang"], bytes(r["grams"]), bytes(r["logs"]))):
-        at = np.frombuffer(r["grams"], np.uint16).astype(np.int64)
-        x = np.frombuffer(r["logs"], np.float32) * idf[at]
-        row = (at, x / np.sqrt(x @ x), number[r["lang"]])
-        if r["fold"] == 0 and r["lang"] in taught:
+    taught = {x for x, f in zip(lang, fold, strict=True) if f != 0}
+    for k in pa.compute.sort_indices(got, [(c, "ascending") for c in ("lang", "grams", "logs")]).to_pylist():
+        row = (grams[k], logs[k], number[lang[k]])
+        if fold[k] == 0 and lang[k] in taught:
             held.append(row)
-        elif r["whole"]:
+        elif whole[k]:
             fit.append(row)
     size = np.bincount([y for *_, y in fit], minlength=len(langs)) if fit else np.ones(len(langs))
-    weights, bias = follow_leader(fit, len(langs), np.minimum(size.max() / np.maximum(size, 1), MOST_WEIGHT))
-    logits = np.array([x @ weights[at] + bias for at, x, _ in held]).reshape(len(held), len(langs))
+    weights, bias = follow_leader(Vectors(fit, idf), len(langs), np.minimum(size.max() / np.maximum(size, 1), MOST_WEIGHT))
+    logits = np.array([x @ weights[at] + bias for at, x, _ in Vectors(held, idf)]).reshape(len(held), len(langs))
     return Model(langs, idf, weights, bias, calibrate(logits, np.array([y for *_, y in held], int)))
 
 

@@ -1,10 +1,12 @@
+import tracemalloc
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from iqspark.llm import exact_dedup
+from iqspark.llm import exact_dedup, language_id
 from iqspark.sources.shared import run_dir
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -48,3 +50,18 @@ def test_exact_dedup_keeps_a_bound_of_the_user_and_writes_few_files(spark):
     written = {p.name.split("-")[0]: len(list(p.glob("part-*"))) for p in set(where.glob("*-*")) - there}
     assert {"shared", "classes", "ties"} <= set(written)
     assert max(written[k] for k in ("shared", "classes", "ties")) <= spark.sparkContext.defaultParallelism
+
+
+def test_language_training_holds_features_once_on_the_driver(spark, monkeypatch):
+    """Before, each row was held as bytes, as bytes of its sort key, and as 16 bytes for each n-gram."""
+    grams, rows = 4000, 1500
+    monkeypatch.setattr(language_id, "follow_leader", lambda rows, classes, *_: ([len(x) for x in (rows[0][0], rows)] and np.zeros((language_id.DIM, classes)), np.zeros(classes)))
+    docs = spark.range(0, rows, 1, 4).select(F.col("id").alias("doc_id"), F.expr(f"array_join(transform(sequence(1, {grams // 4}), i -> char(19968 + pmod(xxhash64(id, i), 20000))), '')").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"))
+    tracemalloc.start()
+    try:
+        model = language_id.train(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.langs == ["a", "b"]
+    assert most < 50_000_000, most
