@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from ..functions.hashed import hashed_uniform
 from ..functions.frequency import bin_offset, nearest_bin, phase_increment
 from ..functions.powers import TxChain, tone_amplitude, tone_power
 from ..params import Board
+from ..sources.shared import stored
 
-#: Rows of a calibration table in one sorted array; a table of that size is broadcast, a larger one is cut by frequency.
+#: Rows of a calibration table that tasks hold as sorted arrays; a larger one is cut by frequency.
 TABLE_ROWS = 4096
 
 
@@ -77,49 +80,70 @@ def attenuations(tones: DataFrame) -> DataFrame:
     return tones.withColumn("db", db).withColumn("att_db", F.col("db") - F.min("db").over(Window.partitionBy("tone_set"))).drop("db")
 
 
-def _below(table: Column, x: Column, most: int, value) -> Column:
-    """How many entries of a sorted array have a value of x or less, by bisection."""
-    steps = F.sequence(F.lit(1), F.lit(max(1, most.bit_length() + 1)))
+def _searched(table: pa.Table, kind: str):
+    """The value of a table (cf, o, cv), held as sorted arrays, at the frequency nearest to x: an Arrow function."""
+    import pyarrow.compute as pc
 
-    def halve(a: Column, _: Column) -> Column:
-        mid = F.shiftright(a["lo"] + a["hi"], 1)
-        up = (a["lo"] < a["hi"]) & (value(F.get(table, mid)) <= x)
-        return F.struct(F.when(up, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(up | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
+    table = table.take(pc.sort_indices(table, [("cf", "ascending")]))
+    cf, cv, n = table["cf"].to_numpy(), table["cv"].combine_chunks(), len(table)
+    rank = np.empty(n, int)
+    rank[pc.sort_indices(table, [("o", "ascending"), ("cv", "ascending")], null_placement="at_start").to_numpy()] = np.arange(n)
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(table).alias("hi")), halve, lambda a: a["lo"])
+    @F.arrow_udf(kind)
+    def search(x: pa.Array) -> pa.Array:
+        at = x.to_numpy(zero_copy_only=False)
+        after = np.searchsorted(cf, at, "right")
+        low, high = np.maximum(after - 1, 0), np.minimum(after, n - 1)
+        with np.errstate(invalid="ignore"):
+            below, above = abs(cf[low] - at), abs(cf[high] - at)
+            nearer = (below < above) | (below == above) & (rank[low] < rank[high]) | np.isnan(above)
+        return cv.take(pa.array(np.where((after > 0) & nearer, low, high), mask=x.is_null().to_numpy(zero_copy_only=False)))
+
+    return search
+
+
+#: Frequencies in a range, about: of a table of any size and of the rows that look into it.
+RANGE_ROWS = 65_536
+
+
+def _in_ranges(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """(__x, cv): the value of table(cf, o, cv) at the frequency nearest to each of asked(cf), both without repeats.
+
+    The two are put in one order, in ranges: the nearest entry is the last one before a frequency or the first one after
+    it, in its range or, by one row for each range, in those beside it. No row ever meets more than these two entries."""
+    both = table.select("cf", F.struct("cf", "o", "cv").alias("e"), F.lit(False).alias("asked")).unionByName(asked.select("cf", F.lit(True).alias("asked")), allowMissingColumns=True)
+    parts = max(1, -(-both.count() // RANGE_ROWS))
+    both = stored(both.repartitionByRange(parts, "cf", "asked").withColumn("part", F.spark_partition_id()), "frequencies")
+    up, down = Window.partitionBy("part").orderBy("cf", "asked"), Window.partitionBy("part").orderBy(F.desc("cf"), F.desc("asked"))
+    ends = both.groupBy("part").agg(F.min("e").alias("a"), F.max("e").alias("z"))
+    one = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    ends = ends.select("part", F.last("z", True).over(one.orderBy("part")).alias("p"), F.last("a", True).over(one.orderBy(F.desc("part"))).alias("q"))
+    beside = both.withColumns({"b": F.last("e", True).over(up), "c": F.last("e", True).over(down)}).where("asked").join(F.broadcast(ends), "part")
+    away = lambda v: F.when(v.isNotNull(), F.struct(F.abs(v["cf"] - F.col("cf")).alias("d"), v["o"].alias("o"), v["cv"].alias("cv")))
+    nearest = F.least(away(F.coalesce("b", "p")), away(F.coalesce("c", "q")))["cv"]
+    return beside.select(F.col("cf").alias("__x"), nearest.alias("cv"))
 
 
 def nearest_value(tones: DataFrame, cal: DataFrame, at: str = "freq_hz", name: str = "value_db") -> DataFrame:
     """Adds the value of cal(cal_order, freq_hz, value_db) at the frequency nearest to each row's; the first row of the
     table wins ties. Null without a table, or for a null frequency.
 
-    The table is sorted into arrays of about TABLE_ROWS rows, in which each row's place is found by bisection: one array,
-    broadcast after a check of its size, or one for each range of frequencies (with the entries beside it), which rows
-    meet by a shuffle that splits hot ranges. Each row is looked at once, and none is given an id.
+    A table of up to TABLE_ROWS rows is held by tasks as sorted arrays, which rows are searched in. A larger one meets the
+    rows' distinct frequencies in ranges of both, and rows get the value by a join on their frequency. Either way no row
+    carries a table or a part of it, and neither many rows at one frequency nor a dense table make a large task.
     """
-    rows = cal.select(F.col("cal_order").alias("o"), F.col("freq_hz").alias("cf"), F.col("value_db").alias("cv")).where("cf IS NOT NULL")
+    rows = cal.select(F.col("cal_order").alias("o"), F.col("freq_hz").cast("double").alias("cf"), F.col("value_db").alias("cv")).where("cf IS NOT NULL")
     # Equal frequencies keep the first row; then the nearest is the last one before or the first one after.
     distinct = rows.groupBy("cf").agg(F.min(F.struct("o", "cv")).alias("r")).select("cf", F.col("r.o").alias("o"), F.col("r.cv").alias("cv"))
-    n, x = distinct.limit(TABLE_ROWS + 1).count(), F.col(at)
-    listed = F.sort_array(F.collect_list(F.struct("cf", "o", "cv"))).alias("__table")
-    if n <= TABLE_ROWS:
-        met, most = tones.join(F.broadcast(distinct.agg(listed))), TABLE_ROWS
-    else:
-        parts = distinct.count() // TABLE_ROWS + 1
-        bounds = [float(b) for b in distinct.approxQuantile("cf", [k / parts for k in range(1, parts)], 0.2 / parts)]
-        bucket = lambda c: _below(F.array(*[F.lit(b) for b in bounds]), c, len(bounds), lambda v: v)
-        held = distinct.withColumn("__b", bucket(F.col("cf"))).groupBy("__b").agg(listed)
-        held = tones.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("__b")).join(held, "__b", "left")
-        order = Window.partitionBy(F.lit(0)).orderBy("__b")  # one row for each range
-        ends = held.select("__b", F.element_at("__table", 1).alias("a"), F.element_at("__table", -1).alias("z"))
-        ends = ends.select("__b", F.last("z", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("p"), F.first("a", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("q"))
-        whole = F.concat(F.array("p"), F.coalesce("__table", F.array().cast(held.schema["__table"].dataType)), F.array("q"))
-        held = held.join(F.broadcast(ends), "__b").select("__b", F.array_compact(whole).alias("__table"))
-        met, most = tones.withColumn("__b", bucket(x)).join(held, "__b").drop("__b"), n * 8
-    place = _below(F.col("__table"), x, most, lambda v: v["cf"])
-    away = lambda v: F.when(v.isNotNull(), F.struct(F.abs(v["cf"] - x).alias("d"), v["o"].alias("o"), v["cv"].alias("cv")))
-    nearest = F.transform(F.array(place), lambda k: F.least(away(F.get("__table", k - 1)), away(F.get("__table", k))))[0]["cv"]
-    return met.withColumn(name, F.when(x.isNotNull(), nearest)).drop("__table")
+    x, kind = F.col(at).cast("double"), distinct.schema["cv"].dataType
+    few = distinct.limit(TABLE_ROWS + 1).toArrow()
+    if not len(few):
+        return tones.withColumn(name, F.lit(None).cast(kind))
+    if len(few) <= TABLE_ROWS:
+        return tones.withColumn(name, _searched(few, kind)(x))
+    found = _in_ranges(tones.select(x.alias("cf")).where("cf IS NOT NULL").distinct(), distinct)
+    met = tones.withColumn("__at", x).drop(name)
+    return met.join(found, F.col("__at") == F.col("__x"), "left").withColumnRenamed("cv", name).drop("__at", "__x")
 
 
 def calibration_value(tones: DataFrame, spec: Any, tables: dict[str, DataFrame] | None = None, at: str = "freq_hz", name: str = "value_db", connected: bool = True) -> DataFrame:

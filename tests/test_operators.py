@@ -207,6 +207,26 @@ def test_nearest_calibration_ties_and_the_large_form(spark, monkeypatch):
     assert {r.tone: r.value_db for r in tones.nearest_value(t, c).collect()} == want
 
 
+def large_calibration(spark):
+    """6,000 entries 1.5 MHz apart, and 20,000 rows that are all near a few of them."""
+    cal = spark.range(6000).select(F.col("id").alias("cal_order"), (F.lit(8.5e8) + F.col("id") * 1.5e6).alias("freq_hz"), (F.col("id") * 0.5).alias("value_db"))
+    t = spark.range(20000).select(F.col("id").alias("tone"), F.when(F.col("id") < 19000, F.lit(9e8) + (F.col("id") % 1000) * 1e5).alias("freq_hz"))
+    near = [min(range(30, 110), key=lambda o: (abs(8.5e8 + o * 1.5e6 - (9e8 + k * 1e5)), o)) * 0.5 for k in range(1000)]
+    return t, cal, [near[k % 1000] if k < 19000 else None for k in range(20000)]
+
+
+def carries_a_table(df):
+    return "collect_list" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_near_one_part_of_a_large_calibration_carry_no_table(spark, monkeypatch):
+    t, cal, want = large_calibration(spark)
+    for rows in (tones.TABLE_ROWS, 10_000):  # by ranges, and by arrays
+        monkeypatch.setattr(tones, "TABLE_ROWS", rows)
+        out = tones.nearest_value(t, cal)
+        assert not carries_a_table(out) and {r.tone: r.value_db for r in out.collect()} == dict(enumerate(want))
+
+
 def test_calibration_specs(spark):
     t = spark.createDataFrame([(0, 5.0)], "tone int, freq_hz double")
     value = lambda spec, **k: tones.calibration_value(t, spec, **k).first().value_db
