@@ -227,6 +227,27 @@ def test_rows_near_one_part_of_a_large_calibration_carry_no_table(spark, monkeyp
         assert not carries_a_table(out) and {r.tone: r.value_db for r in out.collect()} == dict(enumerate(want))
 
 
+CHAIN = dict(psb_fftshift=0b1011, psb_scale=0.9, mixer_scale_is_1p0=True, mixer_qmc_gain=0.8, vop_current=18000.0)
+
+
+def staged_by_a_large_calibration(spark):
+    t, cal, want = large_calibration(spark)
+    t = t.select("tone", F.col("freq_hz").alias("analog_hz"), F.col("freq_hz").alias("rf_hz"), ((F.col("tone") % 50 + 1) / 50).alias("amplitude"))
+    return tones.with_stages(t, {"dac_dbfs_to_dbm": "S", "rf_s21_db": "S", "attenuator_db": 10}, {"S": cal}, cryostat=False), want
+
+
+def test_powers_by_a_large_calibration(spark):
+    """Two stages read one table at frequencies near a few of its entries: rows carry no table between them."""
+    staged, want = staged_by_a_large_calibration(spark)
+    out = tones.tone_powers(staged, CHAIN)
+    assert not carries_a_table(out)
+    bare = powers.TxChain(**CHAIN)
+    flat = {r.tone: r.p for r in staged.select("tone", powers.tone_power(F.col("amplitude"), bare).alias("p")).collect()}
+    none = spark.range(1).select(powers.tone_power(F.lit(1.0), bare) - powers.tone_power(F.lit(1.0), powers.TxChain(**CHAIN, dac_dbfs_to_dbm=0.0, attenuator_db=10))).first()[0]
+    got = {r.tone: r.power_dbm for r in out.collect()}
+    assert got.keys() == flat.keys() and all(got[k] is None if w is None else math.isclose(got[k], flat[k] - none + 2 * w, abs_tol=1e-9) for k, w in enumerate(want))
+
+
 def test_calibration_specs(spark):
     t = spark.createDataFrame([(0, 5.0)], "tone int, freq_hz double")
     value = lambda spec, **k: tones.calibration_value(t, spec, **k).first().value_db
