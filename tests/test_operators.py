@@ -248,6 +248,15 @@ def test_powers_by_a_large_calibration(spark):
     assert got.keys() == flat.keys() and all(got[k] is None if w is None else math.isclose(got[k], flat[k] - none + 2 * w, abs_tol=1e-9) for k, w in enumerate(want))
 
 
+def test_amplitudes_by_a_large_calibration_give_the_powers_back(spark):
+    staged, want = staged_by_a_large_calibration(spark)
+    asked = staged.withColumn("power_dbm", F.col("amplitude") * 40 - 100).drop("amplitude")
+    out = tones.tone_amplitudes(asked, CHAIN)
+    assert not carries_a_table(out)
+    got = {r.tone: (r.p, r.power_dbm) for r in tones.tone_powers(out.withColumnRenamed("power_dbm", "p"), CHAIN).collect()}
+    assert len(got) == len(want) and all((got[k][1] is None) if w is None else math.isclose(*got[k], abs_tol=1e-9) for k, w in enumerate(want))
+
+
 def test_calibration_specs(spark):
     t = spark.createDataFrame([(0, 5.0)], "tone int, freq_hz double")
     value = lambda spec, **k: tones.calibration_value(t, spec, **k).first().value_db
