@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .shared import stored
+
 #: Places of pieces in a range, which a task holds the sizes of.
 RANGE = 65_536
 PIECES = "name string, at long, size long, value binary"
@@ -106,11 +108,13 @@ def write_files(pieces: DataFrame, path: str) -> None:
     """pieces(name, place, value): the file path/name is its values in order of place (unique within a name), joined
     without anything between. Files of these names are replaced whole, others stay.
 
-    Sizes are summed up by ranges of place, a running sum over one row for each range says where the range begins, and
-    ranges are written side by side; so a file of any size is written by many tasks, and many small files by one.
+    Pieces are computed once, to the shared folder, as numbers may differ in their last digits, and so in their length, when
+    they are computed again. Sizes are summed up by ranges of place, a running sum over one row for each range says where
+    the range begins, and ranges are written side by side; so a file of any size is written by many tasks, and many small
+    files by one.
     """
     pieces.sparkSession.dataSource.register(PlacedFiles)
-    cut = pieces.select("name", F.col("place").cast("long").alias("place"), F.col("value").cast("binary").alias("value")).withColumn("b", F.floor(F.col("place") / RANGE))
+    cut = stored(pieces.select("name", F.col("place").cast("long").alias("place"), F.col("value").cast("binary").alias("value")), "pieces").withColumn("b", F.floor(F.col("place") / RANGE))
     size = F.octet_length("value").cast("long")
     ranges = cut.groupBy("name", "b").agg(F.sum(size).alias("n"))
     order = Window.partitionBy("name").orderBy("b")

@@ -86,6 +86,21 @@ def test_sweep_forms(spark, folder):
     assert lines[0] == "# num_tones: 3" and len(lines) == 6 and lines[1].startswith("1000000000.000000 0.500000")
 
 
+def unsteady(spark):
+    """A number that has other digits, and another length, each time it is computed: as means do whose parts come in another
+    order."""
+    import random
+
+    return F.udf(lambda: round(random.random(), random.randint(1, 12)), "double").asNondeterministic()()
+
+
+def test_sweep_csv_of_values_that_differ_when_computed_again(spark, folder):
+    s = long_sweep(spark).withColumns({c: unsteady(spark) for c in ("i", "q")})
+    text.write_sweep_csv(s, folder, 3, {"num_tones": 3})
+    got = rows(text.read_sweep_csv(spark, folder, 3, "w"), ["tone", "point", "f", "ei", "i"])
+    assert [r[:4] for r in got] == rows(long_sweep(spark), ["tone", "point", "f", "ei"]) and all(0 <= r[4] <= 1 for r in got)
+
+
 def test_cube(spark):
     import base64
 
