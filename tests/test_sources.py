@@ -101,6 +101,13 @@ def test_sweep_csv_of_values_that_differ_when_computed_again(spark, folder):
     assert [r[:4] for r in got] == rows(long_sweep(spark), ["tone", "point", "f", "ei"]) and all(0 <= r[4] <= 1 for r in got)
 
 
+def test_two_sweep_csvs_of_values_that_differ_when_computed_again(spark, folder):
+    s = long_sweep(spark).withColumns({"sweep_id": F.when(F.col("tone") == 1, "one").otherwise("rest"), "q": unsteady(spark), "eq": unsteady(spark)})
+    text.write_sweep_csv(s, folder, None, {"num_points": 5})
+    got = rows(text.read_sweep_csv(spark, folder), ["tone", "point", "sweep_id", "f", "q"])
+    assert [r[:4] for r in got] == [(t, p, "one" if t == 1 else "rest", 1e9 + t + p) for t in range(3) for p in range(5)] and all(0 <= r[4] <= 1 for r in got)
+
+
 def test_cube(spark):
     import base64
 
