@@ -210,9 +210,16 @@ def write_sweep_csv(sweep: DataFrame, path: str, tones: int | None, meta: dict)
 
 
 def sweep_text(sweep: DataFrame) -> DataFrame:
-    """(sweep_id, point, value): a line of 6-decimal numbers for each point, tones in order."""
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("tone", "f", "i", "q", "ei", "eq"))), lambda x: F.concat_ws(" ", *[F.format_string("%.6f", x[c]) for c in ("f", "i", "q", "ei", "eq")]))
-    return sweep.groupBy("sweep_id", "point").agg(F.concat_ws(" ", cells).alias("value"))
+    """(sweep_id, point, value): a line of 6-decimal numbers for each point, tones in order. Numbers are rounded as they are
+    in binary, as C and Python do it: format_string rounds their shortest decimal form, so that 0.1252835 would go up."""
+
+    @F.arrow_udf("string")
+    def cell(f: pa.Array, i: pa.Array, q: pa.Array, ei: pa.Array, eq: pa.Array) -> pa.Array:
+        each = zip(*(c.to_pylist() for c in (f, i, q, ei, eq)), strict=True)
+        return pa.array([" ".join(["null" if v is None else f"{v:.6f}" for v in x]) for x in each], pa.string())
+
+    cells = sweep.select("sweep_id", "point", F.struct("tone", cell(*[F.col(c).cast("double") for c in ("f", "i", "q", "ei", "eq")]).alias("text")).alias("x"))
+    return cells.groupBy("sweep_id", "point").agg(F.concat_ws(" ", F.array_sort(F.collect_list("x"))["text"]).alias("value"))
 
 
 def write_sweep_text(sweep: DataFrame, path: str, meta: dict) -> None:

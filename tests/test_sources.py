@@ -1,3 +1,4 @@
+import math
 import os
 
 import numpy as np
@@ -108,6 +109,12 @@ def test_two_sweep_csvs_of_values_that_differ_when_computed_again(spark, folder)
     assert [r[:4] for r in got] == [(t, p, "one" if t == 1 else "rest", 1e9 + t + p) for t in range(3) for p in range(5)] and all(0 <= r[4] <= 1 for r in got)
 
 
+def test_sweep_text_rounds_numbers_as_they_are_in_binary(spark):
+    values = [0.1252835, 0.1247475, -5e-7, -1e-7, 1.5e-6, 2.5e-6, 1999985000.0000005, 123456789012345.67, 0.0, math.nan, math.inf]
+    s = spark.createDataFrame([("w", t, 0, v, -v, v, 0.1, 0.2) for t, v in enumerate(values)], "sweep_id string, tone int, point int, f double, i double, q double, ei double, eq double")
+    assert text.sweep_text(s.repartition(3)).first().value == " ".join(f"{v:.6f} {-v:.6f} {v:.6f} 0.100000 0.200000" for v in values)
+
+
 def test_cube(spark):
     import base64
 
