@@ -57,9 +57,9 @@ SLOPE = """h AS (SELECT *, f - lag(f) OVER w AS hs, lead(f) OVER w - f AS hd, la
 sl AS (SELECT *, CASE WHEN hs IS NULL OR hd IS NULL THEN coalesce((u1-uphase)/nullif(hd,0), (uphase-u0)/nullif(hs,0)) ELSE (hs*hs*u1 + (hd*hd-hs*hs)*uphase - hd*hd*u0)/nullif(hs*hd*(hd+hs),0) END AS slope FROM h)"""
 
 
-def _response(samples: DataFrame) -> DataFrame:
+def _response(samples: DataFrame, mean: Callable[[str], Column] = F.avg) -> DataFrame:
     """A sweep's response with its frequencies (each tone and point has one)."""
-    f = samples.groupBy("sweep_id", "tone", "point").agg(F.min("f").alias("f"), F.avg("i").alias("i"), F.avg("q").alias("q"), F.stddev_pop("i").alias("ei"), F.stddev_pop("q").alias("eq"), F.count("*").alias("n"))
+    f = samples.groupBy("sweep_id", "tone", "point").agg(F.min("f").alias("f"), mean("i").alias("i"), mean("q").alias("q"), F.stddev_pop("i").alias("ei"), F.stddev_pop("q").alias("eq"), F.count("*").alias("n"))
     return f
 
 
@@ -105,7 +105,7 @@ def w6_unwrap(spark, d):
 
 @register(_with(f"l | {RESP_L} | {UNWRAP}", _UNWRAPPED))
 def w6_unwrap_two_pass(spark, d):
-    return sweeps.unwrap_tones(_response(inputs.sweep_l(spark, d))).select("sweep_id", "tone", "point", rnd("phase").alias("phase"), rnd("uphase").alias("uphase"))
+    return sweeps.unwrap_tones(_response(inputs.sweep_l(spark, d), iq.exact_mean)).select("sweep_id", "tone", "point", rnd("phase").alias("phase"), rnd("uphase").alias("uphase"))
 
 
 @register(_with(f"e | {RESP_E} | {UNWRAP} | {SLOPE}", f"SELECT sweep_id, tone, point, {r('slope*1e6')} AS slope FROM sl"))
