@@ -127,7 +127,7 @@ _BY_F = [x.replace("ORDER BY tone, point", "ORDER BY f") for x in (UNWRAP, SLOPE
 @register(_with(f"l | {_OVERLAP} | {_BY_F[0]} | {_BY_F[1]}", f"SELECT sweep_id, tone, point, {r('uphase')} AS uphase, {r('slope*1e6')} AS slope FROM sl"))
 def w6_w7_by_frequency(spark, d):
     """A sweep flattened in order of frequency, in ranges of 1,000 rows."""
-    resp = _response(inputs.sweep_l(spark, d)).withColumn("f", F.lit(1e9) + F.col("tone") * 35000.0 + F.col("point") * 10000.0)
+    resp = _response(inputs.sweep_l(spark, d), iq.exact_mean).withColumn("f", F.lit(1e9) + F.col("tone") * 35000.0 + F.col("point") * 10000.0)
     out = sweeps.frequency_slopes(resp, 1000)
     return out.select("sweep_id", "tone", "point", rnd("uphase").alias("uphase"), rnd(F.col("slope") * 1e6).alias("slope"))
 

@@ -368,6 +368,13 @@ def test_phases_do_not_hang_on_the_order_of_samples(spark, folder):
     assert got[0] == got[1] and ("L", 1, 0, 1.570796) in [r[:4] for r in got[0]]
 
 
+def test_slopes_by_frequency_do_not_hang_on_the_order_of_samples(spark, folder):
+    from iqspark.plans.queries import QUERIES
+
+    got = [sorted(map(tuple, QUERIES["w6_w7_by_frequency"](spark, d).collect())) for d in orders_of_one_table(spark, folder)]
+    assert got[0] == got[1] and ("L", 1, 0, 1.570796) in [r[:4] for r in got[0]]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_exact_means(spark, parts):
     from fractions import Fraction
